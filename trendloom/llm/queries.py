@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm.common import table
 from trendloom.llm.packing import pack_documents
+from trendloom.llm.quality import quality_rules
 from trendloom.llm.token_counts import token_counts
 
 
@@ -14,11 +15,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
