@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm.common import table
+from trendloom.llm.near_dedup import near_duplicates
 from trendloom.llm.packing import pack_documents
 from trendloom.llm.quality import quality_rules
 from trendloom.llm.token_counts import token_counts
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -26,6 +31,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
