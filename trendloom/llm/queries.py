@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm.common import table
+from trendloom.llm.exact_substrings import remove_repeated_bytes
 from trendloom.llm.near_dedup import near_duplicates
 from trendloom.llm.packing import pack_documents
 from trendloom.llm.quality import quality_rules
 from trendloom.llm.token_counts import token_counts
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -31,6 +36,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
