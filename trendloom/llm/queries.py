@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm.common import table
 from trendloom.llm.exact_substrings import remove_repeated_bytes
+from trendloom.llm.language_id import identify_languages
 from trendloom.llm.near_dedup import near_duplicates
 from trendloom.llm.packing import pack_documents
 from trendloom.llm.quality import quality_rules
@@ -29,12 +30,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
