@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm.common import table
 from trendloom.llm.exact_substrings import remove_repeated_bytes
+from trendloom.llm.html_extract import extract_text
 from trendloom.llm.language_id import identify_languages
 from trendloom.llm.near_dedup import near_duplicates
 from trendloom.llm.packing import pack_documents
@@ -26,6 +27,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
