@@ -6,19 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm.common import table
+from trendloom.llm.decontaminate import contaminated
 from trendloom.llm.exact_substrings import remove_repeated_bytes
 from trendloom.llm.html_extract import extract_text
 from trendloom.llm.language_id import identify_languages
+from trendloom.llm.licence_scan import oracle_sql as licence_sql
+from trendloom.llm.licence_scan import scan_licences
 from trendloom.llm.near_dedup import near_duplicates
 from trendloom.llm.packing import pack_documents
+from trendloom.llm.passage_dedup import remove_repeated_passages
 from trendloom.llm.quality import quality_rules
 from trendloom.llm.token_counts import token_counts
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -39,6 +51,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -47,10 +63,13 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": licence_sql()}
