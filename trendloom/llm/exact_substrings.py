@@ -68,7 +68,8 @@ class Block:
         found = [anchors(r) for r in self.raw]
         self.row = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
         self.place = np.concatenate([x[0] for x in found] or [np.zeros(0, np.int64)])
-        self.hash = np.concatenate([x[1] for x in found] or [np.zeros(0, np.uint64)])
+        # 47 bits name an anchor: a chance meeting only costs a comparison, as snippets decide; the last bit is a flag's
+        self.hash = (np.concatenate([x[1] for x in found] or [np.zeros(0, np.uint64)]) >> np.uint64(16)) & ~np.uint64(1)
 
     def keep(self, shared: np.ndarray) -> None:
         """Only anchors whose hash is among the sorted shared ones."""
@@ -91,8 +92,8 @@ class Block:
         self.bytes = np.lib.stride_tricks.sliding_window_view(flat, WIDTH)[offset[self.row] + self.place - SPAN]
         code = mix(self.hash ^ row_codes(self.bytes))
         _, first, number = np.unique(code, return_index=True, return_inverse=True)
-        shard = ((self.hash[first] >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
-        by_shard = np.argsort(shard, kind="stable")
+        shard = ((self.hash[first] >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+        by_shard = np.lexsort((first, shard))  # in page order, which packs well
         new = np.empty(len(first), np.int64)
         new[by_shard] = np.arange(len(first))
         return shard[by_shard], first[by_shard], new[number], code
@@ -106,6 +107,17 @@ def row_codes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers below 2**48 in six bytes each."""
+    return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def _rows(**columns: pa.Array) -> pa.Table:
     return pa.table(columns)
 
@@ -135,17 +147,17 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         first = np.flatnonzero(head)
         last = np.r_[first[1:], len(h)] - 1 if len(first) else first
         several = i[first] != i[last]
-        value = (h[first] & ~np.uint64(1)) | several.astype(np.uint64)
-        bucket = ((value >> np.uint64(24)) % np.uint64(n_buckets)).astype(np.int64)
+        value = h[first] | several.astype(np.uint64)
+        bucket = ((value >> np.uint64(1)) % np.uint64(n_buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         runs = _runs(bucket[by])
-        blob = value[by].tobytes()
+        blob = packed(value[by])
         block = rows.column("block")[0].as_py()
-        return _rows(bucket=pa.array([r[0] for r in runs], pa.int64()), block=pa.array([block] * len(runs), pa.int64()), hashes=pa.array([blob[8 * r[1] : 8 * r[2]] for r in runs], pa.binary()))
+        return _rows(bucket=pa.array([r[0] for r in runs], pa.int64()), block=pa.array([block] * len(runs), pa.int64()), hashes=pa.array([blob[6 * r[1] : 6 * r[2]] for r in runs], pa.binary()))
 
     def shared(rows: pa.Table) -> pa.Table:
         blobs = rows.column("hashes").to_pylist()
-        parts = [np.frombuffer(x, np.uint64) for x in blobs]
+        parts = [unpacked(x) for x in blobs]
         value = np.concatenate(parts)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         clean = value & ~np.uint64(1)
@@ -156,17 +168,16 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         use = np.repeat((size > 1) | np.logical_or.reduceat(known, first), size)
         clean, owner = clean[use], owner[use]
         by = np.argsort(owner, kind="stable")
-        runs, blob = _runs(owner[by]), clean[by].tobytes()
+        runs, blob = _runs(owner[by]), packed(clean[by])
         blocks_ = rows.column("block").to_pylist()
-        return _rows(block=pa.array([blocks_[r[0]] for r in runs], pa.int64()), shard=pa.array([-1] * len(runs), pa.int64()), blob=pa.array([blob[8 * r[1] : 8 * r[2]] for r in runs], pa.binary()))
+        return _rows(block=pa.array([blocks_[r[0]] for r in runs], pa.int64()), shard=pa.array([-1] * len(runs), pa.int64()), blob=pa.array([blob[6 * r[1] : 6 * r[2]] for r in runs], pa.binary()))
 
     def known_anchors(rows: pa.Table, b: Block) -> None:
-        sent = [np.frombuffer(x, np.uint64) for s, x in zip(rows.column("shard").to_pylist(), rows.column("blob").to_pylist(), strict=True) if s < 0]
-        b.hash = b.hash & ~np.uint64(1)
+        sent = [unpacked(x) for s, x in zip(rows.column("shard").to_pylist(), rows.column("blob").to_pylist(), strict=True) if s < 0]
         b.keep(np.sort(np.concatenate(sent)) if sent else np.zeros(0, np.uint64))
 
     def send(rows: pa.Table, names: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"shard": [], "block": [], "blob": []}
+        out: dict[str, list] = {"shard": [], "block": [], "n": [], "blob": []}
         if rows.num_rows and names.num_rows:
             b = Block(rows)
             known_anchors(names, b)
@@ -175,12 +186,13 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 own = first[x:y]
                 out["shard"].append(s)
                 out["block"].append(rows.column("block")[0].as_py())
-                out["blob"].append(b.hash[own].tobytes() + b.ids[b.row[own]].tobytes() + b.bytes[own].tobytes())
-        return _rows(shard=pa.array(out["shard"], pa.int64()), block=pa.array(out["block"], pa.int64()), blob=pa.array(out["blob"], pa.binary()))
+                out["n"].append(len(own))
+                out["blob"].append(pa.compress(b.hash[own].tobytes() + b.ids[b.row[own]].tobytes() + b.bytes[own].tobytes(), "zstd", asbytes=True))
+        return _rows(shard=pa.array(out["shard"], pa.int64()), block=pa.array(out["block"], pa.int64()), n=pa.array(out["n"], pa.int64()), blob=pa.array(out["blob"], pa.binary()))
 
     def answer(rows: pa.Table) -> pa.Table:
-        blobs = rows.column("blob").to_pylist()
-        sizes = [len(x) // (16 + WIDTH) for x in blobs]
+        sizes = rows.column("n").to_pylist()
+        blobs = [pa.decompress(x, n * (16 + WIDTH), "zstd", asbytes=True) for x, n in zip(rows.column("blob").to_pylist(), sizes, strict=True)]
         anchor = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, sizes, strict=True)])
         owner = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(blobs, sizes, strict=True)])
         text = np.concatenate([np.frombuffer(x, np.uint8, n * WIDTH, 16 * n).reshape(n, WIDTH) for x, n in zip(blobs, sizes, strict=True)])
@@ -238,7 +250,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     result = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("edges", pa.list_(pa.int64()))])
     grouped = blocks.groupBy("block")
     names = grouped.applyInArrow(offer, "bucket bigint, block bigint, hashes binary").groupBy("bucket").applyInArrow(shared, "block bigint, shard bigint, blob binary")
-    snippets = grouped.cogroup(names.groupBy("block")).applyInArrow(send, "shard bigint, block bigint, blob binary")
+    snippets = grouped.cogroup(names.groupBy("block")).applyInArrow(send, "shard bigint, block bigint, n bigint, blob binary")
     answers = snippets.groupBy("shard").applyInArrow(answer, "block bigint, shard bigint, blob binary")
     done = grouped.cogroup(names.unionByName(answers).groupBy("block")).applyInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, edges array<bigint>")
     columns = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
