@@ -1,4 +1,8 @@
 """Registered queries and their oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from trendloom.plans import relational_queries, text_queries
+
+QUERIES: dict = relational_queries.QUERIES | text_queries.QUERIES
+ORACLE_SQL: dict[str, str] = relational_queries.ORACLE_SQL | text_queries.ORACLE_SQL
