@@ -18,10 +18,10 @@ def parse_heat(text: Column) -> Column:
 
 
 def format_heat(value: Column, unit: str = "", wan_rounds: bool = False, gap: bool = True) -> Column:
-    """Heat for display. ``wan_rounds``: ten thousands are rounded, else cut off; ``gap``: a space before the unit."""
+    """Heat for display, ties rounded to even. ``wan_rounds``: ten thousands are rounded, else cut off; ``gap``: a space before the unit."""
     s = " " if gap else ""
-    yi = F.when(value >= 1_000_000_000, F.format_string(f"%.0f{s}{YI}{unit}", value / 1e8)).otherwise(F.format_string(f"%.1f{s}{YI}{unit}", value / 1e8))
-    wan = F.format_string(f"%.0f{s}{WAN}{unit}", value / 1e4) if wan_rounds else F.format_string(f"%d{s}{WAN}{unit}", F.floor(value / 10000))
+    yi = F.when(value >= 1_000_000_000, F.format_string(f"%.0f{s}{YI}{unit}", F.bround(value / 1e8, 0))).otherwise(F.format_string(f"%.1f{s}{YI}{unit}", F.bround(value / 1e8, 1)))
+    wan = F.format_string(f"%.0f{s}{WAN}{unit}", F.bround(value / 1e4, 0)) if wan_rounds else F.format_string(f"%d{s}{WAN}{unit}", F.floor(value / 10000))
     return F.when(value >= 100_000_000, yi).when(value >= 10_000, wan).otherwise(F.concat(value.cast("string"), F.lit(f"{s}{unit}" if unit else "")))
 
 
