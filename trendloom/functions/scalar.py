@@ -142,7 +142,7 @@ MEASURE_UNITS = "元块万亿千百年月日号天时分秒岁人名次个条件
 def is_numeric_measure(x: Column) -> Column:
     """Half digits or more with a unit, or a large-number character before a unit."""
     digits = F.length(F.regexp_replace(x, r"[^\p{Nd}]", ""))
-    return ((digits * 2 >= F.length(x)) & (digits > 0) & x.rlike(f"[{MEASURE_UNITS}]")) | x.rlike(f"^[万亿千百兆]+[{MEASURE_UNITS}]")
+    return ((digits * 2 >= F.length(x)) & (digits > 0) & x.rlike(f"[{MEASURE_UNITS}]")) | x.rlike(f"^[0-9.]*[万亿千百兆]+[{MEASURE_UNITS}]$")
 
 
 def contains_word(text: Column, word: Column) -> Column:

@@ -102,7 +102,7 @@ def segment(title: str, lexicon: Lexicon) -> list[str]:
 def numeric_measure(x: str) -> bool:
     digits = sum(c.isdigit() for c in x)
     units = "元块万亿千百年月日号天时分秒岁人名次个条件家例米吨度倍%％"
-    return (digits * 2 >= len(x) and digits > 0 and any(c in units for c in x)) or bool(re.match(f"^[万亿千百兆]+[{units}]", x))
+    return (digits * 2 >= len(x) and digits > 0 and any(c in units for c in x)) or bool(re.match(f"^[0-9.]*[万亿千百兆]+[{units}]$", x))
 
 
 def normalise(token: str, lx: Lexicon) -> str:
