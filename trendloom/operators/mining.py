@@ -166,6 +166,56 @@ def cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return n.withColumn("semantic", F.coalesce(F.col("dot") / (F.col("na") * F.col("nb")), F.lit(0.0))).drop("dot", "na", "nb")
 
 
+def residual_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Pairs (a, b, entities) with ``semantic``: the cosine of their vectors without the terms within shared entities;
+    the plain cosine where that leaves a side one term or none."""
+    plain = cosine(pairs, vectors)
+    v = vectors.select("id", "token", "weight")
+    sides = pairs.select("a", "b", "entities")
+
+    def rest(end: str, weight: str) -> DataFrame:
+        own = sides.join(v.select(F.col("id").alias(end), "token", F.col("weight").alias(weight)), end)
+        return own.filter(~F.exists("entities", lambda e: F.contains(F.lower(e), F.col("token")))).drop("entities")
+
+    ra, rb = rest("a", "wa"), rest("b", "wb")
+    na = ra.groupBy("a", "b").agg(F.sqrt(F.sum(F.col("wa") * F.col("wa"))).alias("na"), F.count("*").alias("ca"))
+    nb = rb.groupBy("a", "b").agg(F.sqrt(F.sum(F.col("wb") * F.col("wb"))).alias("nb"), F.count("*").alias("cb"))
+    dot = ra.join(rb, ["a", "b", "token"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    j = plain.join(na, ["a", "b"], "left").join(nb, ["a", "b"], "left").join(dot, ["a", "b"], "left")
+    left = (F.coalesce("ca", F.lit(0)) > 1) & (F.coalesce("cb", F.lit(0)) > 1)
+    value = F.when(left, F.coalesce(F.col("dot") / (F.col("na") * F.col("nb")), F.lit(0.0))).otherwise(F.col("semantic"))
+    return j.withColumn("semantic", value).drop("na", "nb", "ca", "cb", "dot")
+
+
+def collapse_same_source(members: DataFrame) -> DataFrame:
+    """Members (component, source_key, id, title, heat_value, ...) without those whose title nearly repeats a hotter one
+    of the same component and source. Greedy by heat, within one group at a time."""
+    schema = members.schema
+
+    def bare(title: str) -> str:
+        return "".join(c for c in title.lower() if c.isalnum())
+
+    def keep(rows):
+        rows = rows.sort_values(["heat_value", "id"], ascending=[False, True])
+        chosen: list[tuple[str, set]] = []
+        flags = []
+        for title in rows["title"].fillna(""):
+            words = {w.strip(".,!?;:") for w in title.lower().split()}
+            near = any(b == bare(title) or (len(w & words) >= 2 and 4 * len(w & words) >= 3 * min(len(w), len(words))) for b, w in chosen)
+            flags.append(not near)
+            if not near:
+                chosen.append((bare(title), words))
+        return rows[flags]
+
+    return members.groupBy("component", "source_key").applyInPandas(keep, schema)
+
+
+def connectors(keywords: DataFrame, least_len: int = 3, stop: list[str] | None = None) -> DataFrame:
+    """Keywords (id, term) that may link articles: long enough, no number, not a stop word."""
+    k = keywords.filter((F.length("term") >= least_len) & ~F.col("term").rlike(r"^[\p{Nd}.%]+$"))
+    return k.filter(~F.lower("term").isin(*stop)) if stop else k
+
+
 def score_pairs(pairs: DataFrame, articles: DataFrame, window_hours: int = 24) -> DataFrame:
     """Pairs with their score and whether they link (pairs: a, b, entities, keywords, semantic)."""
     info = articles.select("id", "source_key", "published_at")
@@ -188,14 +238,14 @@ def cluster_events(articles: DataFrame, entities: DataFrame, keywords: DataFrame
     pk = candidate_pairs(k, most_docs).withColumnRenamed("shared", "keywords")
     none = F.array().cast("array<string>")
     pairs = checkpoint(pe.join(pk, ["a", "b"], "full").withColumn("entities", F.coalesce("entities", none)).withColumn("keywords", F.coalesce("keywords", none)))
-    scored = score_pairs(cosine(pairs, term_vectors(tokens)), articles, window_hours)
+    scored = score_pairs(residual_cosine(pairs, term_vectors(tokens)), articles, window_hours)
     member = components(scored.filter("linked"))
     m = member.select(F.col("node").alias("id"), "component").join(articles, "id")
     if deltas is not None:
         m = m.join(deltas.select(F.col("article_id").alias("id"), "delta", "is_new"), "id", "left")
     else:
         m = m.withColumn("delta", F.lit(0)).withColumn("is_new", F.lit(False))
-    one = m.withColumn("_n", F.row_number().over(Window.partitionBy("component", "source_key", "title").orderBy(F.desc("heat_value"), "id"))).filter("_n = 1")
+    one = collapse_same_source(m.select("component", "source_key", "id", "title", "heat_value", "published_at", "delta", "is_new"))
     groups = one.groupBy("component").agg(
         F.count("*").alias("count"), F.count_distinct("source_key").alias("n_sources"), F.sum(article_score(F.col("heat_value"), F.lit(0))).alias("_score"), F.max_by("title", F.struct("heat_value", F.negative("id"))).alias("title"),
         F.max("published_at").alias("latest"), F.sum(F.coalesce("delta", F.lit(0))).alias("score_delta"), F.sum(F.when(F.col("is_new"), 1).otherwise(0)).alias("count_delta"), F.array_sort(F.collect_list("id")).alias("ids"),
@@ -250,3 +300,31 @@ def suggest_variant(grid: DataFrame, margin: float = 1.05) -> DataFrame:
     """The best variant, if it beats the baseline by the margin."""
     best = grid.agg(F.max_by("variant", F.struct("score", F.col("baseline"), F.negative("min_articles"), F.negative("min_sources"))).alias("best"), F.max("score").alias("best_score"), F.max(F.when(F.col("baseline"), F.col("score"))).alias("baseline_score"))
     return best.withColumn("suggested", F.when(F.col("best_score") > margin * F.col("baseline_score"), F.col("best")))
+
+
+def discovery_round(candidates: DataFrame, words: DataFrame, blacklist: DataFrame, now: Column, gap_hours: int = 36, min_days: int = 2, min_hits: int = 5) -> DataFrame:
+    """Candidate state (word, hit_days, total_hits, last_hit_at, promoted_at) after a round of discovered words (gram, articles).
+
+    A word hit again within the gap lengthens its streak, else begins anew; promoted words stay as they are; words whose
+    streak and hits suffice and that are not blacklisted are promoted."""
+    w = words.groupBy(F.col("gram").alias("word")).agg(F.max("articles").alias("_h"))
+    j = candidates.join(w, "word", "full")
+    hit = F.col("_h").isNotNull() & F.col("promoted_at").isNull()
+    close = F.coalesce(F.col("last_hit_at") > now - F.make_dt_interval(hours=F.lit(gap_hours)), F.lit(False))
+    days = F.when(~hit, F.col("hit_days")).when(close, F.col("hit_days") + 1).otherwise(1)
+    out = j.select("word", days.alias("hit_days"), (F.coalesce("total_hits", F.lit(0)) + F.when(hit, F.col("_h")).otherwise(0)).alias("total_hits"), F.when(hit, now).otherwise(F.col("last_hit_at")).alias("last_hit_at"), "promoted_at")
+    bad = blacklist.select("word", F.lit(True).alias("_b")).distinct()
+    due = F.col("promoted_at").isNull() & F.col("_b").isNull() & (F.col("hit_days") >= min_days) & (F.col("total_hits") >= min_hits)
+    return out.join(bad, "word", "left").withColumn("promoted_at", F.when(due, now).otherwise(F.col("promoted_at"))).drop("_b")
+
+
+def daily_summary(stats: DataFrame, excluded: list[str] | None = None, width: int = 22) -> DataFrame:
+    """One row of text from per-source statistics (source_key, n, top_title): totals, and each source's leading title."""
+    s = stats.filter(~F.col("source_key").isin(*excluded)) if excluded else stats
+    title = F.when(F.length("top_title") > width, F.concat(F.substring("top_title", 1, width), F.lit("…"))).otherwise(F.col("top_title"))
+    rows = F.sort_array(F.collect_list(F.struct(F.negative("n").alias("k"), "source_key", title.alias("t"))))
+    parts = s.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), rows.alias("r"))
+    counts = F.array_join(F.transform("r", lambda x: F.concat(x["source_key"], F.lit(" "), (-x["k"]).cast("string"))), ", ")
+    head = F.when(F.size("r") > 1, F.format_string("Today: %d articles (%s)", F.col("total"), counts)).otherwise(F.format_string("Today: %d articles", F.col("total")))
+    lead = F.array_join(F.transform(F.filter("r", lambda x: x["t"].isNotNull()), lambda x: F.concat(x["source_key"], F.lit(": "), x["t"])), "\n")
+    return parts.select(F.concat_ws("\n", head, F.when(lead != "", lead)).alias("summary"))
