@@ -31,7 +31,7 @@ def test_held_out_accuracy_and_rows(spark):
     for i in range(400):
         lang = r.choice(list(WORDS))
         rows.append((i, " ".join(r.choice(WORDS[lang]) for _ in range(r.randrange(5, 60))), lang, "x", None))
-    odd = [(1000, None, "en", "x", 1.0), (1001, "", "fr", None, None), (1002, "12 34 !?", "de", None, None), (1003, "the other thing " * 9000, None, None, None), (5, rows[5][1], rows[5][2], "x", None)]
+    odd = [(1000, None, "en", "x", 1.0), (1001, "", "fr", None, None), (1002, "12 34 ² ½ !?", "de", None, None), (1003, "the other thing " * 9000, None, None, None), (5, rows[5][1], rows[5][2], "x", None)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, score double")
     got = identify_languages(docs).collect()
     assert len(got) == len(rows) + len(odd)

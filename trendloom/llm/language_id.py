@@ -27,7 +27,12 @@ STEPS, BATCH, RATE = 240, 128, 0.02
 #: Windows that are run through the network at once.
 WIDE = 4096
 UNDETERMINED = "und"
-_letter = re.compile(r"[^\W\d_]")
+_word_sign = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Signs like superscript digits are word signs, but no letters."""
+    return any(m[0].isalpha() for m in _word_sign.finditer(text or ""))
 
 
 class BiGRU:
@@ -203,7 +208,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t and _letter.search(t) else None for t in batch.column(2).to_pylist()]
+            texts = [t if has_letter(t) else None for t in batch.column(2).to_pylist()]
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             for a, b in slices(texts, 1_000_000):
                 own = [i for i in range(a, b) if texts[i] is not None]
