@@ -239,6 +239,16 @@ def adjunct(title: str, label: str, lx: Lexicon) -> bool:
     return bool(every) and len(re.findall(f"{re.escape(label)}(?:{tails})", title)) == len(every)
 
 
+def segment_tokens(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """id, source_key, pos, token: words of the titles in canonical form, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def run(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: [lexicon.canonical(w) for w in segment(t or "", lexicon)])
+
+    return articles.select("id", "source_key", F.posexplode(run("title")).alias("pos", "token"))
+
+
 KIND = "array<struct<label: string, kind: string, related: array<string>>>"
 
 

@@ -63,7 +63,7 @@ class TrendEngine:
         recent = R.recent(self.articles, now, hours, R.sample_limit(hours))
         c = self._candidates(recent)
         pick = lambda kind: c.filter(F.col("kind") == kind).select("id", F.col("label").alias("term"))
-        return M.cluster_events(recent, pick("entity"), M.connectors(pick("keyword")), M.letter_tokens(recent), hours, limit, deltas=self.deltas(recent, now, hours))
+        return M.cluster_events(recent, pick("entity"), M.connectors(pick("keyword")), X.segment_tokens(recent, self.lexicon), hours, limit, deltas=self.deltas(recent, now, hours))
 
     def storyline(self, term: str, now: Column, hours: int = 24) -> DataFrame:
         hours = 24 if hours < 0 else min(hours, 2160)
@@ -78,8 +78,13 @@ class TrendEngine:
         t = M.accumulate_topics(self._candidates(matched), matched).filter(F.lower("label") != term.lower())
         return M.rank_topics(M.absorb_labels(t), limit)
 
-    def feed(self, q: str | None = None, source: str | None = None, limit: int = 50) -> DataFrame:
-        return feeds.rss(R.search(self.articles, q, source), "trends", "https://example.org", limit)
+    def feed(self, q: str | None = None, source: str | None = None, limit: int = 50, site: str = "https://example.org") -> DataFrame:
+        found = R.search(self.articles, q, source)
+        if "url" not in found.columns:
+            found = found.withColumn("url", F.concat(F.lit(f"{site}/articles/"), F.col("id")))
+        if "heat" not in found.columns:
+            found = found.withColumn("heat", F.col("heat_value"))
+        return feeds.rss(found, "trends", site, limit)
 
     @staticmethod
     def heat_words(candidates: DataFrame, limit: int = 200) -> DataFrame:
