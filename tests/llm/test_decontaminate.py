@@ -49,3 +49,30 @@ def test_copies_are_caught_and_clean_texts_left(spark):
         assert sorted(got) == sorted([*want, (503, 92), (600, 0), (600, 0)])
     assert contaminated(docs.limit(0), bench).count() == 0
     assert contaminated(docs, bench.limit(0)).count() == 0
+
+
+def plain_score(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (MATCH if x == y else MISS), row[j + 1] + GAP, new[j] + GAP))
+        row, best = new, max(best, *new)
+    return best / (MATCH * len(a))
+
+
+def test_edited_copies_equal_brute_force(spark):
+    """Every fifth, fourth or third word changed, words put between all others, halves; with an exact copy elsewhere."""
+    r = random.Random(11)
+    items = [(i, prose(r, r.randrange(15, 50))) for i in range(10)]
+    rows = []
+    for i, w in items:
+        copies = [w] if i % 2 else []
+        copies += [[f"n{i}" if j % step == step - 1 else x for j, x in enumerate(w)] for step in (5, 4, 3)]
+        copies += [[y for x in w for y in (x, f"m{i}")], w[: (len(w) + 1) // 2], w[: len(w) // 2 - 1]]
+        rows += [prose(r, r.randrange(30)) + c + prose(r, r.randrange(30)) for c in copies]
+    want = sorted((d, i, plain_score(w, text)) for d, text in enumerate(rows) for i, w in items if plain_score(w, text) >= 0.5)
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert len(want) >= 50
+    assert sorted((x.doc_id, x.item_id, x.score) for x in contaminated(docs, bench).collect()) == want

@@ -1,14 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare words as seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are counted over all documents (documents holding them). Of each item the rarer half of
-its n-grams are its seeds. Places where a document has a seed of an item are aligned with the item's words by
-Smith-Waterman; the score is the best local alignment's share of what the item scores against itself, so that edited
-and paraphrased copies score by what they kept. Documents with a score of ``least`` or more are contaminated.
+The words of the test items are counted over all documents (documents holding them). A score is the best local
+alignment's share of what the item scores against itself, so that edited and paraphrased copies score by what they
+kept. Documents with a score of ``least`` or more are contaminated.
+
+The seeds lose none of them. With b = 2 * (1 - least) for each word of an item, an alignment that reaches ``least``
+leaves at most b / 2 of the item's words unmatched and inserts at most b words. So of the item's b / 2 + k rarest
+words at least k stand in the document, within the item's length and b words. Places where they do are aligned.
 
 Benchmarks go to the workers in chunks of bounded size, one pass over the documents for each.
 
-Defined results: null or empty texts and items match nothing; items shorter than an n-gram seed by their whole word
-sequence; repeated ids report row by row; an empty table gives no rows; other columns are ignored; texts are searched whole.
+Defined results: null or empty texts and items match nothing; repeated ids report row by row; an empty table gives no
+rows; other columns are ignored; texts are searched whole.
 """
 
 from __future__ import annotations
@@ -22,9 +25,13 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.common import slices
 
-#: Words of a seed; least share of an item's own score; characters of items that one pass takes.
-NGRAM, LEAST, CHUNK_CHARS = 3, 0.5, 16_000_000
+#: Least share of an item's own score; characters of items that one pass takes.
+LEAST, CHUNK_CHARS = 0.5, 16_000_000
+#: Not used here: seeds are single words. Kept for those who import it.
+NGRAM = 3
 MATCH, MISS, GAP = 2, -1, -1
+#: Besides those it can lose, an item has a seed word more for each SPARE of its words.
+SPARE = 8
 #: Cells of alignment rows that are worked on at once.
 CELLS = 400_000
 
@@ -36,56 +43,77 @@ def _words(text: str | None) -> list[str]:
 
 
 class Items:
-    """The items of a chunk: their words as numbers, and their n-grams in sorted order."""
+    """The items of a chunk with their words as numbers."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.n = n
+    def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
         words = [_words(t) for _, t in rows]
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.words = [np.array([self.number[w] for w in ws], np.int64) for ws in words]
-        self.base = len(self.number) + 1
-        grams, owners = [], []
-        for k, ws in enumerate(self.words):
-            if len(ws):
-                width = min(n, len(ws))
-                grams.append(self.code(ws, width))
-                owners.append(np.full(len(grams[-1]), k))
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.distinct = np.unique(self.gram)
-        self.widths = sorted({min(n, len(ws)) for ws in self.words if len(ws)})
-
-    def code(self, numbers: np.ndarray, width: int) -> np.ndarray:
-        """Codes of the windows of word numbers; windows with an unknown word get 0."""
-        m = len(numbers) - width + 1
-        if m <= 0:
-            return np.zeros(0, np.uint64)
-        h = np.full(m, width, np.uint64)
-        known = np.ones(m, bool)
-        for i in range(width):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + numbers[i : i + m].astype(np.uint64)
-            h ^= h >> np.uint64(29)
-            known &= numbers[i : i + m] > 0
-        return np.where(known, h | np.uint64(1), np.uint64(0))
-
-    def numbers(self, text: str) -> tuple[np.ndarray, list[str]]:
+        keys = [np.unique(ws) + k * (len(self.number) + 1) for k, ws in enumerate(self.words)]
+        self.has = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+
+    def bounds(self, owner: list[int], regions: list[np.ndarray]) -> np.ndarray:
+        """Share of the item's own score that no alignment with the region exceeds: its words count as matches in any order."""
+        if not owner:
+            return np.zeros(0)
+        size = np.array([len(r) for r in regions])
+        key = np.repeat(np.array(owner) * (len(self.number) + 1), size) + np.concatenate(regions)
+        gain = np.where(self.has[np.minimum(np.searchsorted(self.has, key), len(self.has) - 1)] == key, MATCH, MISS)
+        head = np.cumsum(size) - size
+        # before each region the sum falls so far that the running minimum starts anew there
+        fall = np.zeros(len(gain), np.int64)
+        fall[head] = (MATCH - MISS) * int(size.max())
+        before = np.cumsum(gain - fall) - gain
+        best = np.maximum.reduceat(before + gain - np.minimum.accumulate(before), head)
+        return best / (MATCH * np.array([len(self.words[k]) for k in owner]))
+
+    def numbers(self, text: str) -> np.ndarray:
+        """Word numbers of a text; words of no item are 0."""
         ws = text.lower().split()
         get = self.number.get
-        found = np.fromiter((get(w) or get(w.strip(_trim), 0) for w in ws), np.int64, len(ws))
-        return found, ws
-
-    def hits(self, numbers: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document and the sorted wanted codes' positions that stand there."""
-        places, codes = [], []
-        for width in self.widths:
-            h = self.code(numbers, width)
-            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1) if len(wanted) else np.zeros(len(h), np.int64)
-            ok = np.flatnonzero(wanted[at] == h) if len(wanted) else np.zeros(0, np.int64)
-            places.append(ok)
-            codes.append(at[ok])
-        return np.concatenate(places), np.concatenate(codes)
+        return np.fromiter((get(w) or get(w.strip(_trim), 0) for w in ws), np.int64, len(ws))
+
+
+class Seeds:
+    """Per word the items it is a seed of; per item how many seeds must stand how close together."""
+
+    def __init__(self, items: Items, frequency: np.ndarray, least: float):
+        size = np.array([len(ws) for ws in items.words], np.int64)
+        spend = np.floor(MATCH * size * (1 - least) + 1e-9).astype(np.int64)
+        lost = np.minimum(spend // 2, size)
+        self.need = np.maximum(np.minimum(size - lost, 1 + size // SPARE), 1)
+        self.reach = size + spend
+        word, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, ws in enumerate(items.words):
+            rare = ws[np.lexsort((ws, frequency[ws]))][: lost[k] + self.need[k]]
+            word.append(np.unique(rare))
+            owner.append(np.full(len(word[-1]), k))
+        words, owners = np.concatenate(word), np.concatenate(owner)
+        self.owner = owners[np.argsort(words, kind="stable")]
+        self.first = np.searchsorted(np.sort(words), np.arange(len(frequency) + 1))
+
+    def regions(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, from, to) of the parts of a document that can reach the least score, overlapping ones as one."""
+        many = self.first[numbers + 1] - self.first[numbers]
+        place = np.flatnonzero(many)
+        many = many[place]
+        ends = np.cumsum(many)
+        at = np.repeat(self.first[numbers[place]] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+        item, place = self.owner[at], np.repeat(place, many)
+        by = np.argsort(item, kind="stable")
+        item, place = item[by], place[by]
+        i = np.arange(len(item))
+        j = i + self.need[item] - 1
+        ok = j < len(item)
+        i, j = i[ok], j[ok]
+        ok = (item[j] == item[i]) & (place[j] - place[i] < self.reach[item[i]])
+        i, j = i[ok], j[ok]
+        item, lo, hi = item[i], np.maximum(place[j] - self.reach[item[i]] + 1, 0), np.minimum(place[i] + self.reach[item[i]], len(numbers))
+        # one after another by place, the starts and ends of an item's regions both grow
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (lo[1:] >= hi[:-1])
+        return item[new], lo[new], hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]] if len(hi) else hi
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int]]:
@@ -125,8 +153,8 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int]]
 
 
 def _document_frequencies(source: DataFrame, items: Items) -> np.ndarray:
-    """How many documents have each distinct n-gram of the items."""
-    size = len(items.distinct)
+    """How many documents have each word of the items, by word number."""
+    size = len(items.number) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(size, np.int64)
@@ -134,29 +162,19 @@ def _document_frequencies(source: DataFrame, items: Items) -> np.ndarray:
             for text in batch.column(1):
                 t = text.as_py()
                 if t:
-                    count[np.unique(items.hits(items.numbers(t)[0], items.distinct)[1])] += 1
+                    count[np.unique(items.numbers(t))] += 1
         at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["word", "n"])
 
     total = np.zeros(size, np.int64)
-    # one row for each n-gram of the chunk at most
-    for row in source.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        total[row["gram"]] = row["n"]
+    # one row for each word of the chunk at most
+    for row in source.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+        total[row["word"]] = row["n"]
     return total
 
 
 def _matches(source: DataFrame, items: Items, frequency: np.ndarray, least: float) -> DataFrame:
-    at = np.searchsorted(items.distinct, items.gram)
-    order = np.lexsort((items.place, frequency[at], items.owner))
-    owner = items.owner[order]
-    head = np.searchsorted(owner, owner)
-    size = np.searchsorted(owner, owner, "right") - head
-    seeds = np.sort(order[np.arange(len(order)) - head < (size + 1) // 2])
-    wanted = np.unique(items.gram[seeds])
-    by = np.argsort(items.gram[seeds], kind="stable")
-    seed_owner, seed_place = items.owner[seeds][by], items.place[seeds][by]
-    first = np.searchsorted(items.gram[seeds][by], wanted, "left")
-    last = np.searchsorted(items.gram[seeds][by], wanted, "right")
+    seeds = Seeds(items, frequency, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,28 +184,12 @@ def _matches(source: DataFrame, items: Items, frequency: np.ndarray, least: floa
                 for i in range(a, b):
                     if not texts[i]:
                         continue
-                    numbers, _ = items.numbers(texts[i])
-                    places, codes = items.hits(numbers, wanted)
-                    if not len(places):
-                        continue
-                    regions: dict[int, list[int]] = {}
-                    for p, c in zip(places.tolist(), codes.tolist(), strict=True):
-                        for s in range(first[c], last[c]):
-                            regions.setdefault(int(seed_owner[s]), []).append(p - int(seed_place[s]))
-                    for k, starts in regions.items():
-                        item = items.words[k]
-                        slack = len(item) // 2 + 2
-                        starts.sort()
-                        lo = hi = None
-                        for s in [*starts, None]:  # overlapping regions are aligned as one
-                            if lo is not None and (s is None or s - slack > hi):
-                                x, y = max(0, lo), min(len(numbers), hi)
-                                pairs.append((item, numbers[x:y]))
-                                about.append((i, k, x))
-                                lo = None
-                            if s is not None:
-                                lo = s - slack if lo is None else lo
-                                hi = s + len(item) + slack
+                    numbers = items.numbers(texts[i])
+                    for k, x, y in zip(*(c.tolist() for c in seeds.regions(numbers)), strict=True):
+                        pairs.append((items.words[k], numbers[x:y]))
+                        about.append((i, k, x))
+                able = np.flatnonzero(items.bounds([k for _, k, _ in about], [r for _, r in pairs]) >= least).tolist()
+                pairs, about = [pairs[j] for j in able], [about[j] for j in able]
                 best: dict[tuple[int, int], tuple[float, int]] = {}
                 for (i, k, x), (score, end) in zip(about, align(pairs), strict=True):
                     if score >= least and score > best.get((i, k), (0.0, 0))[0]:
@@ -201,7 +203,7 @@ def _matches(source: DataFrame, items: Items, frequency: np.ndarray, least: floa
     return source.mapInArrow(run, "id bigint, item_id bigint, score double, end_word bigint")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: float = LEAST, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, score, end_word) of every row and item whose best alignment reaches ``least``."""
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text_col).alias("text")).filter(F.length("text") > 0)
@@ -211,8 +213,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, least: f
     for c in range(chunks):
         part = items.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c)
         rows = sorted((r["id"], r["text"]) for r in part.collect())  # about chunk_chars characters
-        own = Items(rows, n)
-        if not len(own.gram):
+        own = Items(rows)
+        if not own.number:
             continue
         found = _matches(source, own, _document_frequencies(source, own), least)
         out = found if out is None else out.unionByName(found)
