@@ -60,3 +60,21 @@ def test_passages_go_and_clean_texts_stay(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_passages_go_from_first_to_last_word(spark, monkeypatch):
+    """Passages of 20 to 80 words in the middle of lines, without any full stop."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    r = random.Random(12)
+    plain = lambda n: words(r, n).replace(".", "")
+    passages = [plain(n) for n in [20, 21, 25, 30, 40, 50, 51, 60, 80] * 4]
+    rows = [(i, plain(15) + " " + p + " " + plain(9)) for i, p in enumerate(passages)]
+    rows += [(100 + i, plain(12) + " " + p + " " + plain(30)) for i, p in enumerate(passages)]
+    short = plain(19)
+    rows += [(200, short + " " + plain(40)), (201, plain(40) + " " + short)]
+    by = {x.doc_id: x for x in run(spark, rows)}
+    source = dict(rows)
+    for i, p in enumerate(passages):
+        assert by[i].n_removed == 0
+        assert [source[100 + i][s.start : s.end] for s in by[100 + i].spans] == [p + " "]
+    assert by[200].n_removed == by[201].n_removed == 0

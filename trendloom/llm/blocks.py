@@ -57,3 +57,23 @@ def owned_elsewhere(rows: pa.Table) -> pa.Table:
     late = late[np.argsort(sender[late], kind="stable")]
     runs = runs_of(sender[late])
     return pa.table({"block": pa.array([blocks_[r[0]] for r in runs], pa.int64()), "blob": pa.array([digest[late[a:b]].tobytes() for _, a, b in runs], pa.binary())})
+
+
+def names(block: int, digest: np.ndarray, buckets: int) -> pa.Table:
+    """Rows (bucket, block, blob) with a block's distinct digests alone."""
+    bucket = ((digest >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    runs, digest = runs_of(bucket[by]), digest[by]
+    return pa.table({"bucket": pa.array([r[0] for r in runs], pa.int64()), "block": pa.array([block] * len(runs), pa.int64()), "blob": pa.array([digest[a:b].tobytes() for _, a, b in runs], pa.binary())})
+
+
+def named_elsewhere(rows: pa.Table) -> pa.Table:
+    """Of a bucket's names: to each block, those of its digests that another block has too."""
+    blobs, blocks_ = rows.column("blob").to_pylist(), rows.column("block").to_pylist()
+    digest = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])
+    sender = np.repeat(np.arange(len(blobs)), [len(x) // 8 for x in blobs])
+    order = np.argsort(digest, kind="stable")
+    same = digest[order][1:] == digest[order][:-1]
+    both = np.sort(order[np.r_[False, same] | np.r_[same, False]])
+    runs = runs_of(sender[both])
+    return pa.table({"block": pa.array([blocks_[r[0]] for r in runs], pa.int64()), "blob": pa.array([digest[both[a:b]].tobytes() for _, a, b in runs], pa.binary())})

@@ -1,13 +1,13 @@
-"""Removal of repeated passages by hashing units of lines.
+"""Removal of repeated passages by hashing runs of words.
 
-Lines are cut into units where the words themselves say so: at line ends, after sentence ends, and after words whose
-hash is a multiple of UNIT; so the same passage has the same units wherever it stands. From every unit on, the run of
-units with LEAST words or more is normalised (lower case, no punctuation, white space as one) and hashed. Digests
-are grouped globally; the earliest occurrence, by document id and place, stays, and the units of all others are cut
-out, with their offsets in the original text. Shorter repetitions, such as single common lines, stay.
+Every word starts a run of LEAST words, which is normalised (lower case, no punctuation, white space as one) and hashed.
+Digests are grouped globally; the earliest occurrence, by document id and place, stays, and the words of all others
+are cut out, with their offsets in the original text: so a repeated passage goes from its first word to its last,
+wherever it stands. Shorter repetitions, such as single common lines, stay.
 
 Blocks of documents offer each distinct digest once with its smallest id, so that a passage in very many documents
-is as cheap as any other.
+is as cheap as any other. Runs that stand in one block only are not offered: a run's anchor is the smallest hash among
+its strings of LEAST / 2 words, equal for equal runs and for most neighbours; blocks first learn which of their anchors others have.
 
 Defined results: null and empty texts stay as they are; rows with one id are ranked by their texts; an empty table
 gives no rows; offsets count characters; other columns are ignored.
@@ -20,16 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.blocks import BUCKET_DIGESTS, blocked, offers, owned_elsewhere, text_bytes
+from trendloom.llm.blocks import BUCKET_DIGESTS, blocked, named_elsewhere, names, offers, owned_elsewhere, text_bytes
 from trendloom.llm.hashing import POWERS, mix, prefix_sums, word_spans
 
-#: Words of a run of units at least; one word of UNIT ends a unit besides sentence and line ends.
-LEAST, UNIT = 20, 16
+#: Words of a run.
+LEAST = 20
 
 _punctuation = np.zeros(256, bool)
 _punctuation[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
-_stop = np.zeros(256, bool)
-_stop[list(b".!?")] = True
 
 
 def _lowered(text: str, raw: bytes) -> np.ndarray:
@@ -37,97 +35,137 @@ def _lowered(text: str, raw: bytes) -> np.ndarray:
     return np.frombuffer(low if len(low) == len(raw) else raw.lower(), np.uint8)
 
 
-def unit_runs(text: str, least: int = LEAST, unit: int = UNIT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: starts of its words and units (byte places and word numbers), digests of the runs, last unit of each + 1."""
+def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (byte places) of the words of a text and their hashes."""
     raw_bytes = text.encode()
     raw = np.frombuffer(raw_bytes, np.uint8)
     start, end = word_spans(raw)
-    n = len(start)
-    if not n:
-        return start, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
     low = _lowered(text, raw_bytes)
     use = ~_punctuation[low]
     place = np.r_[0, np.cumsum(use)]
     sums = prefix_sums(low[use])
     _, down = POWERS.of(len(sums))
-    word = mix((sums[place[end]] - sums[place[start]]) * down[place[start]])
-    breaks = np.r_[0, np.cumsum(raw == 10)]
-    last = np.ones(n, bool)
-    last[:-1] = _stop[raw[end[:-1] - 1]] | (breaks[start[1:]] > breaks[end[:-1]]) | (word[:-1] % np.uint64(unit) == 0)
-    first = np.flatnonzero(np.r_[True, last[:-1]])
-    close = np.r_[first[1:], n]
-    # from each unit the fewest whole units that hold enough words
-    until = np.searchsorted(close, first + least)
-    whole = until < len(close)
-    until = until[whole]
-    up, down = POWERS.of(n + 1)
-    total = np.zeros(n + 1, np.uint64)
+    return start, mix((sums[place[end]] - sums[place[start]]) * down[place[start]])
+
+
+def _strings(word: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the strings of n words."""
+    m = len(word) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = POWERS.of(len(word) + 1)
+    total = np.zeros(len(word) + 1, np.uint64)
     np.cumsum(word * up[:-1], out=total[1:])
-    a, b = first[whole], close[until]
-    digest = mix((total[b] - total[a]) * down[a]) & ~np.uint64(0)
-    return start, first, digest, until + 1
+    return mix((total[n:] - total[:-n]) * down[:m])
+
+
+def _anchors(word: np.ndarray, least: int) -> np.ndarray:
+    """Of each run of ``least`` words: the smallest hash among its strings of half as many."""
+    low = _strings(word, max(least // 2, 1))
+    wide, have = least - max(least // 2, 1) + 1, 1
+    if len(low) < wide:
+        return np.zeros(0, np.uint64)
+    while have < wide:
+        step = min(have, wide - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    return low
+
+
+def unit_runs(text: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: starts of its words and units (byte places and word numbers), digests of the runs, last unit of each + 1."""
+    start, word = _word_hashes(text)
+    digest = _strings(word, least)
+    return start, np.arange(len(start)), digest, np.arange(len(digest)) + least
 
 
 class _Rows:
-    def __init__(self, rows: pa.Table, least: int, unit: int):
+    def __init__(self, rows: pa.Table, least: int):
         ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
-        self.runs = [unit_runs(t or "", least, unit) for t in self.texts]
-        self.digest = np.concatenate([r[2] for r in self.runs] or [np.zeros(0, np.uint64)])
+        words = [_word_hashes(t or "") for t in self.texts]
+        self.start, self.words, self.least = [w[0] for w in words], [w[1] for w in words], least
+
+    def digests(self) -> np.ndarray:
+        return np.concatenate([_strings(w, self.least) for w in self.words] or [np.zeros(0, np.uint64)])
+
+    def anchors(self) -> np.ndarray:
+        return np.concatenate([_anchors(w, self.least) for w in self.words] or [np.zeros(0, np.uint64)])
+
+    def owners(self) -> np.ndarray:
         low = np.iinfo(np.int64).min
         owner = np.array([low if i is None else i for i in self.ids], np.int64)
-        self.owner = np.repeat(owner, [len(r[2]) for r in self.runs])
+        return np.repeat(owner, [max(len(w) - self.least + 1, 0) for w in self.words])
+
 
+def _sent(rows: pa.Table) -> np.ndarray:
+    sent = [np.frombuffer(x, np.uint64) for x in rows.column("blob").to_pylist()]
+    return np.sort(np.concatenate(sent)) if sent else np.zeros(0, np.uint64)
 
-def remove_repeated_passages(docs: DataFrame, least: int = LEAST, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, text (what is kept), n_units, n_removed (characters), spans (array of start and end offsets)."""
+
+def _among(taken: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    return taken[np.minimum(np.searchsorted(taken, digest), len(taken) - 1)] == digest if len(taken) else np.zeros(len(digest), bool)
+
+
+def remove_repeated_passages(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, text (what is kept), n_units (words), n_removed (characters), spans (array of start and end offsets)."""
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     total = text_bytes(source)
     buckets = total // 40 // BUCKET_DIGESTS + 1
     grouped = blocked(source, total).groupBy("block")
 
-    def offer(rows: pa.Table) -> pa.Table:
-        r = _Rows(rows, least, unit)
-        digest, first = np.unique(r.digest, return_index=True)
-        return offers(rows.column("block")[0].as_py(), digest, r.owner[first], buckets)
+    def name(rows: pa.Table) -> pa.Table:
+        return names(rows.column("block")[0].as_py(), np.unique(_Rows(rows, least).anchors()), buckets)
+
+    def offer(rows: pa.Table, shared: pa.Table) -> pa.Table:
+        if not rows.num_rows or not shared.num_rows:
+            return offers(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), buckets)
+        r = _Rows(rows, least)
+        use = _among(_sent(shared), r.anchors())
+        digest, first = np.unique(r.digests()[use], return_index=True)
+        return offers(rows.column("block")[0].as_py(), digest, r.owners()[use][first], buckets)
 
     kinds = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def cut(rows: pa.Table, known: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return kinds.empty_table()
-        r = _Rows(rows, least, unit)
-        sent = [np.frombuffer(x, np.uint64) for x in known.column("blob").to_pylist()]
-        taken = np.sort(np.concatenate(sent)) if sent else np.zeros(0, np.uint64)
-        gone = np.ones(len(r.digest), bool)
-        gone[np.unique(r.digest, return_index=True)[1]] = False  # the first of the block stays
-        if len(taken):  # unless another block has it earlier
-            gone |= taken[np.minimum(np.searchsorted(taken, r.digest), len(taken) - 1)] == r.digest
+        r = _Rows(rows, least)
+        digest = r.digests()
+        gone = _among(_sent(known), digest)  # another block has it earlier
+        later = np.ones(len(digest), bool)
+        later[np.unique(digest, return_index=True)[1]] = False  # the first of the block stays otherwise
+        gone |= later
         out: list[list] = [[] for _ in kinds]
         at = 0
-        for i, text, (start, first, digest, until) in zip(r.ids, r.texts, r.runs, strict=True):
-            mine = gone[at : at + len(digest)]
-            at += len(digest)
+        for i, text, start in zip(r.ids, r.texts, r.start, strict=True):
+            runs = max(len(start) - least + 1, 0)
+            mine = gone[at : at + runs]
+            at += runs
             spans: list[dict] = []
             kept, removed = text, 0
             if mine.any():
-                edge = np.zeros(len(first) + 1, np.int64)
-                np.add.at(edge, np.flatnonzero(mine), 1)
-                np.add.at(edge, until[mine], -1)
+                edge = np.zeros(len(start) + 1, np.int64)
+                edge[:runs] += mine
+                edge[least:] -= mine
                 cover = np.r_[False, np.cumsum(edge[:-1]) > 0, False].astype(np.int8)
                 a, b = np.flatnonzero(np.diff(cover) == 1), np.flatnonzero(np.diff(cover) == -1)
                 raw = np.frombuffer(text.encode(), np.uint8)
                 chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-                begin = np.r_[start[first], len(raw)]
+                begin = np.r_[start, len(raw)]
                 lo, hi = chars[begin[a]].tolist(), chars[begin[b]].tolist()
                 spans = [{"start": x, "end": y} for x, y in zip(lo, hi, strict=True)]
                 kept = "".join(text[x:y] for x, y in zip([0, *hi], [*lo, len(text)], strict=True))
                 removed = len(text) - len(kept)
-            for column, value in zip(out, (i, kept, len(first), removed, spans), strict=True):
+            for column, value in zip(out, (i, kept, len(start), removed, spans), strict=True):
                 column.append(value)
         return pa.table({f.name: pa.array(x, f.type) for f, x in zip(kinds, out, strict=True)})
 
-    known = grouped.applyInArrow(offer, "bucket bigint, block bigint, blob binary").groupBy("bucket").applyInArrow(owned_elsewhere, "block bigint, blob binary")
+    shared = grouped.applyInArrow(name, "bucket bigint, block bigint, blob binary").groupBy("bucket").applyInArrow(named_elsewhere, "block bigint, blob binary")
+    offered = grouped.cogroup(shared.groupBy("block")).applyInArrow(offer, "bucket bigint, block bigint, blob binary")
+    known = offered.groupBy("bucket").applyInArrow(owned_elsewhere, "block bigint, blob binary")
     done = grouped.cogroup(known.groupBy("block")).applyInArrow(cut, "id bigint, text string, n_units bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>")
     return done.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_units", "n_removed", "spans")
