@@ -160,3 +160,25 @@ def test_backoff(spark, tmp_path):
     assert [r.allowed for r in spark.sql("select * from backoff order by polled_at").collect()] == [True, False, False, True]
     until = spark.createDataFrame(rows, "source_key string, polled_at timestamp, error string").select(jobs.backoff_until(F.col("source_key"), F.col("error"), F.col("polled_at")).alias("u")).collect()
     assert until[0].u >= T0 + dt.timedelta(hours=6) and until[1].u is None
+
+
+def test_near_equal_pairs_equal_brute_force(spark):
+    r = random.Random(3)
+    words = ["".join(r.choices("abü", k=r.randrange(0, 5))) for _ in range(60)] + [None]
+
+    def near(x, y):
+        one = {x} | {x[:i] + x[i + 1 :] for i in range(len(x))}
+        two = {y} | {y[:i] + y[i + 1 :] for i in range(len(y))}
+        edit = x in two or y in one or (len(x) == len(y) and sum(c != e for c, e in zip(x, y)) <= 1)
+        return x in y or y in x or edit
+
+    want = sorted((i, j) for i, j in itertools.combinations(range(61), 2) if words[i] and words[j] and near(words[i], words[j]))
+    got = R.near_equal_pairs(spark.createDataFrame(list(enumerate(words)), "k long, w string")).collect()
+    assert sorted((x.a, x.b) for x in got) == want
+
+
+def test_near_equal_customers_sees_every_customer(spark, tmp_path):
+    from trendloom.plans.text_queries import QUERIES
+
+    spark.createDataFrame([(i, f"Customer#{i:09d}") for i in (299, 300, 1299, 1300, 14300)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {(x.a, x.b) for x in QUERIES["near_equal_customers"](spark, str(tmp_path)).collect()} == {(299, 1299), (300, 1300), (300, 14300), (1300, 14300)}

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions.scalar import nearly_equal
+
 #: Rows of a dimension that may be broadcast for a condition that no equi-join expresses.
 BROADCAST_ROWS = 10_000
 
@@ -224,3 +226,21 @@ def ungrouped(articles: DataFrame, grouped: DataFrame, hours: int, excluded_sour
     pool = articles if excluded_source is None else articles.filter(F.col("source_key") != excluded_source)
     newest = pool.agg(F.max("published_at").alias("_m"))
     return pool.join(F.broadcast(newest), F.col("published_at") >= F.col("_m") - F.make_dt_interval(hours=F.lit(hours))).drop("_m").join(grouped.select("id"), "id", "left_anti")
+
+
+def near_equal_pairs(words: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of rows (k, w) whose words are equal, one within the other, or one edit apart.
+
+    No all-pairs join: the pieces of a word meet the words by equality, and words one edit apart share a key among
+    themselves and their forms with one character deleted. Distinct words are compared, then their rows joined."""
+    w = words.select("k", "w").filter(F.length("w") > 0)
+    distinct = w.select("w").distinct()
+    size = F.length("w")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("w", i, n))))
+    within = distinct.select(F.col("w").alias("x"), F.explode(F.array_distinct(pieces)).alias("y")).join(distinct.select(F.col("w").alias("y")), "y", "left_semi").select("x", "y")
+    forms = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, size)))
+    keys = distinct.select("w", F.explode(F.array_distinct(F.concat(F.array("w"), forms))).alias("key"))
+    edited = keys.select(F.col("w").alias("x"), "key").join(keys.select(F.col("w").alias("y"), "key"), "key").filter("x < y").select("x", "y")
+    near = within.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).union(edited).distinct().filter(nearly_equal(F.col("x"), F.col("y")))
+    pairs = near.join(w.select(F.col("k").alias("p"), F.col("w").alias("x")), "x").join(w.select(F.col("k").alias("q"), F.col("w").alias("y")), "y")
+    return pairs.filter((F.col("x") != F.col("y")) & (F.col("p") != F.col("q")) | (F.col("p") < F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))

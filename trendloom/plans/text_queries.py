@@ -57,8 +57,13 @@ def event_fingerprint_rollup(spark, d):
 @query("with n as (select n_nationkey k, lower(n_name) w from nation), c as (select c_custkey k, lower(substr(c_name, 16, 3)) w from customer where c_custkey < 300) select a.k a, b.k b from c a join c b on a.k < b.k where a.w <> '' and (a.w = b.w or contains(a.w, b.w) or contains(b.w, a.w) or levenshtein(a.w, b.w) <= 1)")
 def near_equal_pairs(spark, d):
     c = table(spark, d, "customer").filter("c_custkey < 300").select(F.col("c_custkey").alias("k"), F.lower(F.substring("c_name", 16, 3)).alias("w"))
-    a, b = c.select(F.col("k").alias("a"), F.col("w").alias("wa")), c.select(F.col("k").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, (F.col("a") < F.col("b")) & S.nearly_equal(F.col("wa"), F.col("wb"))).select("a", "b")
+    return R.near_equal_pairs(c)
+
+
+@query("with c as (select c_custkey k, lower(substr(c_name, 16, 3)) w from customer) select a.k a, b.k b from c a join c b on a.k < b.k where a.w <> '' and (a.w = b.w or contains(a.w, b.w) or contains(b.w, a.w) or levenshtein(a.w, b.w) <= 1)")
+def near_equal_customers(spark, d):
+    """The pairs of ``near_equal_pairs`` over all customers."""
+    return R.near_equal_pairs(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lower(F.substring("c_name", 16, 3)).alias("w")))
 
 
 @query(f"with {ARTICLES} select id, case when heat_value > 0 then heat_value + greatest(heat_value - prev_heat_value, 0) else 10000 end score, 3 * contains(lower(title), 'tion')::int + contains(lower(content), 'tion')::int weight, case when heat_value - prev_heat_value > 0 and id % 2 > 0 then 'up' when heat_value - prev_heat_value < 0 then 'down' else 'flat' end momentum from ar")
