@@ -182,3 +182,14 @@ def test_near_equal_customers_sees_every_customer(spark, tmp_path):
 
     spark.createDataFrame([(i, f"Customer#{i:09d}") for i in (299, 300, 1299, 1300, 14300)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     assert {(x.a, x.b) for x in QUERIES["near_equal_customers"](spark, str(tmp_path)).collect()} == {(299, 1299), (300, 1300), (300, 14300), (1300, 14300)}
+
+
+def test_event_groups_keep_terms_of_many_articles(spark, tmp_path):
+    """A term of 45 of 120 articles, more than any fixed number or five in a hundred, still links them."""
+    from trendloom.plans.text_queries import QUERIES
+
+    recent = [i for i in range(1, 43200) if i * 7919 % 43200 >= 41760][:120]
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    rows = [(i, (f"tremors shake northern valley q{name(n)}" if n < 45 else f"zz{name(n)} yy{name(n)} xx{name(n)}"), f"s{n}", 50) for n, i in enumerate(recent)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [g["count"] for g in QUERIES["event_groups"](spark, str(tmp_path)).collect()] == [45]

@@ -188,11 +188,12 @@ def components(spark, d):
 
 @query()
 def event_groups(spark, d):
-    a = articles(spark, d)
+    """As ``TrendEngine.events``: the hottest articles of the last day; terms that over 40 % of them have do not link."""
+    a = R.recent(articles(spark, d), as_of(), 24, R.sample_limit(24))
     t = M.letter_tokens(a)
     entities = t.filter("length(token) > 6").select("id", F.col("token").alias("term"))
     keywords = t.filter("length(token) between 5 and 6").select("id", F.col("token").alias("term"))
-    return M.cluster_events(a, entities, keywords, t, 24, 8, hub_share=0.05, most_docs=40).drop("ids")
+    return M.cluster_events(a, entities, keywords, t, 24, 8).drop("ids")
 
 
 @query(f"with {ARTICLES}, m as (select *, 3 * contains(lower(title), 'heen')::int + contains(lower(content), 'heen')::int weight from ar) select id, weight, title from m where weight > 0 order by weight desc, published_at desc, heat_value desc, id limit 20")
