@@ -193,3 +193,10 @@ def test_event_groups_keep_terms_of_many_articles(spark, tmp_path):
     rows = [(i, (f"tremors shake northern valley q{name(n)}" if n < 45 else f"zz{name(n)} yy{name(n)} xx{name(n)}"), f"s{n}", 50) for n, i in enumerate(recent)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert [g["count"] for g in QUERIES["event_groups"](spark, str(tmp_path)).collect()] == [45]
+
+
+def test_absorption_sees_the_whole_label(spark):
+    long = "a" * 45
+    labels = ["b" * 50 + "storm", "storm", long, "c" + long, "x", "", "🌊" + "d" * 41 + "é", "é"]
+    kept = {r.label for r in M.absorb_labels(spark.createDataFrame([(x,) for x in labels if x], "label string")).collect()}
+    assert kept == {"storm", long, "x", "é"}

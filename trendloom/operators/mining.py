@@ -115,11 +115,14 @@ def accumulate_topics(candidates: DataFrame, articles: DataFrame, deltas: DataFr
     )
 
 
-def absorb_labels(topics: DataFrame, most_len: int = 40) -> DataFrame:
-    """Topics without those whose label strictly contains another topic's label: pieces of labels meet labels by equality."""
+def absorb_labels(topics: DataFrame) -> DataFrame:
+    """Topics without those whose label strictly contains another topic's label: pieces of labels, of the lengths that labels have, meet labels by equality."""
     labels = topics.select("label").distinct()
-    size = F.least(F.length("label"), F.lit(most_len))
-    pieces = labels.select(F.col("label").alias("whole"), F.explode(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda a: F.transform(F.sequence(F.lit(1), size - a + 1), lambda k: F.substring("label", a, k))))).alias("label")).filter("label <> whole").distinct()
+    size = F.length("label")
+    # one row: a set of numbers, however many labels there are
+    lengths = labels.agg(F.collect_set(size).alias("lengths"))
+    starts = F.transform("lengths", lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda a: F.substring("label", a, n))).otherwise(F.array().cast("array<string>")))
+    pieces = labels.crossJoin(F.broadcast(lengths)).select(F.col("label").alias("whole"), F.explode(F.flatten(starts)).alias("label")).filter("label <> whole").distinct()
     over = pieces.join(labels, "label", "left_semi").select(F.col("whole").alias("label")).distinct()
     return topics.join(over, "label", "left_anti")
 
