@@ -200,3 +200,11 @@ def test_absorption_sees_the_whole_label(spark):
     labels = ["b" * 50 + "storm", "storm", long, "c" + long, "x", "", "🌊" + "d" * 41 + "é", "é"]
     kept = {r.label for r in M.absorb_labels(spark.createDataFrame([(x,) for x in labels if x], "label string")).collect()}
     assert kept == {"storm", long, "x", "é"}
+
+
+def test_share_page_digests_has_every_article(spark, tmp_path):
+    from trendloom.plans.text_queries import QUERIES
+
+    spark.createDataFrame([(i, f'A & "b" <{i}>\n' + "x" * 90 * (i % 3), "s", 9) for i in range(1, 120)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["share_page_digests"](spark, str(tmp_path)).collect()
+    assert {x.id for x in got} == set(range(1, 120)) and len({x.digest for x in got}) == 119 and all(x.size > 100 for x in got)

@@ -244,6 +244,16 @@ def share_pages(spark, d):
     return feeds.share_page(a).filter(F.contains("html", F.lit("og:title"))).agg(F.count("*").alias("n"))
 
 
+SHARED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"""with {ARTICLES}, p as (select id, '<html><head><meta property="og:title" content="' || {SHARED.format('title')} || '"><meta property="og:description" content="' || {SHARED.format("case when length(content) > 100 then substr(content, 1, 100) || '…' else coalesce(content, '') end")} || '"></head><body></body></html>' html from ar)
+ select id, length(html) size, md5(html) digest from p""")
+def share_page_digests(spark, d):
+    """The share page of every article: its length and digest."""
+    return feeds.share_page(articles(spark, d)).select("id", F.length("html").cast("bigint").alias("size"), F.md5("html").alias("digest"))
+
+
 @query("select least(50, count(*)) items from documents")
 def rss_feed(spark, d):
     a = articles(spark, d).withColumn("url", F.concat(F.lit("https://example.org/a/"), F.col("id"))).withColumn("heat", F.col("heat_value"))
