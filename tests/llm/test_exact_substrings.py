@@ -61,6 +61,30 @@ def test_small_parts_are_merged(spark, monkeypatch):
     compare(spark, corpus(r))
 
 
+def test_anchor_in_many_surroundings(spark, monkeypatch):
+    """One string of GRAM bytes and more in very many different surroundings, some of which repeat."""
+    for name, value in (("BLOCK_BYTES", 40_000), ("SHARD_BYTES", 60_000), ("PER_SORT", 500)):
+        monkeypatch.setattr(module, name, value)
+    r = random.Random(6)
+    common = "the very common string of thirty bytes"
+    plain = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    around = [(plain(20), plain(20)) for _ in range(300)]
+    rows = [(i, plain(30) + a + common + b + plain(30)) for i, (a, b) in enumerate(r.choices(around, k=400) + [(plain(20), plain(20)) for _ in range(1600)])]
+    rows += [(3000 + i, common * 4) for i in range(3)]
+    compare(spark, rows)
+    monkeypatch.setattr(module, "HOT_CODES", 10**6)
+    monkeypatch.setattr(module, "HOT_IN_BLOCK", 10**6)
+    compare(spark, rows)  # the same without the way for hot anchors
+
+
+def test_digests_that_share_one_half():
+    from trendloom.llm.blocks import digest_groups
+
+    high, low, owner = np.array([5, 5, 5, 9, 5], np.uint64), np.array([2, 1, 2, 1, 1], np.uint64), np.array([7, 3, 1, 4, 0])
+    order, head = digest_groups(high, low, owner)
+    assert order.tolist() == [4, 1, 2, 0, 3] and head.tolist() == [True, False, True, False, True]
+
+
 def test_empty_table(spark):
     assert remove_repeated_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -28,6 +28,20 @@ def runs_of(key: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(key[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True))
 
 
+def digest_groups(high: np.ndarray, low: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of 128-bit digests by digest and owner, and which entries of it begin a digest.
+
+    Only where two digests share their high half alone, the low half is sorted too."""
+    order = np.lexsort((owner, high))
+    h, low_ = high[order], low[order]
+    same = h[1:] == h[:-1]
+    if (low_[1:] != low_[:-1])[same].any():
+        order = np.lexsort((owner, low, high))
+        h, low_ = high[order], low[order]
+        same = (h[1:] == h[:-1]) & (low_[1:] == low_[:-1])
+    return order, np.r_[True, ~same] if len(h) else np.zeros(0, bool)
+
+
 def offers(block: int, digest: np.ndarray, owner: np.ndarray, buckets: int) -> pa.Table:
     """Rows (bucket, block, blob) with a block's distinct digests and the smallest owner of each."""
     bucket = ((digest >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)

@@ -5,24 +5,26 @@ from __future__ import annotations
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: The base of the second half of 128-bit digests.
+SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as needed so far."""
+    """Powers of a base and of its inverse modulo 2**64, as far as needed so far."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: np.uint64 = BASE) -> None:
+        self.base, self.back = base, np.uint64(pow(int(base), -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, BASE)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, BACK)], dtype=np.uint64)
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, self.base)], dtype=np.uint64)
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, self.back)], dtype=np.uint64)
         return self.up[:n], self.down[:n]
 
 
-POWERS = Powers()
+POWERS, POWERS_TWO = Powers(), Powers(SECOND)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,20 +36,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    """Sums of (byte + 1) * BASE**place before each place; n + 1 of them."""
+def prefix_sums(raw: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
+    """Sums of (byte + 1) * base**place before each place; n + 1 of them."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    up, _ = POWERS.of(len(raw) + 1)
+    up, _ = powers.of(len(raw) + 1)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=out[1:])
     return out
 
 
-def windows(raw: np.ndarray, q: int) -> np.ndarray:
+def windows(raw: np.ndarray, q: int, powers: Powers = POWERS) -> np.ndarray:
     """Mixed hash of each of the n - q + 1 strings of q bytes."""
     if len(raw) < q:
         return np.zeros(0, np.uint64)
-    sums = prefix_sums(raw)
-    _, down = POWERS.of(len(raw) + 1)
+    sums = prefix_sums(raw, powers)
+    _, down = powers.of(len(raw) + 1)
     return mix((sums[q:] - sums[:-q]) * down[: len(raw) - q + 1])
 
 

@@ -78,7 +78,7 @@ def first_owners(snippets: np.ndarray, owner: np.ndarray, match: int, per_shard:
     rows, width = snippets.shape
     starts = width - match + 1
     best = np.repeat(owner[:, None], starts, 1)
-    gap = np.cumsum(snippets == 0, 1)
+    gap = np.cumsum(snippets == 0, 1, dtype=np.int16)
     whole = np.empty((rows, starts), bool)
     whole[:, 0] = gap[:, match - 1] == 0
     whole[:, 1:] = gap[:, match:] == gap[:, : width - match]
@@ -99,6 +99,9 @@ def first_owners(snippets: np.ndarray, owner: np.ndarray, match: int, per_shard:
         head[0] = True
         first = np.flatnonzero(head)
         low = np.minimum.reduceat(owner[a + row], first)
+        if rows <= per_shard:  # nothing to merge with
+            best[row, place] = np.repeat(low, np.diff(np.r_[first, len(row)]))
+            return best
         keys = np.lib.stride_tricks.sliding_window_view(text, match)[row[first] * (width + 1) + place[first]]
         keys = np.ascontiguousarray(keys).view(f"S{match}").ravel()
         shards.append([a + row, place, np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(row)])), keys, low])
