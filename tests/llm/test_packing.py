@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from trendloom.llm.packing import IdTable, best_fit_decreasing, lower_bound, pack_documents
+from trendloom.llm.packing import IdTable, best_fit_decreasing, lower_bound, pack_documents, pack_pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,6 +33,88 @@ def test_bound_is_sound_and_often_tight():
     assert lower_bound(np.array([14] * 6), 40) == 3
 
 
+def fewest(lengths, capacity):
+    """The fewest bins, by trying every place of every piece."""
+    best = len(lengths)
+
+    def place(i, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(lengths):
+            best = len(free)
+            return
+        for f in set(free):
+            if f >= lengths[i]:
+                rest = list(free)
+                rest[rest.index(f)] = f - lengths[i]
+                place(i + 1, rest)
+        place(i + 1, [*free, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_bound_and_packing_against_every_packing():
+    r = np.random.default_rng(3)
+    certified = 0
+    for _ in range(150):
+        lengths = np.sort(r.integers(1, 21, r.integers(1, 9)))[::-1]
+        least, bound, found = fewest(lengths.tolist(), 20), lower_bound(lengths, 20), len(best_fit_decreasing(lengths, 20)[2])
+        assert bound <= least <= found
+        certified += bound == found
+    assert certified > 100
+
+
+def packed(spark, lengths, **more):
+    pieces = spark.createDataFrame([(i, 0, 0, n, 1) for i, n in lengths], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    log = []
+    rows = pack_pieces(pieces, 20, log=log, **more).collect()
+    assert sorted((x.doc_id, x.length) for x in rows) == sorted(lengths)
+    places = {}
+    for x in rows:
+        places.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 20
+    return rows, len(places), log
+
+
+def test_certificate_ends_the_exchange(spark):
+    """Pieces over half a sequence: every partition is certified, and so are all together, though every bin has a gap."""
+    rows, n, log = packed(spark, [(i, 11 + i % 9) for i in range(60)], per_task=15)
+    assert n == 60 and all(x.certified for x in rows)
+    assert [x["step"] for x in log] == ["all"] and log[0]["certified"]
+
+
+def test_partitions_with_gaps_exchange(spark):
+    """Every partition alone leaves a part of a sequence free; together they fill whole ones."""
+    lengths = [(i, 2 + i % 3) for i in range(80)]
+    rows, n, log = packed(spark, lengths, per_task=8)
+    assert n == -(-sum(x for _, x in lengths) // 20) and all(x.certified for x in rows)
+    took = [x for x in log if x["step"] == "exchange"]
+    assert took and took[0]["everyone"] and took[0]["after"] < took[0]["bins"] and log[-1]["bins"] == log[-1]["bound"]
+
+
+def test_uncertified_partitions_exchange_first(spark):
+    """Best-fit decreasing fails on these: the bound is below it, and no exchange helps, so the search ends uncertified or at the bound."""
+    lengths = [(i, n) for k in range(6) for i, n in enumerate([9, 9, 6, 6, 5, 5], 10 * k)]
+    _, n, log = packed(spark, lengths, per_task=9)
+    assert n >= lower_bound(np.array([x for _, x in lengths]), 20)
+    assert any(x["step"] == "exchange" and not x["everyone"] for x in log) or log[-1]["bins"] == log[-1]["bound"]
+    assert log[-1]["step"] == "exchange" or log[-1]["bins"] == log[-1]["bound"]
+
+
+def test_null_and_large_ids(spark):
+    rows, n, _ = packed(spark, [(2**62 + 1, 5), (2**62 + 3, 5)])
+    assert n == 1
+    pieces = spark.createDataFrame([(None, 0, 0, 5, 1), (2**53 + 1, 0, 0, 6, 1)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert {x.doc_id for x in pack_pieces(pieces, 20).collect()} == {None, 2**53 + 1}
+
+
 def check(spark, rows, **more):
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece string, task int")
     got = pack_documents(docs, PATH, public_tokenizers.PATTERN, capacity=64, **more).collect()

@@ -1,11 +1,15 @@
 """Best-fit packing of token documents into fixed-length sequences, with certified bin counts.
 
 Every partition packs its pieces best-fit decreasing; dual-feasible functions give a lower bound of its bins, which
-certifies the count where both agree. Where bins of several partitions still have gaps, their pieces are dealt anew
-and packed again, as long as that saves sequences. Pieces of full length need no packing.
-
-Defined results: a null or empty text is the end id alone; repeated ids stay separate pieces with their own place;
-an empty table packs into nothing; other columns are ignored; long texts are cut, the first piece being the short one.
+certifies the count where both agree. Nothing can be saved in a certified set. Partitions without a certificate give
+the pieces of their bins with gaps into an exchange and are packed again; where every partition has its certificate,
+but all together need more bins than the bound of all together, every partition takes part. Packing ends when the
+bound of what could be exchanged is met, or when exchanges among all, in ever larger partitions, save no bin. Bins without a gap are never
+touched again. Pieces of full length need no packing.
+
+Defined results: a null or empty text is the end id alone; repeated ids stay separate pieces with their own place, null
+ids too; an empty table packs into nothing; other columns are ignored; long texts are cut, the first piece being the
+short one; of equal lengths the smaller id comes first.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,8 @@ from trendloom.llm.common import checkpoint, slices
 KEPT = 600_000
 #: Pieces that one packing task takes on average.
 PER_TASK = 200_000
-ROUNDS = 3
+#: How many times as many it takes at most, after exchanges of all partitions that saved nothing.
+WIDEST = 8
 
 
 def _byte_letters() -> dict[str, int]:
@@ -139,7 +143,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int, i
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The best bound of the bin count among three families of dual-feasible functions."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` of so many pieces of each length."""
+    count = count.astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     total = int(count @ x)
     best = -(-total // capacity)
@@ -186,48 +195,85 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack(pieces: DataFrame, tasks: int, round_: int, capacity: int, id_col: str) -> DataFrame:
+    """Pieces with their places, the gap of their sequence, and bins, bound and certificate of their partition."""
     names = [id_col, "piece", "start", "length", "ids_crc32"]
     dealt = pieces.select(*names, F.pmod(F.xxhash64(F.col(id_col), "piece", "start", F.lit(round_)), F.lit(tasks)).alias("task"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*names).schema)
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", id_col, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        lengths = rows["length"].to_numpy()
+    def pack(rows: pa.Table) -> pa.Table:
+        task = rows.column("task")[0].as_py()
+        rows = rows.select(names).sort_by([("length", "descending"), (id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        lengths = rows.column("length").to_numpy()
         bins, offset, free = best_fit_decreasing(lengths, capacity)
-        task = rows["task"].to_numpy()
-        certified = len(free) == lower_bound(lengths, capacity)
-        out = rows[names].assign(sequence_id=(round_ << 56) + (task << 32) + bins, offset=offset, gap=free[bins], certified=certified)
-        return out
+        bound = lower_bound(lengths, capacity)
+        n = rows.num_rows
+        more = {"sequence_id": (round_ << 56) + (task << 32) + bins, "offset": offset, "gap": free[bins], "bins": np.full(n, len(free)), "bound": np.full(n, bound)}
+        for name, values in more.items():
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return rows.append_column("certified", pa.array(np.full(n, len(free) == bound)))
+
+    return dealt.groupBy("task").applyInArrow(pack, f"{kinds}, sequence_id bigint, offset bigint, gap bigint, bins bigint, bound bigint, certified boolean")
+
 
-    return dealt.groupBy("task").applyInPandas(pack, f"{kinds}, sequence_id bigint, offset bigint, gap bigint, certified boolean")
+def _state(packed: DataFrame, capacity: int) -> tuple[int, int, int]:
+    """Pieces, bins and the lower bound of the bins of a packing: a row for each length at most comes to the driver."""
+    count = np.zeros(capacity + 1, np.int64)
+    for row in packed.groupBy("length").agg(F.count("*").alias("n")).collect():
+        count[row["length"]] = row["n"]
+    bins = packed.filter("offset = 0").count()  # every sequence has one piece there
+    return int(count.sum()), bins, bound_of_counts(count, capacity)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, per_task: int = PER_TASK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset. ``pattern`` is the tokenizer's pre-token pattern."""
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = 2048, per_task: int = PER_TASK, id_col: str = "doc_id", text_col: str = "text", log: list[dict] | None = None) -> DataFrame:
+    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, certified. ``pattern`` is the tokenizer's pre-token pattern.
+
+    ``certified``: the bin count of the piece's partition, of its exchange, or of all was proved least. ``log`` gets an
+    entry for each step: who took part, pieces, bins and bound before, bins after."""
     pieces = checkpoint(token_pieces(docs, tokenizer, pattern, capacity, id_col, text_col))
-    names = [*pieces.columns, "sequence_id", "offset"]
-    full = pieces.filter(F.col("length") == capacity).select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return pack_pieces(pieces, capacity, per_task, id_col, log)
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, per_task: int = PER_TASK, id_col: str = "doc_id", log: list[dict] | None = None) -> DataFrame:
+    """``pack_documents`` of pieces: id, piece, start, length (1 to capacity), ids_crc32."""
+    log = [] if log is None else log
+    names = [*pieces.columns, "sequence_id", "offset", "certified"]
+    full = pieces.filter(F.col("length") == capacity).select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(True).alias("certified"))
     rest = pieces.filter(F.col("length") < capacity)
-    tasks = -(-rest.count() // per_task) or 1
-    packed = _pack(rest, tasks, 0, capacity, id_col)
-    done = [full]
-    for round_ in range(1, ROUNDS + 1):
-        if tasks == 1:
+    packed = checkpoint(_pack(rest, -(-rest.count() // per_task) or 1, 0, capacity, id_col))
+    done, round_, everyone, wide = [full], 0, False, 1
+    while True:
+        n, bins, bound = _state(packed, capacity)
+        log.append({"step": "all", "round": round_, "pieces": n, "bins": bins, "bound": bound, "certified": packed.filter("not certified").limit(1).count() == 0})
+        if bins == bound:  # proved: no other packing of these has fewer
+            packed = packed.withColumn("certified", F.lit(True))
             break
-        packed = checkpoint(packed)
-        # bins with gaps, of partitions certified or not: together they may need fewer
-        loose = packed.filter("gap > 0")
-        n, bins, total = loose.agg(F.count("*"), F.count_distinct("sequence_id"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        if bins <= -(-total // capacity):
+        open_ = packed.filter("not certified")
+        everyone = everyone or not open_.limit(1).count()
+        taking = packed if everyone else open_
+        loose = taking.filter("gap > 0")
+        n, bins, bound = _state(loose, capacity)
+        entry = {"step": "exchange", "round": round_, "everyone": everyone, "pieces": n, "bins": bins, "bound": bound, "after": bins}
+        if bins > bound:
+            round_ += 1
+            tasks = -(-n // (per_task * wide))
+            again = checkpoint(_pack(loose, tasks, round_, capacity, id_col))
+            entry["after"] = again.filter("offset = 0").count()
+            log.append(entry)
+            if entry["after"] < bins:
+                # bins without a gap stay for good
+                done.append(taking.filter("gap = 0").select(*names).withColumn("certified", F.lit(True)))
+                packed = again if everyone else packed.filter("certified").unionByName(again)
+                everyone, wide = False, 1
+                continue
+            if everyone and tasks > 1 and wide < WIDEST:  # larger partitions leave fewer gaps
+                wide *= 2
+                continue
+        else:
+            log.append(entry)
+        if everyone:
             break
-        fewer = -(-n // per_task) or 1
-        again = checkpoint(_pack(loose, fewer, round_, capacity, id_col))
-        if again.agg(F.count_distinct("sequence_id")).first()[0] >= bins:
-            continue  # another deal may do better
-        done.append(packed.filter("gap = 0").select(*names))
-        packed, tasks = again, fewer
-    done.append(packed.select(*names))
-    out = done[0]
-    for x in done[1:]:
+        everyone = True
+    out = packed.select(*names)
+    for x in done:
         out = out.unionByName(x)
     return out
