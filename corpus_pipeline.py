@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each an operator of ``trendloom.llm``."""
+"""From raw documents to packed training sequences: five stages, each an operator of ``trendloom.llm``.
+
+Defined results, for every stage: one row in is one row out or none. Rows that share an id, or have none, are told apart
+by a row number in id order; of equal rows near_dedup keeps one. A null or empty text fails the quality rules; the later stages
+keep it (it has no words to compare), and packing makes the end id of it. Null language or source form groups of their
+own. Extra columns go, an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -14,30 +20,45 @@ from trendloom.llm.passage_dedup import remove_repeated_passages
 from trendloom.llm.quality import quality_rules
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns of documents with a number for each row: the id where ids are unique, else the place in id order."""
+    docs = docs.select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if not repeated.limit(1).count():
+        return docs.withColumn(ROW, F.col("doc_id").cast("bigint"))
+    # written once, so that a lost executor does not number rows anew
+    return checkpoint(docs.orderBy("doc_id", "text").withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_rules(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = numbered(docs)
+    kept = quality_rules(rows, id_col=ROW).filter("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = numbered(docs)
+    kept = near_duplicates(rows, id_col=ROW).filter("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier place has; ``n_chars`` follows the text."""
-    kept = remove_repeated_passages(docs).select("doc_id", "text")
-    return docs.drop("text", "n_chars").join(kept, "doc_id").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    rows = numbered(docs)
+    kept = remove_repeated_passages(rows, id_col=ROW).select(ROW, "text")
+    return rows.drop("text", "n_chars").join(kept, ROW).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rows = numbered(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(ROW).distinct()
+    return rows.join(found, ROW, "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +74,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Language models of tokenizers, recurrences and alignments have no SQL form; tests compare with brute force.
+#: Tokenizers, recurrences and alignments have no SQL form; tests compare with brute force.
 ORACLE_SQL: str | None = None
 
 
