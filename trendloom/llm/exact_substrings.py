@@ -39,7 +39,7 @@ BLOCK_BYTES, BUCKET_ANCHORS, SHARD_BYTES = 4_000_000, 1_000_000, 8_000_000
 #: Snippets sorted together.
 PER_SORT = 20_000
 #: Of 256 codes of surroundings, so many at which an anchor is hot; so many different ones in a block make it so alone.
-HOT_CODES, HOT_IN_BLOCK = 48, 64
+HOT_CODES, HOT_IN_BLOCK = 128, 64
 #: In place of a shard: names of shared anchors; from HOT downward the shards of strings of hot anchors.
 NAMES, HOT = -1, -2
 NAME = ~np.uint64(3)  # the bits of an anchor's name; the last two are flags
