@@ -47,3 +47,17 @@ def test_rows(spark):
     assert [by[i].text for i in (2, 3, 4, 5, 7)] == [""] * 5
     assert by[6].text == " ".join(("Some words of text here. " * 3000).split()) and all(x.n_chars == len(x.text) for x in got)
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_forms_around_pages_and_within():
+    lines = ["The river rose by two metres overnight, and the old bridge was closed to all traffic.", "Nobody was hurt, the mayor said on Tuesday. Work on the new bridge starts next spring.", "Residents can use the ferry, which runs every twenty minutes from six in the morning."]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    pages = [
+        f'<form id="aspnetForm"><article>{body}</article></form>',
+        f'<html><body><form method=post action="/"><nav><ul><li><a href=#>Home</a></li></ul></nav><div class="content">{body}</div><footer>Copyright us.</footer></form></body></html>',
+        f'<html><body><div class="content">{body}</div><form><p>Sign up for our letter and get the news first.</p><label>Mail</label><input name=m><button>Go</button></form></body></html>',
+        f"<html><body><main>{body}</main><dialog open><p>We use cookies to make this site better. Read more in our policy.</p><button>OK</button></dialog></body></html>",
+        f'<html><body><main>{body}<form class="comment-form"><fieldset><legend>Reply</legend><p>Leave a comment below, your address is not shown.</p><textarea></textarea></fieldset></form></main></body></html>',
+    ]
+    for page in pages:
+        assert main_text(page, trained()) == "\n\n".join(lines), page

@@ -6,7 +6,7 @@ the model is trained on labelled pages (written by ``labelled_pages``) and read:
 exceeds one half are the page's text.
 
 Defined results: null or empty html gives an empty text; so does a page without article content; broken markup is
-read as far as it goes (an unclosed comment, script or tag swallows the rest); repeated rows are extracted one by one;
+read as far as it goes, and of forms only the controls are dropped unread, as whole pages stand in some (an unclosed comment, script or tag swallows the rest); repeated rows are extracted one by one;
 other columns are kept out; pages of any length are read whole.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe noframes noembed xmp title textarea".split())
-DROPPED = set("head form select option button input label fieldset legend object applet audio video canvas svg math map dialog menu datalist".split())
+DROPPED = set("head select option button input label legend object applet audio video canvas svg math map datalist".split())
 CLOSES_P = BLOCK - {"body", "html"}
 # fixed values: words in class, id and role attributes
 GOOD_HINTS = set("article content post entry main story text body page blog news read prose maincontent articlebody posttext".split())
@@ -37,7 +37,7 @@ _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _attribute = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _word = re.compile(r"[a-z]+")
 _end_mark = re.compile(r"[.!?…。](?:\s|$|[\"')])")
-TAGS = "body div section article main p li ul ol td tr table h1 h2 h3 h4 h5 h6 blockquote pre nav header footer aside dl dt dd figure figcaption details".split()
+TAGS = "body div section article main p li ul ol td tr table h1 h2 h3 h4 h5 h6 blockquote pre nav header footer aside dl dt dd figure figcaption details form fieldset dialog menu".split()
 
 
 class Page:
@@ -213,7 +213,7 @@ def features(page: Page) -> tuple[list[list[int]], list[int]]:
         at += len(SHARES) + 1
         f.append(at + (page.parent[i] <= 0))
         out.append(f)
-        bad = tag in ("nav", "header", "footer", "aside") or page.hint[i] & 6
+        bad = tag in ("nav", "header", "footer", "aside", "fieldset", "dialog", "menu") or page.hint[i] & 6
         kinds.append(1 if bad else 2 if tag in ("article", "main") or page.hint[i] & 1 else 0)
     return out, kinds
 
@@ -334,6 +334,9 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, list[str]]]:
             lambda: f'<div class="footer">{words(2, 9)}</div>',
             lambda: f"<ul>{links(8)}</ul>",
             lambda: f"<form><p>{sentence()}</p><input name=q></form>",
+            lambda: f'<form{r.choice(["", " method=post", " id=f"])}>{r.choice(["<p>%s</p>", "<div>%s</div>", "<fieldset><p>%s</p></fieldset>", "%s", "<h3>%s</h3>"]) % prose(3)}<label>{words(1, 3)}</label><input name=m><button>{words(1, 2)}</button></form>',
+            lambda: f"<dialog open><p>{prose(3)}</p><button>{words(1, 2)}</button></dialog>",
+            lambda: f"<menu>{links(6)}</menu>",
         ])()
 
     def article(out: list[str]) -> str:
@@ -371,7 +374,7 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, list[str]]]:
         open_, close = r.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="post">', "</div>"), ("<section>", "</section>"), ("<div>", "</div>"), ('<div class="entry-content"><div>', "</div></div>"), ("", "")])
         before = "".join(boilerplate() for _ in range(r.randrange(0, 4)))
         after = "".join(boilerplate() for _ in range(r.randrange(0, 4)))
-        wrap = ("<div class=wrapper>", "</div>") if r.random() < 0.3 else ("", "")
+        wrap = r.choice([("<div class=wrapper>", "</div>")] * 3 + [('<form method=post id="page">', "</form>")] * 2 + [("", "")] * 5)
         pages.append((f"<html><body>{wrap[0]}{before}{open_}{inner}{close}{after}{wrap[1]}</body></html>", out))
     return pages
 
