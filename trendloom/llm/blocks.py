@@ -42,35 +42,70 @@ def digest_groups(high: np.ndarray, low: np.ndarray, owner: np.ndarray) -> tuple
     return order, np.r_[True, ~same] if len(h) else np.zeros(0, bool)
 
 
-def offers(block: int, digest: np.ndarray, owner: np.ndarray, buckets: int) -> pa.Table:
-    """Rows (bucket, block, blob) with a block's distinct digests and the smallest owner of each."""
-    bucket = ((digest >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+def offers(block: int, high: np.ndarray, low: np.ndarray, owner: np.ndarray, buckets: int) -> pa.Table:
+    """Rows (bucket, block, blob) with a block's distinct 128-bit digests and the smallest owner of each."""
+    order, head = digest_groups(high, low, owner)
+    first = order[head]
+    high, low, owner = high[first], low[first], owner[first]
+    bucket = ((high >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    runs, digest, owner = runs_of(bucket[by]), digest[by], owner[by]
+    runs, high, low, owner = runs_of(bucket[by]), high[by], low[by], owner[by]
     return pa.table(
         {
             "bucket": pa.array([r[0] for r in runs], pa.int64()),
             "block": pa.array([block] * len(runs), pa.int64()),
-            "blob": pa.array([digest[a:b].tobytes() + owner[a:b].tobytes() for _, a, b in runs], pa.binary()),
+            "blob": pa.array([high[a:b].tobytes() + low[a:b].tobytes() + planes(owner[a:b]) for _, a, b in runs], pa.binary()),
         }
     )
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Bytes of 64-bit numbers, all lowest ones first, which packs well."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
+
+
 def owned_elsewhere(rows: pa.Table) -> pa.Table:
     """Of a bucket's offers: to each block, those of its digests that another block has with a smaller owner."""
     blobs, blocks_ = rows.column("blob").to_pylist(), rows.column("block").to_pylist()
-    sizes = [len(x) // 16 for x in blobs]
-    digest = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blobs, sizes, strict=True)])
-    owner = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(blobs, sizes, strict=True)])
+    sizes = [len(x) // 24 for x in blobs]
+    high, low = (np.concatenate([np.frombuffer(x, np.uint64, n, k * n) for x, n in zip(blobs, sizes, strict=True)]) for k in (0, 8))
+    owner = np.concatenate([from_planes(np.frombuffer(x, np.uint8, 8 * n, 16 * n)) for x, n in zip(blobs, sizes, strict=True)])
     sender = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((owner, digest))
-    first = np.flatnonzero(np.r_[True, digest[order][1:] != digest[order][:-1]])
-    later = np.ones(len(order), bool)
-    later[first] = False
-    late = order[later]
+    order, head = digest_groups(high, low, owner)
+    late = order[~head]
     late = late[np.argsort(sender[late], kind="stable")]
     runs = runs_of(sender[late])
-    return pa.table({"block": pa.array([blocks_[r[0]] for r in runs], pa.int64()), "blob": pa.array([digest[late[a:b]].tobytes() for _, a, b in runs], pa.binary())})
+    return pa.table({"block": pa.array([blocks_[r[0]] for r in runs], pa.int64()), "blob": pa.array([high[late[a:b]].tobytes() + low[late[a:b]].tobytes() for _, a, b in runs], pa.binary())})
+
+
+def sent_digests(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the digests of blobs from ``owned_elsewhere``, sorted by the first."""
+    sizes = [len(x) // 16 for x in blobs]
+    if not sizes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    high, low = (np.concatenate([np.frombuffer(x, np.uint64, n, k * n) for x, n in zip(blobs, sizes, strict=True)]) for k in (0, 8))
+    order = np.lexsort((low, high))
+    return high[order], low[order]
+
+
+def among(sent: tuple[np.ndarray, np.ndarray], high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which digests are among the sorted ones."""
+    out = np.zeros(len(high), bool)
+    if len(sent[0]):
+        at = np.searchsorted(sent[0], high)
+        going = np.arange(len(high))
+        while len(going):  # one step, unless sorted ones share their first half
+            x = at[going]
+            same = (x < len(sent[0])) & (sent[0][np.minimum(x, len(sent[0]) - 1)] == high[going])
+            going, x = going[same], x[same]
+            out[going] |= sent[1][x] == low[going]
+            going = going[~out[going]]
+            at[going] += 1
+    return out
 
 
 def names(block: int, digest: np.ndarray, buckets: int) -> pa.Table:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.blocks import digest_groups
+from trendloom.llm.blocks import digest_groups, from_planes, planes
 from trendloom.llm.hashing import POWERS, POWERS_TWO, mix, windows
 from trendloom.llm.suffixes import first_owners
 
@@ -160,15 +160,6 @@ def row_codes(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """Bytes of 64-bit numbers, all lowest ones first, which packs well."""
-    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def from_planes(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<i8").ravel()
-
-
 def packed(codes: np.ndarray) -> bytes:
     """Numbers below 2**48 in six bytes each."""
     return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
