@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import trendloom.llm.components as module
+from trendloom.llm import near_dedup
 from trendloom.llm.components import connected_components
 from trendloom.llm.near_dedup import near_duplicates
 
@@ -61,6 +63,54 @@ def test_equals_brute_force(spark):
         assert all(x.kept == (x.doc_id == x.component_id) for x in got.values())
 
 
+def cloud(r, n, keep, size=260, vocabulary=100_000):
+    """Rows that share about ``keep`` of their words with one base, and by chance links between them."""
+    base = [r.randrange(vocabulary) for _ in range(size)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for i in r.sample(range(size), int(size * (1 - keep) * r.uniform(0.8, 1.1))):
+            w[i] = r.randrange(vocabulary)
+        out.append(" ".join("w%d" % x for x in w))
+    return out
+
+
+@pytest.mark.parametrize("comparisons", [None, 3000])
+def test_crowded_regions(spark, monkeypatch, comparisons):
+    """A cloud in which hardly any rows link, a hub of near copies, rows at its rim, across many partitions."""
+    monkeypatch.setattr(near_dedup, "PER_TASK", 2000)
+    r = random.Random(21)
+    rows = cloud(r, 220, 0.96)  # about 0.72 to 0.85 between two
+    hub = cloud(r, 1, 1.0)[0].split()
+    for n in [2] * 150 + [9, 10, 11, 12, 13] * 8:
+        w = list(hub)
+        for i in r.sample(range(len(w)), n):
+            w[i] = "x%d" % r.randrange(10**6)
+        rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA), k=2, comparisons=comparisons).collect()}
+    want = {i: c for i, (_, c) in expected(rows, 2).items()}
+    assert 20 < len(set(want.values())) < 380
+    wrong = sum(got[i] != want[i] for i in want)
+    assert wrong <= (1 if comparisons is None else 4), wrong  # of links at 0.80, one in some hundred may share no run
+
+
+def test_runs_of_several_components():
+    """Every pair between components that agrees enough is found while the run may be compared; deeper parts otherwise."""
+    rng = np.random.default_rng(5)
+    labels = np.concatenate([np.zeros((120, 1 + near_dedup.DEPTH), np.uint8), rng.integers(0, 2, (120, near_dedup.PLACES - near_dedup.DEPTH))], 1).astype(np.uint8)
+    labels = labels[np.lexsort(labels.T[::-1])]
+    component = rng.integers(0, 4, 120) * (rng.random(120) < 0.3)
+    labels = np.concatenate([labels, rng.integers(0, 2, (120, near_dedup.LONG)).astype(np.uint8)], 1)
+    short, all_ = (lambda i, j: (labels[i, 1 : near_dedup.PLACES + 1] == labels[j, 1 : near_dedup.PLACES + 1]).sum()), (lambda i, j: (labels[i, 1:] == labels[j, 1:]).sum())
+    want = {(i, j) for i in range(120) for j in range(120) if component[i] != component[j] and short(i, j) >= 50 and all_(i, j) >= 290}
+    got = {(min(x, y), max(x, y)) for a, b, _ in near_dedup.crowded_candidates(labels, component, (50, 290), None) for x, y in zip(a.tolist(), b.tolist())}
+    assert got == {(i, j) for i, j in want if i < j}
+    deeper = {(min(x, y), max(x, y)) for a, b, _ in near_dedup.crowded_candidates(labels, component, (50, 290), 400) for x, y in zip(a.tolist(), b.tolist())}
+    assert deeper < got and deeper
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c", None, None), (1, "a b c", None, None), (2, "a b c", None, None)], SCHEMA)
     assert sorted(x.component_id for x in near_duplicates(docs).collect()) == [1, 1, 1]
