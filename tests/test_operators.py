@@ -181,7 +181,7 @@ def test_near_equal_customers_sees_every_customer(spark, tmp_path):
     from trendloom.plans.text_queries import QUERIES
 
     spark.createDataFrame([(i, f"Customer#{i:09d}") for i in (299, 300, 1299, 1300, 14300)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
-    assert {(x.a, x.b) for x in QUERIES["near_equal_customers"](spark, str(tmp_path)).collect()} == {(299, 1299), (300, 1300), (300, 14300), (1300, 14300)}
+    assert {(x.a, x.b) for x in QUERIES["near_equal_pairs"](spark, str(tmp_path)).collect()} == {(299, 1299), (300, 1300), (300, 14300), (1300, 14300)}
 
 
 def test_event_groups_keep_terms_of_many_articles(spark, tmp_path):
@@ -206,5 +206,65 @@ def test_share_page_digests_has_every_article(spark, tmp_path):
     from trendloom.plans.text_queries import QUERIES
 
     spark.createDataFrame([(i, f'A & "b" <{i}>\n' + "x" * 90 * (i % 3), "s", 9) for i in range(1, 120)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["share_page_digests"](spark, str(tmp_path)).collect()
+    got = QUERIES["share_pages"](spark, str(tmp_path)).collect()
     assert {x.id for x in got} == set(range(1, 120)) and len({x.digest for x in got}) == 119 and all(x.size > 100 for x in got)
+
+
+def test_late_and_tied_batches_equal_one_fold(spark):
+    """Observations in any split, also of one time, also repeated."""
+    r = random.Random(7)
+    rows = [(f"u{r.randrange(5)}", "s", f"t{r.randrange(3)}", r.randrange(100), r.choice([None, 1, 2]), T0 + dt.timedelta(minutes=r.randrange(12)), r.randrange(4)) for _ in range(90)]
+    rows += rows[:6] + [("alone", "s", "t", 1, None, T0, 1), ("twice", "s", "t", 5, 1, T0, 1), ("twice", "s", "t", 9, 1, T0, 1)]
+
+    def plain():
+        out = {}
+        for u in {x[0] for x in rows}:
+            own = sorted((x[5], x[6], x[1], x[2], x[3], -1 if x[4] is None else x[4]) for x in rows if x[0] == u)
+            out[u] = (own[-1][4], own[-2][4] if len(own) > 1 else 0, own[-1][1], own[0][0], own[-1][0], len(own))
+        return out
+
+    df = lambda part: spark.createDataFrame(part, OBS)
+    pick = lambda s: {x.url: (x.heat_value, x.prev_heat_value, x.id, x.published_at, x.fetched_at, x.n_observations) for x in s.collect()}
+    assert pick(I.fold_observations(df(rows))) == plain()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        state = I.fold_observations(df(rows[:31]))
+        for a, b in ((31, 32), (32, 70), (70, len(rows))):
+            state = I.merge_state(state, df(rows[a:b]))
+        assert pick(state) == plain()
+
+
+def test_stream_into_buckets(spark, tmp_path):
+    """Only touched buckets get a new version; what newer ones replace can go."""
+    rows = obs(random.Random(6), 40)
+    for i in range(4):
+        spark.createDataFrame(rows[10 * i : 10 * i + 10], OBS).coalesce(1).write.parquet(str(tmp_path / f"in/p={i}"))
+    df = spark.readStream.schema(spark.createDataFrame([], OBS).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    state = str(tmp_path / "state")
+    jobs.fold_stream(df, state, str(tmp_path / "cp"), buckets=5).awaitTermination()
+    cols = ["url", "heat_value", "prev_heat_value", "n_observations", "published_at", "fetched_at"]
+    whole = sorted(map(tuple, I.fold_observations(spark.createDataFrame(rows, OBS)).select(cols).collect()))
+    assert sorted(map(tuple, jobs.read_state(spark, state).select(cols).collect())) == whole
+    assert jobs.drop_old_versions(spark, state, 4) > 0
+    assert sorted(map(tuple, jobs.read_state(spark, state).select(cols).collect())) == whole
+
+
+def test_many_keywords_are_found_as_few(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcé_%🙂 ") for _ in range(n))
+    articles = spark.createDataFrame([(i, r.choice([None, text(20)]), r.choice([None, "", text(200)])) for i in range(60)], "id long, title string, content string")
+    subs = spark.createDataFrame([(i, r.choice([text(1), text(2), text(3), text(4).upper(), text(6)])) for i in range(100)] + [(200, ""), (201, None)], "id int, keyword string")
+    few, many = (sorted(map(tuple, R.keyword_hits(articles, subs, few=n).collect())) for n in (1000, 3))
+    assert few == many and len(few) > 200
+
+
+def test_places_in_groups_of_any_size(spark):
+    rows = [(i, "hot" if i % 10 else f"g{i % 3}", (i * 37) % 50) for i in range(500)] + [(1000, None, 5), (1001, None, 7)]
+    df = spark.createDataFrame(rows, "id long, g string, h int").repartition(7)
+    got = {x.id: x.place for x in R.places(df, "g", [F.desc("h"), F.asc("id")], "place").collect()}
+    for g in {x[1] for x in rows}:
+        for n, (_, i) in enumerate(sorted((-h, i) for i, k, h in rows if k == g), 1):
+            assert got[i] == n
+    a = spark.createDataFrame([(i, g, h, 0 if h % 3 else 20) for i, g, h in rows], "id long, source_key string, heat_value int, prev_heat_value int")
+    badge = {x.id: x.badge for x in R.top_badges(a, 3).collect()}
+    assert all((badge[i] or 99) == (got[i] if got[i] <= 3 else 99) for i in got)

@@ -9,42 +9,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fold_observations(obs: DataFrame, key: str = "url") -> DataFrame:
-    """Upsert by key: last values, heat before the last, first publication, number of observations, is_new.
-
-    One shuffle on the key with partial aggregation; the two latest heats come from a bounded aggregate."""
-    last = F.struct(F.col("observed_at"), *(c for c in ("id", "source_key", "title", "heat_value", "source_rank")))
-    folded = obs.groupBy(key).agg(
-        F.max(last).alias("last"),
-        F.min("observed_at").alias("published_at"),
-        F.count("*").alias("n_observations"),
+#: What ranks observations of a key: time first, then everything else, so that no order is left to chance.
+_RANK = ("observed_at", "id", "source_key", "title", "heat_value", "source_rank")
+
+
+def _state(rows: DataFrame, key: str) -> DataFrame:
+    """Columns of the state from ``last`` and ``previous`` observation, first publication and count of each key."""
+    last = {c: F.col(f"last.{c}") for c in _RANK}
+    return rows.select(
+        last["id"].alias("id"), key, last["source_key"].alias("source_key"), last["title"].alias("title"),
+        last["heat_value"].alias("heat_value"), F.coalesce("previous.heat_value", F.lit(0)).alias("prev_heat_value"), last["source_rank"].alias("source_rank"),
+        "published_at", last["observed_at"].alias("fetched_at"), "n_observations", (F.col("n_observations") == 1).alias("is_new"), "previous",
     )
-    before = obs.withColumnRenamed("heat_value", "h").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("observed_at")))).filter("n = 2").select(key, F.col("h").alias("prev_heat_value"))
-    out = folded.join(before, key, "left")
-    return out.select(
-        F.col("last.id").alias("id"), key, F.col("last.source_key").alias("source_key"), F.col("last.title").alias("title"),
-        F.col("last.heat_value").alias("heat_value"), F.coalesce("prev_heat_value", F.lit(0)).alias("prev_heat_value"), F.col("last.source_rank").alias("source_rank"),
-        "published_at", F.col("last.observed_at").alias("fetched_at"), "n_observations", (F.col("n_observations") == 1).alias("is_new"),
+
+
+def fold_observations(obs: DataFrame, key: str = "url") -> DataFrame:
+    """Upsert by key: last values, heat before the last, first publication, number of observations, is_new, and the
+    observation before the last as ``previous``, which later merges need.
+
+    Observations of one time rank by id, source, title, heat and rank. First publication and count are partial
+    aggregates; the two latest observations pass a limit by key before the shuffle, so that a hot key sends two rows a task."""
+    row = F.struct(*_RANK)
+    counted = obs.groupBy(key).agg(F.min("observed_at").alias("published_at"), F.count("*").alias("n_observations"))
+    ranked = obs.select(key, row.alias("_o")).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_o")))).filter("_n <= 2")
+    two = ranked.groupBy(key).agg(F.max(F.when(F.col("_n") == 1, F.col("_o"))).alias("last"), F.max(F.when(F.col("_n") == 2, F.col("_o"))).alias("previous"))
+    return _state(counted.join(two, key), key)
+
+
+def merge_folded(state: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
+    """One state of two: what ``fold_observations`` gives for all observations of both, in whatever order they came."""
+
+    def side(name: str) -> Column:
+        last = F.struct(*(F.col(f"{name}.{'fetched_at' if c == 'observed_at' else c}").alias(c) for c in _RANK))
+        return F.array(F.when(F.col(f"{name}.n_observations").isNotNull(), last), F.col(f"{name}.previous"))
+
+    joined = state.alias("s").join(new.alias("b"), F.col(f"s.{key}") == F.col(f"b.{key}"), "full")
+    latest = F.sort_array(F.array_compact(F.concat(side("s"), side("b"))), asc=False)
+    rows = joined.select(
+        F.coalesce(f"s.{key}", f"b.{key}").alias(key), F.get(latest, F.lit(0)).alias("last"), F.get(latest, F.lit(1)).alias("previous"),
+        F.least("s.published_at", "b.published_at").alias("published_at"), (F.coalesce("s.n_observations", F.lit(0)) + F.coalesce("b.n_observations", F.lit(0))).alias("n_observations"),
     )
+    return _state(rows, key)
 
 
 def merge_state(state: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame:
-    """State after one more batch of observations: what ``fold_observations`` gives for all of them together."""
-    new = fold_observations(batch, key)
-    s, b = state.alias("s"), new.alias("b")
-    joined = s.join(b, F.col(f"s.{key}") == F.col(f"b.{key}"), "full")
-    later = F.col("b.fetched_at").isNotNull() & (F.col("s.fetched_at").isNull() | (F.col("b.fetched_at") >= F.col("s.fetched_at")))
-
-    def pick(c: str) -> Column:
-        return F.when(later, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
-
-    both = F.col(f"s.{key}").isNotNull() & F.col(f"b.{key}").isNotNull()
-    prev = F.when(~both, F.coalesce("b.prev_heat_value", "s.prev_heat_value")).when(later & (F.col("b.n_observations") == 1), F.col("s.heat_value")).when(later, F.col("b.prev_heat_value")).otherwise(F.col("s.prev_heat_value"))
-    n = (F.coalesce("s.n_observations", F.lit(0)) + F.coalesce("b.n_observations", F.lit(0))).alias("n_observations")
-    return joined.select(
-        pick("id"), F.coalesce(f"b.{key}", f"s.{key}").alias(key), pick("source_key"), pick("title"), pick("heat_value"), prev.alias("prev_heat_value"), pick("source_rank"),
-        F.least("s.published_at", "b.published_at").alias("published_at"), F.greatest("s.fetched_at", "b.fetched_at").alias("fetched_at"), n,
-    ).withColumn("is_new", F.col("n_observations") == 1)
+    """State after one more batch of observations, which may come late: what one fold of everything gives."""
+    return merge_folded(state, fold_observations(batch, key), key)
 
 
 def append_snapshots(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.functions.scalar import nearly_equal
+from trendloom.operators.graph import checkpoint
 
 #: Rows of a dimension that may be broadcast for a condition that no equi-join expresses.
 BROADCAST_ROWS = 10_000
+#: Keywords that are looked for in every row; more of them meet the rows by pieces.
+FEW_KEYWORDS = 64
 
 
 def clamp(value: int, default: int, most: int) -> int:
@@ -90,8 +93,8 @@ def active(announcements: DataFrame, now: Column) -> DataFrame:
 
 
 def asof_latest(snapshots: DataFrame, at: Column, key: str = "article_id", value: str = "heat_value", ts: str = "captured_at") -> DataFrame:
-    """The value of each key at a time: its latest row not after it. A filter and one partial aggregate."""
-    return snapshots.filter(F.col(ts) <= at).groupBy(key).agg(F.max_by(value, ts).alias(value))
+    """The value of each key at a time: its latest row not after it, of several the largest. A filter and one partial aggregate."""
+    return snapshots.filter(F.col(ts) <= at).groupBy(key).agg(F.max_by(value, F.struct(ts, value)).alias(value))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
@@ -101,7 +104,7 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
     width = [c for c in left.columns if c != key]
     tagged = left.select(key, F.col(left_ts).alias("_t"), F.lit(1).alias("_o"), F.struct(*width).alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     other = right.select(key, F.col(right_ts).alias("_t"), F.lit(0).alias("_o"), F.lit(None).cast(tagged.schema["_l"].dataType).alias("_l"), F.col(value).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy("_t", "_o", "_v").rowsBetween(Window.unboundedPreceding, 0)
     return tagged.unionByName(other).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_o = 1").select(key, "_l.*", F.col("_v").alias(f"asof_{value}"))
 
 
@@ -168,16 +171,36 @@ def entity_articles(articles: DataFrame, article_entities: DataFrame, entity_id:
     return articles.join(own, "id", "left_semi").orderBy(F.desc("published_at"), F.desc("id")).offset(offset).limit(clamp(limit, 20, 100))
 
 
-def keyword_hits(articles: DataFrame, subscriptions: DataFrame, notified: DataFrame | None = None) -> DataFrame:
+def _pieces(text: Column, sizes: list[int]) -> Column:
+    """Distinct pieces of a text of the given lengths (at most 3)."""
+    n = F.length(text)
+
+    def of(chars: Column, k: int) -> Column:
+        if k == 0:
+            return F.array(F.lit(""))
+        starts = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
+        return F.when(n >= k, F.transform(starts, lambda i: F.concat(*(F.get(chars, i + j) for j in range(k))))).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(F.split(text, "")), lambda chars: F.array_distinct(F.concat(*(of(chars, k) for k in sizes)))), F.lit(0))
+
+
+def keyword_hits(articles: DataFrame, subscriptions: DataFrame, notified: DataFrame | None = None, few: int = FEW_KEYWORDS) -> DataFrame:
     """(subscription_id, keyword, id) where title or content has the keyword and nobody was told yet.
 
-    Keywords go to the rows as one array in a broadcast row while they are few, and are exploded by match there;
-    beyond that, through a nested loop."""
-    subs = subscriptions.select(F.col("id").alias("subscription_id"), "keyword")
-    few = subs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    A few keywords are looked for in every row, broadcast after their number was counted. More of them meet the rows by
+    equality: the first three characters of a keyword are among the pieces of a text that has it; only then is it looked for."""
+    subs = subscriptions.select(F.col("id").alias("subscription_id"), "keyword", F.lower("keyword").alias("_k")).filter("keyword is not null")
     text = articles.select("id", F.lower("title").alias("_t"), F.lower("content").alias("_c"))
-    hit = F.contains(F.col("_t"), F.lower("keyword")) | F.contains(F.col("_c"), F.lower("keyword"))
-    found = text.join(F.broadcast(subs) if few else subs, hit).select("subscription_id", "keyword", "id")
+    hit = F.contains("_t", F.col("_k")) | F.contains("_c", F.col("_k"))
+    if subs.limit(few + 1).count() <= few:
+        found = text.join(F.broadcast(subs), hit)
+    else:
+        keyed = subs.withColumn("_p", F.substring("_k", 1, 3))
+        sizes = sorted(r[0] for r in keyed.select(F.length("_p")).distinct().collect())  # 0 to 3
+        both = F.array_union(*(F.coalesce(_pieces(F.col(c), sizes), F.array().cast("array<string>")) for c in ("_t", "_c")))
+        maybe = text.select("id", F.explode(both).alias("_p")).join(keyed, "_p").select("id", "subscription_id", "keyword", "_k")
+        found = maybe.join(text, "id").filter(hit).distinct()
+    found = found.select("subscription_id", "keyword", "id")
     if notified is not None:
         found = found.join(notified.select("subscription_id", F.col("article_id").alias("id")), ["subscription_id", "id"], "left_anti")
     return found
@@ -187,16 +210,32 @@ def hits_by_keyword(hits: DataFrame) -> DataFrame:
     return hits.groupBy("keyword").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
 
 
+def places(rows: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 within each value of ``by``, however many rows one value has.
+
+    Rows are range-partitioned by group and order, so that a large group takes many partitions; their numbers there are shifted by
+    the counts of the partitions before, of which there is a row for each group and partition."""
+    ordered = checkpoint(rows.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order)).withColumn("_m", F.monotonically_increasing_id())
+    counted = ordered.withColumn("_part", F.shiftright("_m", 33)).groupBy(by, "_part").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counted.select(F.col(by).alias("_by"), "_part", (before + 1 - F.col("_first")).alias("_shift"))
+    numbered = ordered.join(shift, F.col(by).eqNullSafe(F.col("_by")) & (F.shiftright("_m", 33) == F.col("_part")))
+    return numbered.withColumn(name, (F.col("_m") + F.col("_shift")).cast("int")).drop("_m", "_by", "_part", "_shift")
+
+
 def top_badges(articles: DataFrame, top: int = 10) -> DataFrame:
-    """Rank by heat within the source, for the leading rows; with the surging flag: new leaders, and rises of a tenth."""
+    """Rank by heat within the source, for the leading rows; with the surging flag: new leaders, and rises of a tenth.
+
+    Only the leading rows of each source are ranked, which a limit by source cuts out before the shuffle."""
     w = Window.partitionBy("source_key").orderBy(F.desc("heat_value"), "id")
-    ranked = articles.withColumn("badge", F.row_number().over(w))
-    grown = F.when(F.col("prev_heat_value") <= 0, F.col("badge") <= top).otherwise((F.col("heat_value") - F.col("prev_heat_value")) * 10 >= F.col("prev_heat_value"))
-    return ranked.withColumn("surging", grown).withColumn("badge", F.when(F.col("badge") <= top, F.col("badge")))
+    lead = articles.select("source_key", "heat_value", "id").withColumn("badge", F.row_number().over(w)).filter(F.col("badge") <= top).select(F.col("id").alias("_id"), F.col("source_key").alias("_s"), "badge")
+    ranked = articles.join(lead, (F.col("id") == F.col("_id")) & F.col("source_key").eqNullSafe(F.col("_s")), "left").drop("_id", "_s")
+    grown = F.when(F.col("prev_heat_value") <= 0, F.col("badge").isNotNull()).otherwise((F.col("heat_value") - F.col("prev_heat_value")) * 10 >= F.col("prev_heat_value"))
+    return ranked.withColumn("surging", grown)
 
 
 def heat_trend(snapshots: DataFrame) -> DataFrame:
-    w = Window.partitionBy("article_id").orderBy("captured_at")
+    w = Window.partitionBy("article_id").orderBy("captured_at", "heat_value")
     before = F.lag("heat_value").over(w)
     return snapshots.withColumn("prev", before).withColumn("trend", F.when(F.col("prev").isNull() | (F.col("prev") == F.col("heat_value")), "flat").when(F.col("heat_value") > F.col("prev"), "up").otherwise("down"))
 
@@ -206,11 +245,12 @@ def time_buckets(articles: DataFrame, now: Column) -> DataFrame:
     day = F.date_trunc("day", now).cast("timestamp_ntz")
     p = F.col("published_at")
     bucket = F.when(p >= day, "today").when(p >= day - F.make_dt_interval(F.lit(1)), "yesterday").when(p >= day - F.make_dt_interval(F.lit(7)), "week").otherwise("older")
-    return articles.withColumn("bucket", bucket).withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("heat_value"), "id")))
+    return places(articles.withColumn("bucket", bucket), "bucket", [F.desc("heat_value"), F.asc("id")], "place")
 
 
 def sparklines(snapshots: DataFrame) -> DataFrame:
-    first, last = F.min_by("heat_value", "captured_at"), F.max_by("heat_value", "captured_at")
+    order = F.struct("captured_at", "heat_value")
+    first, last = F.min_by("heat_value", order), F.max_by("heat_value", order)
     return snapshots.groupBy("article_id").agg(F.min("heat_value").alias("low"), F.max("heat_value").alias("high"), F.min_by("captured_at", F.struct("heat_value", "captured_at")).alias("low_at"), first.alias("first"), last.alias("last"), F.when(last > first, "up").when(last < first, "down").otherwise("flat").alias("trend"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from trendloom.functions import scalar as S
 from trendloom.operators import extract as X
 from trendloom.operators import mining as M
 from trendloom.operators import relational as R
+from trendloom.operators.graph import shared_folder
 from trendloom.sources import feeds
 from trendloom.sources.adapters import ARTICLES, AS_OF, OBSERVATIONS, articles, as_of, observations, table
 from trendloom.streaming import jobs
@@ -54,15 +53,8 @@ def event_fingerprint_rollup(spark, d):
     return touch_events(articles(spark, d).withColumn("fingerprint", S.fingerprint(F.col("title"))))
 
 
-@query("with n as (select n_nationkey k, lower(n_name) w from nation), c as (select c_custkey k, lower(substr(c_name, 16, 3)) w from customer where c_custkey < 300) select a.k a, b.k b from c a join c b on a.k < b.k where a.w <> '' and (a.w = b.w or contains(a.w, b.w) or contains(b.w, a.w) or levenshtein(a.w, b.w) <= 1)")
-def near_equal_pairs(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey < 300").select(F.col("c_custkey").alias("k"), F.lower(F.substring("c_name", 16, 3)).alias("w"))
-    return R.near_equal_pairs(c)
-
-
 @query("with c as (select c_custkey k, lower(substr(c_name, 16, 3)) w from customer) select a.k a, b.k b from c a join c b on a.k < b.k where a.w <> '' and (a.w = b.w or contains(a.w, b.w) or contains(b.w, a.w) or levenshtein(a.w, b.w) <= 1)")
-def near_equal_customers(spark, d):
-    """The pairs of ``near_equal_pairs`` over all customers."""
+def near_equal_pairs(spark, d):
     return R.near_equal_pairs(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lower(F.substring("c_name", 16, 3)).alias("w")))
 
 
@@ -215,17 +207,23 @@ def storyline(spark, d):
     return M.storyline(R.any_term(articles(spark, d), ["heen"])).select("total_articles", "n_sources", "latest_title", "hottest_title", "hottest_heat", "momentum")
 
 
-@query(f"""with {SUPPORT}, pm as (select 'a' || (2 + i) || 's' || (2 + j) variant, greatest(1, 2 + i) a, greatest(1, 2 + j) s from (values (-1), (0), (1)) x(i), (values (-1), (0), (1)) y(j)),
- ct as (select variant, count(gram) found, count(case when gram in ('the', 'and') then 1 end) bad from pm left join sp on articles >= a and sources >= s group by 1) select variant, found, bad blacklisted, round(case when found = 0 then 0 else (1 - bad / found) * ln(1 + found) end, 6) score from ct""")
+GRID = f"""{SUPPORT}, pm as (select 'a' || (2 + i) || 's' || (2 + j) variant, greatest(1, 2 + i) a, greatest(1, 2 + j) s from (values (-1), (0), (1)) x(i), (values (-1), (0), (1)) y(j)),
+ ct as (select variant, any_value(a) a, any_value(s) s, count(gram) found, count(case when gram in ('the', 'and') then 1 end) bad from pm left join sp on articles >= a and sources >= s group by 1)"""
+
+
+@query(f"with {GRID} select variant, found, bad blacklisted, round(case when found = 0 then 0 else (1 - bad / found) * ln(1 + found) end, 6) score from ct")
 def param_grid_eval(spark, d):
     bad = spark.createDataFrame([("the",), ("and",)], "word string")
     return M.evaluate_grid(_support(spark, d), bad, PARAMS).select("variant", "found", "blacklisted", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""with {GRID}, sc as (select variant, a, s, a = 2 and s = 2 baseline, case when found = 0 then 0 else (1 - bad / found) * ln(1 + found) end score from ct),
+ b as (select max_by(variant, (score, baseline, -a, -s)) best, max(score) best_score, max(case when baseline then score end) baseline_score from sc)
+ select best, round(best_score, 6) best_score, round(baseline_score, 6) baseline_score, case when best_score > 1.05 * baseline_score then best end suggested from b""")
 def grid_suggestion(spark, d):
     bad = spark.createDataFrame([("the",), ("and",)], "word string")
-    return M.suggest_variant(M.evaluate_grid(_support(spark, d), bad, PARAMS))
+    s = M.suggest_variant(M.evaluate_grid(_support(spark, d), bad, PARAMS))
+    return s.select("best", F.round("best_score", 6).alias("best_score"), F.round("baseline_score", 6).alias("baseline_score"), "suggested")
 
 
 @query()
@@ -238,18 +236,12 @@ def title_excerpts(spark, d):
     return articles(spark, d).select("id", S.excerpt(F.col("title"), 30).alias("short"))
 
 
-@query("select count(*) n from documents where doc_id % 50 = 0")
-def share_pages(spark, d):
-    a = articles(spark, d).filter("id % 50 = 0")
-    return feeds.share_page(a).filter(F.contains("html", F.lit("og:title"))).agg(F.count("*").alias("n"))
-
-
 SHARED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
 @query(f"""with {ARTICLES}, p as (select id, '<html><head><meta property="og:title" content="' || {SHARED.format('title')} || '"><meta property="og:description" content="' || {SHARED.format("case when length(content) > 100 then substr(content, 1, 100) || '…' else coalesce(content, '') end")} || '"></head><body></body></html>' html from ar)
  select id, length(html) size, md5(html) digest from p""")
-def share_page_digests(spark, d):
+def share_pages(spark, d):
     """The share page of every article: its length and digest."""
     return feeds.share_page(articles(spark, d)).select("id", F.length("html").cast("bigint").alias("size"), F.md5("html").alias("digest"))
 
@@ -310,18 +302,15 @@ def fold_stream(spark, d):
     stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_folder(spark, d))
     ob = stream.select(F.concat(F.lit("u/"), F.col("user_id")).alias("url"), F.lit("s").alias("source_key"), F.lit("t").alias("title"), F.floor(F.col("value") * 10000).cast("bigint").alias("heat_value"), F.lit(1).alias("source_rank"), F.col("ts").alias("observed_at"), F.col("user_id").alias("id"))
     state = _shared_folder(spark)
-    jobs.fold_stream(ob, state, _shared_folder(spark)).awaitTermination()
-    newest = spark.read.parquet(state)
-    top = newest.agg(F.max("version").alias("version"))
-    return newest.join(F.broadcast(top), "version").select("url", "heat_value", "n_observations")
+    jobs.fold_stream(ob, state, _shared_folder(spark), buckets=16).awaitTermination()
+    return jobs.read_state(spark, state).select("url", "heat_value", "n_observations")
 
 
 def _shared_folder(spark) -> str:
-    """A fresh folder that driver and executors share: below the checkpoint folder where one is set."""
+    """A fresh folder that driver and executors share."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trendloom-")
-    return f"{base}/{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
 
 
 def _stream_folder(spark, d: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trendloom.operators.ingest import fold_observations, merge_state
+from trendloom.operators.ingest import fold_observations, merge_folded
 
 
 def file_stream(spark: SparkSession, path: str, schema, event_time: str, delay: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
@@ -21,23 +21,59 @@ def file_stream(spark: SparkSession, path: str, schema, event_time: str, delay:
     return reader.parquet(path).withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
 
 
-def fold_stream(observations: DataFrame, state_path: str, checkpoint: str, key: str = "url", after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def read_state(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame:
+    """The state that ``fold_stream`` has written: of each bucket the newest version (of those before a number)."""
+    every = spark.read.parquet(state_path)
+    if before is not None:
+        every = every.filter(F.col("version") < before)
+    by = ["bucket"] if "bucket" in every.columns else []
+    newest = every.groupBy(*by).agg(F.max("version").alias("version"))  # a row for each bucket
+    return every.join(F.broadcast(newest), [*by, "version"])
+
+
+def fold_stream(
+    observations: DataFrame, state_path: str, checkpoint: str, key: str = "url", after: Callable[[DataFrame, int], None] | None = None, buckets: int | None = None, every: str | None = None
+) -> StreamingQuery:
     """Each micro-batch is merged into the state table; a version per batch makes repeats harmless.
 
-    Version n + 1 is written beside version n and depends on it and the batch alone, so that a batch that is run again
-    after a failure writes the same version once more. ``after`` sees the batch's fold, e.g. to raise alerts."""
+    With ``buckets`` the state lies in so many buckets of the key's hash, and batch n rewrites those that it touches, as
+    version n beside the older ones; without, it writes the whole state as version n. Either depends on versions
+    before n and the batch alone, so that a batch that is run again after a failure writes the same once more.
+    ``after`` sees the batch's fold, e.g. to raise alerts. ``every`` is the time between batches; without it the stream
+    ends when it has read what there is."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets or 1)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = fold_observations(batch, key)
-        if number:
-            state = spark.read.parquet(f"{state_path}/version={number - 1}")
-            new = merge_state(state, batch, key)
-        new.write.mode("overwrite").parquet(f"{state_path}/version={number}")
+        new = fold_observations(batch, key).persist()
+        state = read_state(spark, state_path, number).drop("version") if number and _exists(spark, state_path) else None
+        if buckets is None:
+            merged = new if state is None else merge_folded(state, new, key)
+            merged.write.mode("overwrite").parquet(f"{state_path}/version={number}")
+        elif touched := [r["b"] for r in new.select(bucket.alias("b")).distinct().collect()]:  # at most ``buckets``
+            merged = new if state is None else merge_folded(state.filter(F.col("bucket").isin(touched)).drop("bucket"), new, key)
+            merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{state_path}/version={number}")
         if after is not None:
-            after(fold_observations(batch, key), number)
+            after(new, number)
+        new.unpersist()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
 
-    return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drop_old_versions(spark: SparkSession, state_path: str, before: int) -> int:
+    """Deletes the buckets' versions before a number that a newer one before it replaces; how many it deleted."""
+    found = spark.read.parquet(state_path).select("bucket", "version").distinct().filter(F.col("version") < before)
+    old = found.join(found.groupBy("bucket").agg(F.max("version").alias("_m")), "bucket").filter("version < _m").collect()  # a row for each bucket and version
+    for r in old:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/version={r['version']}/bucket={r['bucket']}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(old)
 
 
 def trailing_windows(stream: DataFrame, ts: str, size: str = "6 hours", slide: str = "1 hour") -> DataFrame:
