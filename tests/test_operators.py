@@ -268,3 +268,22 @@ def test_places_in_groups_of_any_size(spark):
     a = spark.createDataFrame([(i, g, h, 0 if h % 3 else 20) for i, g, h in rows], "id long, source_key string, heat_value int, prev_heat_value int")
     badge = {x.id: x.badge for x in R.top_badges(a, 3).collect()}
     assert all((badge[i] or 99) == (got[i] if got[i] <= 3 else 99) for i in got)
+
+
+def test_words_that_are_no_discoveries(spark):
+    d = spark.createDataFrame([("发现", 24826), ("异常", 3360), ("量子", 617), ("计算", 9000), ("专家", 201), ("声明", 200), ("委员会", 401), ("工作人员", 301), ("摆烂", 3)], "word string, freq long")
+    words = ["发现异常", "量子计算", "专家", "声明", "委员会", "工作人员", "摆烂", "鸿蒙", "2024", "30万元", "listed", "AI"]
+    got = M.excluded_words(spark.createDataFrame([(w,) for w in words * 2], "gram string"), d, spark.createDataFrame([("listed",), ("else",)], "word string")).collect()
+    assert sorted(x.word for x in got) == sorted(["发现异常", "专家", "委员会", "工作人员", "2024", "30万元", "listed"])
+
+
+def test_generic_topics_and_hubs(spark):
+    t = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", 1)], "label string, n int")
+    d = spark.createDataFrame([("a", 601), ("b", 600), ("c", 5000)], "word string, freq long")
+    one = lambda w: spark.createDataFrame([(w,)], "word string")
+    assert sorted(x.label for x in M.drop_generic(t, d, one("d"), one("c")).collect()) == ["b", "c"]
+    terms = [(i, "wide") for i in range(9)] + [(i, "narrow") for i in range(8)] + [(1, "AI"), (19, "AI")]
+    docs = spark.range(20)
+    hub = lambda least: sorted(x.term for x in M.hubs(spark.createDataFrame(terms, "id long, term string"), least_docs=least, docs=docs).collect())
+    assert hub(20) == ["AI", "wide"] and hub(21) == ["AI"]
+    assert [M.hub_least(h) for h in (1, 3, 6, 24)] == [8, 8, 12, 20]

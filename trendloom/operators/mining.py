@@ -7,13 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.functions.scalar import article_score, diversity_boost, momentum, term_weight, time_proximity, weighted_overlap
+from trendloom.functions.scalar import article_score, diversity_boost, is_numeric_measure, momentum, term_weight, time_proximity, weighted_overlap
 from trendloom.operators.graph import checkpoint, components
 
 # fixed values: dictionary frequency up to which a word needs so many articles (absent: ABSENT_NEEDS)
 NEEDS = ((500, 2), (2000, 3), (5000, 4), (8000, 8))
 NEEDS_ELSE, ABSENT_NEEDS_SHORT, ABSENT_NEEDS_LONG = 12, 2, 1
 GENERIC_FREQUENCY = 600
+# fixed values: dictionary frequency above which a word is no discovery, by its length, and that of both halves of a four-character word
+COMMON_WORDS, COMMON_WORDS_LONGER, COMMON_HALF = ((2, 200), (3, 400)), 300, 1000
+# fixed values: entities that never link articles; documents from which on frequent entities do not either, by window hours
+STATIC_HUBS = ("中国", "美国", "北京", "上海", "AI")
+HUB_SHARE, HUB_LEAST, HUB_LEAST_ELSE = 0.4, ((3, 8), (6, 12)), 20
 # fixed values: parts of a pair's score, and least scores by window hours
 WEIGHTS = {"entity": 0.35, "semantic": 0.35, "keyword": 0.15, "time": 0.10, "source": 0.05}
 LINK_SCORES = ((3, 0.28), (6, 0.30))
@@ -85,8 +90,33 @@ def heat_words(support: DataFrame, params: DiscoveryParams, excluded: DataFrame
     return merged.drop("own").join(absorbed.select("gram"), "gram", "left_anti")
 
 
-def generic(label_frequency: Column) -> Column:
-    return F.coalesce(label_frequency > GENERIC_FREQUENCY, F.lit(False))
+def excluded_words(words: DataFrame, dictionary: DataFrame, lists: DataFrame | None = None, column: str = "gram") -> DataFrame:
+    """Which of the words (column gram) are no discoveries (column word): those on a list (word), numbers and measures,
+    words that the dictionary (word, freq) has as common for their length, and four Han characters of two common halves.
+
+    Words meet lists and dictionary by equality; nothing is collected."""
+    w = words.select(F.col(column).alias("word")).distinct()
+    d = dictionary.groupBy("word").agg(F.max("freq").alias("freq"))
+    size = F.length("word")
+    bound = F.when(size == COMMON_WORDS[0][0], COMMON_WORDS[0][1]).when(size == COMMON_WORDS[1][0], COMMON_WORDS[1][1]).when(size >= 4, COMMON_WORDS_LONGER)
+    common = w.join(d, "word").filter(F.col("freq") > bound).select("word")
+    number = w.filter(F.col("word").rlike(r"^\p{Nd}+$") | is_numeric_measure(F.col("word"))).select("word")
+    halves = w.filter((size == 4) & F.col("word").rlike(r"^\p{IsHan}+$")).select("word", F.substring("word", 1, 2).alias("_1"), F.substring("word", 3, 2).alias("_2"))
+    half = d.filter(F.col("freq") > COMMON_HALF)
+    phrases = halves.join(half.select(F.col("word").alias("_1")), "_1", "left_semi").join(half.select(F.col("word").alias("_2")), "_2", "left_semi").select("word")
+    out = common.union(number).union(phrases)
+    if lists is not None:
+        out = out.union(w.join(lists.select("word"), "word", "left_semi"))
+    return out.distinct()
+
+
+def drop_generic(topics: DataFrame, dictionary: DataFrame, blacklist: DataFrame | None = None, whitelist: DataFrame | None = None) -> DataFrame:
+    """Topics without labels that are on the blacklist (word), or common in the dictionary (word, freq) and on no whitelist (word)."""
+    common = dictionary.filter(F.col("freq") > GENERIC_FREQUENCY).select(F.col("word").alias("label")).distinct()
+    if whitelist is not None:
+        common = common.join(whitelist.select(F.col("word").alias("label")), "label", "left_anti")
+    gone = common if blacklist is None else common.union(blacklist.select(F.col("word").alias("label")))
+    return topics.join(gone.distinct(), "label", "left_anti").select(*topics.columns)
 
 
 def accumulate_topics(candidates: DataFrame, articles: DataFrame, deltas: DataFrame | None = None, min_count: int = 2) -> DataFrame:
@@ -141,20 +171,23 @@ def term_vectors(tokens: DataFrame, least_docs: int = 5) -> DataFrame:
     return tf.join(total, "id").join(df, "token").crossJoin(F.broadcast(n)).select("id", "token", (F.col("c") / F.col("total") * idf).alias("weight"), "df")
 
 
-def hubs(terms: DataFrame, share: float = 0.4, least_docs: int = 12) -> DataFrame:
-    """Terms (id, term) that more than a share of all documents have, if there are enough documents."""
-    df = terms.select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    n = terms.agg(F.count_distinct("id").alias("docs"))
-    return df.crossJoin(F.broadcast(n)).filter((F.col("docs") >= least_docs) & (F.col("df") > F.col("docs") * share)).select("term", "df")
+def hub_least(window_hours: int) -> int:
+    """Documents that a window must have for its frequent entities to count as hubs."""
+    return next((n for h, n in HUB_LEAST if window_hours <= h), HUB_LEAST_ELSE)
 
 
-def candidate_pairs(terms: DataFrame, most_docs: int | None = None) -> DataFrame:
-    """(a, b, shared): pairs of documents that share a connecting term (id, term).
+def hubs(terms: DataFrame, share: float = HUB_SHARE, least_docs: int = HUB_LEAST_ELSE, docs: DataFrame | None = None, static: tuple[str, ...] = STATIC_HUBS) -> DataFrame:
+    """Terms (id, term) that do not tell documents apart: the static ones, and those that more than a share of all
+    documents have (``docs``: id; those with terms by default), if there are enough documents."""
+    df = terms.select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    n = (terms if docs is None else docs).agg(F.count_distinct("id").alias("docs"))
+    frequent = (F.col("docs") >= least_docs) & (F.col("df") > F.col("docs") * share)
+    return df.crossJoin(F.broadcast(n)).filter(frequent | F.col("term").isin(*static)).select("term", "df")
+
 
-    Hub terms should be removed before; ``most_docs`` bounds the documents of a connecting term."""
+def candidate_pairs(terms: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of documents that share a connecting term (id, term), of which hubs should be left out before."""
     t = terms.select("id", "term").distinct()
-    if most_docs is not None:
-        t = t.join(t.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") <= most_docs).select("term"), "term", "left_semi")
     pairs = t.select("term", F.col("id").alias("a")).join(t.select("term", F.col("id").alias("b")), "term").filter("a < b")
     return pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set("term")).alias("shared"))
 
@@ -232,13 +265,14 @@ def score_pairs(pairs: DataFrame, articles: DataFrame, window_hours: int = 24) -
     return p.withColumn("score", score).withColumn("linked", ~rejected & (F.col("score") >= least) & (F.col("semantic") >= LEAST_SEMANTIC)).select("a", "b", "entities", "keywords", "semantic", "score", "linked")
 
 
-def cluster_events(articles: DataFrame, entities: DataFrame, keywords: DataFrame, tokens: DataFrame, window_hours: int = 24, limit: int = 8, hub_share: float = 0.4, most_docs: int | None = None, deltas: DataFrame | None = None) -> DataFrame:
-    """Event groups of articles linked by shared entities or keywords (id, term) and similar titles (id, token)."""
-    every = entities.select("id", "term").union(keywords.select("id", "term")).distinct()
-    hub = hubs(every, hub_share)
-    e, k = (x.select("id", "term").distinct().join(F.broadcast(hub.select("term")), "term", "left_anti") for x in (entities, keywords))
-    pe = candidate_pairs(e, most_docs).withColumnRenamed("shared", "entities")
-    pk = candidate_pairs(k, most_docs).withColumnRenamed("shared", "keywords")
+def cluster_events(articles: DataFrame, entities: DataFrame, keywords: DataFrame, tokens: DataFrame, window_hours: int = 24, limit: int = 8, hub_share: float = HUB_SHARE, deltas: DataFrame | None = None) -> DataFrame:
+    """Event groups of articles linked by shared entities or keywords (id, term) and similar titles (id, token).
+
+    Entities that are hubs do not link. The articles are a window's sample, which bounds the pairs."""
+    hub = hubs(entities, hub_share, hub_least(window_hours), articles)
+    e = entities.select("id", "term").distinct().join(hub.select("term"), "term", "left_anti")
+    pe = candidate_pairs(e).withColumnRenamed("shared", "entities")
+    pk = candidate_pairs(keywords).withColumnRenamed("shared", "keywords")
     none = F.array().cast("array<string>")
     pairs = checkpoint(pe.join(pk, ["a", "b"], "full").withColumn("entities", F.coalesce("entities", none)).withColumn("keywords", F.coalesce("keywords", none)))
     scored = score_pairs(residual_cosine(pairs, term_vectors(tokens)), articles, window_hours)

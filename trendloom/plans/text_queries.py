@@ -109,6 +109,34 @@ def heat_words(spark, d):
     return M.heat_words(_support(spark, d), PARAMS)
 
 
+#: Words of titles with how often they stand there, as a dictionary.
+DICTIONARY = "dc as (select token word, count(*) freq from tk group by 1)"
+
+
+def _dictionary(spark, d):
+    return M.letter_tokens(articles(spark, d)).groupBy(F.col("token").alias("word")).agg(F.count("*").alias("freq"))
+
+
+EXCLUDED = f"""{DICTIONARY}, ex as (select distinct gram word from sp left join dc on dc.word = gram where gram in ('the', 'and') or regexp_matches(gram, '^\\p{{Nd}}+$') or (length(gram) = 2 and freq > 200) or (length(gram) = 3 and freq > 400) or (length(gram) >= 4 and freq > 300))"""
+
+
+def _excluded(spark, d):
+    return M.excluded_words(_support(spark, d), _dictionary(spark, d), spark.createDataFrame([("the",), ("and",)], "word string"))
+
+
+@query(f"with {SUPPORT}, {EXCLUDED} select word from ex")
+def excluded_heat_words(spark, d):
+    return _excluded(spark, d)
+
+
+@query(f"""with {SUPPORT}, {EXCLUDED}, ac as (select sp.* from sp left join dc on dc.word = gram where gram not in (select word from ex) and sources >= 2 and articles >= case when n > 1 then 2 when freq is null then case when length(gram) >= 3 then 1 else 2 end when freq <= 500 then 2 when freq <= 2000 then 3 when freq <= 5000 then 4 when freq <= 8000 then 8 else 12 end),
+ mg as (select gram, max(n) n, max(articles) articles, max(sources) sources, max(case when n = 1 then articles end) own from ac group by 1)
+ select gram, n, articles, sources from mg m where not exists (select 1 from mg w where w.n > 1 and w.gram <> m.gram and contains(w.gram, m.gram) and coalesce(m.own, 0) <= w.articles)""")
+def heat_words_discovered(spark, d):
+    """Heat words without what the exclusions leave out, each with as many articles as its frequency in the dictionary asks for."""
+    return M.heat_words(_support(spark, d), PARAMS, _excluded(spark, d), _dictionary(spark, d))
+
+
 CANDIDATES = f"{TOKENS}, cd as (select distinct id, case when length(token) > 5 then 'entity' else 'keyword' end kind, token label from tk where length(token) >= 4)"
 
 
@@ -127,6 +155,14 @@ def topic_accumulate(spark, d):
     return t.select("kind", "label", "count", "score", F.size("sources").cast("bigint").alias("n_sources"), "sample_id")
 
 
+@query(f"with {TOPICS}, {DICTIONARY} select kind, label, \"count\", score from tp where label <> 'that' and (label in ('with') or label not in (select word from dc where freq > 600))")
+def topic_generic_filter(spark, d):
+    """Topics without labels that are common words."""
+    one = lambda w: spark.createDataFrame([(w,)], "word string")
+    t = M.accumulate_topics(_candidates(spark, d), articles(spark, d))
+    return M.drop_generic(t, _dictionary(spark, d), one("that"), one("with")).select("kind", "label", "count", "score")
+
+
 @query(f"with {TOPICS} select kind, label, \"count\", score from tp t where not exists (select 1 from tp o where o.label <> t.label and contains(t.label, o.label)) order by \"count\" desc, score desc, label, kind limit 30")
 def topic_absorb(spark, d):
     t = M.accumulate_topics(_candidates(spark, d), articles(spark, d))
@@ -147,16 +183,26 @@ def title_tfidf(spark, d):
     return M.term_vectors(M.letter_tokens(articles(spark, d))).select("id", "token", F.round("weight", 6).alias("weight"))
 
 
-PAIRS = f"{VECTORS}, rt as (select id, token from vc where df <= 12), pr as (select x.id a, y.id b, count(*) shared from rt x join rt y using (token) where x.id < y.id group by 1, 2)"
+#: The hottest articles of the last day, as many as the window's sample has, and their words without hubs.
+SAMPLE = f"""{ARTICLES}, sm as (select * from ar where published_at >= timestamp '{AS_OF}' - interval 24 hours order by heat_value desc nulls last, published_at desc, id limit 500),
+ tk as (select id, source_key, unnest(range(len(l))) pos, unnest(l) token from (select id, source_key, regexp_extract_all(lower(title), '[\\p{{L}}]+') l from sm)),
+ tf as (select id, token, count(*) c from tk group by 1, 2), tl as (select id, count(*) t from tk group by 1), df as (select token, count(*) df from tf group by 1), nn as (select count(distinct id) n from tk),
+ vc as (select tf.id, tf.token, c / t * (ln(n / df) + 1) weight, df from tf join tl using (id) join df using (token), nn)"""
+PAIRS = f"{SAMPLE}, rt as (select id, token from vc, nn where not (n >= 20 and df > 0.4 * n)), pr as (select x.id a, y.id b, count(*) shared from rt x join rt y using (token) where x.id < y.id group by 1, 2)"
 
 
-def _terms(spark, d):
-    return M.letter_tokens(articles(spark, d)).select("id", F.col("token").alias("term"))
+def _sample(spark, d):
+    return R.recent(articles(spark, d), as_of(), 24, R.sample_limit(24))
+
+
+def _pairs(spark, d):
+    terms = M.letter_tokens(_sample(spark, d)).select("id", F.col("token").alias("term"))
+    return M.candidate_pairs(terms.join(M.hubs(terms).select("term"), "term", "left_anti"))
 
 
 @query(f"with {PAIRS} select * from pr")
 def candidate_pairs(spark, d):
-    return M.candidate_pairs(_terms(spark, d), 12).select("a", "b", F.size("shared").cast("bigint").alias("shared"))
+    return _pairs(spark, d).select("a", "b", F.size("shared").cast("bigint").alias("shared"))
 
 
 COSINES = f"""{PAIRS}, nm as (select id, sqrt(sum(weight * weight)) norm from vc group by 1), dt as (select a, b, sum(x.weight * y.weight) dot from pr join vc x on x.id = a join vc y on y.id = b and x.token = y.token group by 1, 2),
@@ -164,7 +210,7 @@ COSINES = f"""{PAIRS}, nm as (select id, sqrt(sum(weight * weight)) norm from vc
 
 
 def _cosines(spark, d):
-    return M.cosine(M.candidate_pairs(_terms(spark, d), 12), M.term_vectors(M.letter_tokens(articles(spark, d))))
+    return M.cosine(_pairs(spark, d), M.term_vectors(M.letter_tokens(_sample(spark, d))))
 
 
 @query(f"with {COSINES} select a, b, round(semantic, 6) semantic from cs")
@@ -172,16 +218,16 @@ def pair_scores(spark, d):
     return _cosines(spark, d).select("a", "b", F.round("semantic", 6).alias("semantic"))
 
 
-@query(f"""with recursive {COSINES}, lk as (select a, b from cs where semantic >= 0.5 union select b, a from cs where semantic >= 0.5),
+@query(f"""with recursive {COSINES}, lk as (select a, b from cs where semantic >= 0.2 union select b, a from cs where semantic >= 0.2),
  rc(node, c) as (select distinct a, a from lk union select lk.b, rc.c from rc join lk on lk.a = rc.node) select node, min(c) component from rc group by 1""")
 def components(spark, d):
-    return M.components(_cosines(spark, d).filter("semantic >= 0.5"))
+    return M.components(_cosines(spark, d).filter("semantic >= 0.2"))
 
 
 @query()
 def event_groups(spark, d):
-    """As ``TrendEngine.events``: the hottest articles of the last day; terms that over 40 % of them have do not link."""
-    a = R.recent(articles(spark, d), as_of(), 24, R.sample_limit(24))
+    """As ``TrendEngine.events``: the hottest articles of the last day; entities that over 40 % of them have do not link."""
+    a = _sample(spark, d)
     t = M.letter_tokens(a)
     entities = t.filter("length(token) > 6").select("id", F.col("token").alias("term"))
     keywords = t.filter("length(token) between 5 and 6").select("id", F.col("token").alias("term"))
@@ -246,11 +292,74 @@ def share_pages(spark, d):
     return feeds.share_page(articles(spark, d)).select("id", F.length("html").cast("bigint").alias("size"), F.md5("html").alias("digest"))
 
 
-@query("select least(50, count(*)) items from documents")
+ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""with {ARTICLES}, nw as (select *, 'https://example.org/a/' || id url from ar order by published_at desc, id desc limit 50),
+ it as (select id, published_at, '<item><title>' || {ESCAPED.format('title')} || '</title><link>' || url || '</link><description><![CDATA[' || replace('[' || heat_value || '] ' || coalesce(content, ''), ']]>', ']]]]><![CDATA[>') || ']]></description><guid>' || url || '</guid><pubDate>' || strftime(published_at, '%a, %d %b %Y %H:%M:%S +0000') || '</pubDate></item>' item from nw)
+ select count(*) items, md5('<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>feed</title><link>https://example.org</link>' || string_agg(item, '' order by published_at desc, id desc) || '</channel></rss>') digest from it""")
 def rss_feed(spark, d):
+    """The feed of the newest articles: its items and the digest of all its text."""
     a = articles(spark, d).withColumn("url", F.concat(F.lit("https://example.org/a/"), F.col("id"))).withColumn("heat", F.col("heat_value"))
     xml = feeds.rss(a, "feed", "https://example.org")
-    return xml.select((F.size(F.split("xml", "<item>")) - 1).cast("bigint").alias("items"))
+    return xml.select((F.size(F.split("xml", "<item>")) - 1).cast("bigint").alias("items"), F.md5("xml").alias("digest"))
+
+
+def _landed(spark, d, entry):
+    """Payload rows of 25 parts each, with what ``entry`` makes of a part."""
+    p = table(spark, d, "part").withColumn("batch", F.floor(F.col("p_partkey") / 25))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), entry.alias("e")))), lambda x: x["e"])
+    return p.groupBy("batch").agg(rows.alias("rows")), F.lit("2024-01-31 00:00:00").cast("timestamp").alias("fetched_at")
+
+
+PLAYS = "case when v >= 1000000000 then printf('%.0f 亿播放', v / 1e8) when v >= 100000000 then printf('%.1f 亿播放', v / 1e8) when v >= 10000 then (v // 10000)::varchar || ' 万播放' else v::varchar || ' 播放' end"
+
+
+@query(f"select 'https://www.bilibili.com/video/BV' || k url, title, author, {PLAYS} heat, v heat_value, shown published_at from (select p_partkey k, p_name title, p_brand author, p_partkey * p_partkey * 7919 v, timestamp '2024-01-01' + to_seconds(p_partkey * 60) shown from part where p_partkey % 9 > 0)")
+def video_payloads(spark, d):
+    """Landed video lists; entries without a title and payloads with an error code stay out."""
+    k = F.col("p_partkey")
+    entry = F.struct(F.concat(F.lit("BV"), k).alias("bvid"), F.when(k % 9 > 0, F.col("p_name")).otherwise("").alias("title"), F.lit("").alias("desc"), (k * 60 + 1704067200).cast("bigint").alias("pubdate"), F.struct(F.col("p_brand").alias("name")).alias("owner"), F.struct((k * k * 7919).cast("bigint").alias("view")).alias("stat"))
+    rows, at = _landed(spark, d, entry)
+    good = rows.select(F.to_json(F.struct(F.lit(0).alias("code"), F.lit("ok").alias("message"), F.struct(F.col("rows").alias("list")).alias("data"))).alias("body"))
+    bad = rows.select(F.to_json(F.struct(F.lit(-412).alias("code"), F.lit("no").alias("message"), F.struct(F.col("rows").alias("list")).alias("data"))).alias("body"))
+    got = feeds.video_list(good.union(bad).select(F.lit("video").alias("source_key"), "body", at))
+    return got.select("url", "title", "author", "heat", "heat_value", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+@query("""with p as (select p_partkey k, p_partkey // 25 batch, substr(md5('w' || p_partkey), 1, 14) word, p_size idx, p_partkey % 4 = 0 pinned from part),
+ o as (select *, row_number() over (partition by batch order by not pinned, k) pos from p)
+ select 'https://www.baidu.com/s?wd=' || word url, word title, k * 1000 heat_value, cast(row_number() over (partition by batch order by idx, pos) as int) source_rank from o""")
+def card_payloads(spark, d):
+    """Landed cards: pinned entries come first, equal words of a payload once, ranks by index."""
+    k = F.col("p_partkey")
+    entry = F.struct(F.col("p_size").alias("index"), F.substring(F.md5(F.concat(F.lit("w"), k).cast("binary")), 1, 14).alias("word"), (k * 1000).cast("string").alias("hotScore"), F.lit("").alias("desc"), F.lit("").alias("rawUrl"), (k % 4 == 0).alias("pinned"))
+    rows, at = _landed(spark, d, entry)
+    card = F.struct(F.lit("0").alias("updateTime"), F.concat(F.filter("rows", lambda x: ~x["pinned"]), F.filter("rows", lambda x: x["pinned"])).alias("content"), F.filter("rows", lambda x: x["pinned"]).alias("topContent"))
+    body = rows.select(F.to_json(F.struct(F.lit(True).alias("success"), F.struct(F.array(card).alias("cards")).alias("data"))).alias("body"))
+    return feeds.card_list(body.select(F.lit("cards").alias("source_key"), "body", at)).select("url", "title", "heat_value", "source_rank")
+
+
+@query("""with p as (select p_partkey k, p_partkey // 25 batch, 'no' || p_partkey title, p_size rnk from part where p_partkey % 11 > 0)
+ select 'https://www.sogou.com/web?query=' || title url, title, k * 100 heat_value, cast(row_number() over (partition by batch order by rnk, k) as int) source_rank from p""")
+def ranked_payloads(spark, d):
+    """Landed ranked lists, renumbered from one in each payload; entries without a title stay out."""
+    k = F.col("p_partkey")
+    title = F.when(k % 11 > 0, F.concat(F.lit("no"), k)).otherwise(" ")
+    entry = F.struct(k.cast("string").alias("id"), F.struct(title.alias("title"), F.lit("").alias("flag"), (k * 100).cast("bigint").alias("num"), F.col("p_size").alias("rank")).alias("attributes"))
+    rows, at = _landed(spark, d, entry)
+    body = rows.select(F.to_json(F.struct(F.col("rows").alias("data"))).alias("body"))
+    return feeds.ranked_list(body.select(F.lit("ranked").alias("source_key"), "body", at)).select("url", "title", "heat_value", "source_rank")
+
+
+@query("select 'https://s.weibo.com/weibo?q=%23t' || p_partkey url, p_name title, case when p_partkey % 5 > 0 then p_partkey * 31 else 0 end heat_value, p_size source_rank from part where p_partkey % 13 > 0")
+def html_hot_lists(spark, d):
+    """Landed hot-list pages; advertisements stay out, entries without a number have no heat."""
+    k = F.col("p_partkey")
+    entry = F.concat(F.lit('<td><a href="/weibo?q=%23t'), k, F.lit("&band_rank="), F.col("p_size"), F.when(k % 13 == 0, "&topic_ad=1").otherwise(""), F.lit('" target="_blank"> '), F.col("p_name"), F.lit(" </a> <span> "), F.when(k % 5 > 0, F.concat(F.lit("综艺 "), k * 31)).otherwise(""), F.lit(" </span></td>"))
+    rows, at = _landed(spark, d, entry)
+    body = rows.select(F.concat(F.lit("<html><table>"), F.array_join("rows", "\n"), F.lit("</table></html>")).alias("body"))
+    return feeds.html_list(body.select(F.lit("html").alias("source_key"), "body", at)).select("url", "title", "heat_value", "source_rank")
 
 
 @query(f"with {ARTICLES}, b as (select case when id % 7 = 0 then 'banned' when id % 7 = 1 then 'rate_limited' end error, source_key, published_at, id from ar) select source_key, count(*) polls, count(error) failures from b group by 1")
