@@ -52,6 +52,8 @@ class Lexicon:
     cues: tuple[str, ...] = ()
     adjective_tails: tuple[str, ...] = ()
     broad: set[str] = field(default_factory=set)
+    affiliations: dict[str, tuple[str, ...]] = field(default_factory=dict)  # persons -> what they stand for
+    channel_suffixes: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         self.alias = {a.lower(): label for label, (_, aliases) in self.entries.items() for a in (label, *aliases)}
@@ -131,9 +133,16 @@ def data_like(t: str) -> bool:
     return numeric_measure(t) or bool(re.search(r"第[0-9一二三四五六七八九十]+[集期季名]|[sS]\d+[eE]\d+|\d{4}年|^[Vv]?\d", t))
 
 
+def channel_tag(t: str, lx: Lexicon) -> bool:
+    """A column or category of a channel, not a subject."""
+    return han(t) >= 3 and t.endswith(lx.channel_suffixes)
+
+
 def is_entity(t: str, lx: Lexicon) -> bool:
     if t in lx.entries or t in lx.places:
         return True
+    if channel_tag(t, lx):
+        return False
     if t in lx.stop or t.lower() in lx.generic or re.fullmatch(r"[SE]\d+", t) or sentence_like(t, lx) or data_like(t):
         return False
     if re.search("[A-Z]", t):
@@ -148,7 +157,7 @@ def is_entity(t: str, lx: Lexicon) -> bool:
 def keeps(t: str, lx: Lexicon, promoted: set[str]) -> bool:
     if t in lx.entries or t in promoted:
         return True
-    if t in lx.stop or t.lower() in lx.generic:
+    if t in lx.stop or t.lower() in lx.generic or channel_tag(t, lx):
         return False
     if is_entity(t, lx) or t in lx.topics:
         return True
@@ -175,10 +184,11 @@ def candidates(title: str | None, lx: Lexicon, discovered: set[str] = frozenset(
     for m in lx.honorific.findall(title) if lx.honorific else ():
         forced.add(lx.canonical(m))
         pool.setdefault(lx.canonical(m))
-    for cue in sorted(lx.pairs):
-        if cue in title:
-            for t in lx.pairs[cue]:
-                pool.setdefault(t)
+    for table in (lx.pairs, lx.affiliations):
+        for cue in sorted(table):
+            if cue in title:
+                for t in table[cue]:
+                    pool.setdefault(t)
     for t in (*sorted(c for c in lx.compounds if c in title), *sorted(p for p in promoted if p in title), *lx.matches(title)):
         pool.setdefault(t)
     words = segment(title, lx)
@@ -290,12 +300,27 @@ def rule_entities(articles: DataFrame, places: Iterable[str], bad_first: str = "
     return articles.select("id", F.explode(F.array_distinct(F.concat(works, people, where))).alias("e")).select("id", "e.name", "e.type")
 
 
+# fixed values: suffixes of channel columns
+CHANNEL_SUFFIXES = ("调查", "测评", "锐评", "开箱", "评测", "实验", "合集版", "合集", "栏目", "专栏", "深扒", "探店")
+# countries by the character that stands for them in headlines
+COUNTRIES = {"中": "中国", "美": "美国", "日": "日本", "俄": "俄罗斯", "韩": "韩国", "朝": "朝鲜", "英": "英国", "法": "法国", "德": "德国", "印": "印度", "欧": "欧盟", "乌": "乌克兰"}
+
+
+def country_pairs(first: str = "中美日俄欧") -> dict[str, tuple[str, ...]]:
+    """Headline pairs of countries, the leading one among ``first``, and visits to each country."""
+    pairs = {a + b: (COUNTRIES[a], COUNTRIES[b]) for a in first for b in COUNTRIES if a != b}
+    return pairs | {f"访{c}": (name,) for c, name in COUNTRIES.items()}
+
+
 def seed_lexicon() -> Lexicon:
     """A small dictionary of our own for tests and as a pattern for larger ones."""
+    countries = {name: ("country", ()) for name in COUNTRIES.values()}
+    firms = {"特斯拉": ("company", ("Tesla",)), "英伟达": ("company", ("Nvidia",)), "比亚迪": ("company", ("BYD",)), "微软": ("company", ("Microsoft",))}
     return Lexicon(
-        entries={"华为": ("company", ("Huawei",)), "苹果公司": ("company", ("Apple",)), "人工智能": ("event", ("AI",)), "世界杯": ("event", ()), "国家队": ("team", ())},
+        entries={"华为": ("company", ("Huawei",)), "苹果公司": ("company", ("Apple",)), "人工智能": ("event", ("AI",)), "世界杯": ("event", ()), "国家队": ("team", ())} | countries | firms,
         words={"发布": (900, "v"), "新品": (120, "n"), "手机": (700, "n"), "北京": (800, "ns"), "上海": (780, "ns"), "李明": (3, "nr"), "降雨": (60, "n"), "预警": (50, "n"), "演唱会": (90, "n"), "今天": (5000, "t"), "问界": (5, "nz"), "访问": (300, "v"), "门票": (40, "n"), "暴雨": (70, "n")},
         stop={"今天", "最新", "回应", "网友", "视频", "记者"}, places={"北京", "上海", "广东"}, verbs={"发布", "访问", "回应"}, topics={"降雨", "演唱会", "暴雨", "门票"},
         honorifics=("先生", "教授", "主席", "总统"), prefixes=("关于", "今日"), suffixes=("最新消息", "视频"), entity_suffixes=("大学", "集团", "公司", "银行"), entity_prefixes=("小米",), topic_suffixes=("预警", "改革", "政策"),
-        pairs={"中美": ("中国", "美国"), "访华": ("中国",)}, compounds={"暴雨预警"}, generic={"the", "and", "new", "video"}, cues=("是否", "为什么", "怎么"), adjective_tails=("女子", "男子", "助手"), broad={"中国", "美国"},
+        pairs=country_pairs() | {"访华": ("中国",)}, affiliations={"马斯克": ("特斯拉",), "黄仁勋": ("英伟达",), "王传福": ("比亚迪",), "纳德拉": ("微软",), "任正非": ("华为",), "库克": ("苹果公司",)},
+        channel_suffixes=CHANNEL_SUFFIXES, compounds={"暴雨预警", "台风预警", "高温预警", "房贷利率", "出口管制", "退休年龄", "新能源汽车", "医保改革"}, generic={"the", "and", "new", "video"}, cues=("是否", "为什么", "怎么"), adjective_tails=("女子", "男子", "助手"), broad={"中国", "美国"},
     )
