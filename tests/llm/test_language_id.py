@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from trendloom.llm.language_id import BiGRU, frame, identify_languages
+from trendloom.llm.language_id import WINDOW, BiGRU, frame, identify_languages, pooled
 
 WORDS = {"en": ["the", "with", "thing", "other"], "fr": ["être", "où", "quelle", "eau"], "de": ["über", "schön", "zeit", "nicht"]}
 
@@ -46,3 +46,23 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(x.lang_pred, x.score) for x in identify_languages(docs).collect()] == [("und", 0.0)]
     assert identify_languages(docs.limit(0)).count() == 0
+
+
+def test_pooling_is_the_mean_over_every_byte():
+    """Against one window at a time, without padding or batches."""
+    net = BiGRU(3, 1)
+    texts = ["a", "é" * 40, "some text of more than one window, that is. " * 5, "x" * WINDOW, "y" * (WINDOW + 1)]
+    got = pooled(net, texts, 3)
+    for text, p in zip(texts, got):
+        raw, total = text.encode(), np.zeros(3)
+        for a in range(0, len(raw), WINDOW):
+            x, _ = frame([raw[a : a + WINDOW]])
+            total += net.probabilities(x)[: len(raw[a : a + WINDOW]), 0].sum(0)
+        assert np.allclose(p, total / len(raw), atol=1e-5), text
+
+
+def test_ids_of_other_types(spark):
+    rows = [(f"doc-{i}", WORDS["en" if i % 2 else "fr"][i % 4] + " " + WORDS["en" if i % 2 else "fr"][(i + 1) % 4], "en" if i % 2 else "fr") for i in range(120)]
+    rows += [(None, "the other", "en"), ("doc-1", "the other thing", "en")]
+    got = identify_languages(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()
+    assert len(got) == 122 and all(x.held_out == (x.doc_id is not None and zlib.crc32(x.doc_id.encode()) % 4 == 2) for x in got)

@@ -7,17 +7,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text of a block, digests of a bucket, on average.
-BLOCK_BYTES, BUCKET_DIGESTS = 4_000_000, 1_000_000
+#: Bytes of text of a block, digests of a bucket, on average; blocks at most. A digest that every block has is offered once by
+#: each, so that the number of blocks bounds what one digest brings to its bucket (24 bytes an offer).
+BLOCK_BYTES, BUCKET_DIGESTS, MOST_BLOCKS = 4_000_000, 1_000_000, 4_000_000
 
 
 def text_bytes(source: DataFrame) -> int:
     return source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
+def block_count(total: int, block_bytes: int | None = None) -> int:
+    """Blocks for so many bytes of text: of BLOCK_BYTES, or larger ones where those would be more than MOST_BLOCKS."""
+    return min(total // (block_bytes or BLOCK_BYTES) + 1, MOST_BLOCKS)
+
+
 def blocked(source: DataFrame, total: int) -> DataFrame:
     """Columns id and text with the block that a hash of the id gives: one id is in one block."""
-    return source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(total // BLOCK_BYTES + 1)))
+    return source.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(block_count(total))))
 
 
 def runs_of(key: np.ndarray) -> list[tuple[int, int, int]]:

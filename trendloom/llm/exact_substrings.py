@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.blocks import digest_groups, from_planes, planes
+from trendloom.llm.blocks import block_count, digest_groups, from_planes, planes
 from trendloom.llm.hashing import POWERS, POWERS_TWO, mix, windows
 from trendloom.llm.suffixes import first_owners
 
@@ -187,7 +187,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the ``spans`` removed (start, end)."""
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     total = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks, n_buckets = total // BLOCK_BYTES + 1, total * 2 // (SPAN + 2) // BUCKET_ANCHORS + 1
+    n_blocks, n_buckets = block_count(total, BLOCK_BYTES), total * 2 // (SPAN + 2) // BUCKET_ANCHORS + 1
     n_shards = total * 2 // SHARD_BYTES + 1
     per_sort, hot_codes, hot_in_block = PER_SORT, HOT_CODES, HOT_IN_BLOCK
     blocks = source.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), "id", "text")

@@ -5,7 +5,9 @@ windows; the network labels every byte of every window with language probabiliti
 whole document.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; so is everything where no row is
-labelled; repeated ids are judged row by row; an empty table gives no rows; other columns are ignored.
+labelled; of languages with equal probability the first by name is predicted; ids may be of any type, rows without one are never
+learned from; repeated ids are judged row by row, and copies of a text are learned from once; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -186,23 +188,25 @@ def training_windows(docs: DataFrame) -> tuple[list[bytes], np.ndarray, list[str
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     chance = F.lit(0.0)
-    for lang in languages:  # of each language about SAMPLE_ROWS rows, by a hash of their ids
+    for lang in languages:  # of each language about SAMPLE_ROWS rows, by a hash of ids and texts
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_ROWS / sizes[lang]))).otherwise(chance)
-    some = known.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_003)) < chance * 1_000_003)
+    some = known.filter(F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1_000_003)) < chance * 1_000_003)
+    some = some.select(F.col("id").cast("string").alias("id"), "text", "lang").dropDuplicates(["text", "lang"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, lang, raw[a : a + WINDOW]) for i, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (raw := text.encode()) for a in np.unique(np.linspace(0, max(0, len(raw) - WINDOW), SAMPLE_WINDOWS).astype(int)).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "lang", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "lang", "bytes"])
 
-    got = sorted((r["lang"], r["id"], bytes(r["bytes"])) for r in some.select("id", "text", "lang").mapInArrow(cut, "id bigint, lang string, bytes binary").collect())
+    got = sorted((r["lang"], bytes(r["bytes"]), r["id"]) for r in some.mapInArrow(cut, "id string, lang string, bytes binary").collect())
     number = {lang: i for i, lang in enumerate(languages)}
-    return [g[2] for g in got], np.array([number[g[0]] for g in got], np.int64), languages
+    return [g[1] for g in got], np.array([number[g[0]] for g in got], np.int64), languages
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, held_out, lang_pred, score."""
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    kind = source.schema["id"].dataType.simpleString()
     windows, labels, languages = training_windows(source)
     net = train(windows, labels, len(languages)) if languages else None
 
@@ -220,4 +224,4 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 
     asked = source.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "text")
-    return asked.mapInArrow(run, "id bigint, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return asked.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

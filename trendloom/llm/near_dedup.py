@@ -46,7 +46,7 @@ COMPARISONS = 4_000_000
 #: candidates that each row offers in the first round of the second.
 SLACK, BEST = (4.0, 3.5), 8
 #: Rows of a forest that a task takes on average; rows at each edge of a partition that meet their neighbours later.
-PER_TASK, EDGE = 1_000_000, 32
+PER_TASK, EDGE = 250_000, 32
 PAIR, AT_EDGE, CROWDED = 0, 1, 2  # kinds of rows that a first pass yields
 
 _multiply = mix(np.arange(1, PLACES + LONG + 1, dtype=np.uint64)) | np.uint64(1)
