@@ -122,8 +122,12 @@ def drop_generic(topics: DataFrame, dictionary: DataFrame, blacklist: DataFrame
 def accumulate_topics(candidates: DataFrame, articles: DataFrame, deltas: DataFrame | None = None, min_count: int = 2) -> DataFrame:
     """Topics by (kind, label): count, score, window delta, new articles, sources by count, related terms, sample.
 
-    candidates: id, kind, label, related (array). Articles join once per candidate; the rest is one aggregation."""
-    once = candidates.groupBy("id", "kind", "label").agg(F.array_distinct(F.flatten(F.collect_list("related"))).alias("related"))
+    candidates: id, kind, label, related (array). Articles join once per candidate; the rest is one aggregation. Related
+    terms go their own way, the first four of each topic being cut out before they meet, so that no topic gathers them all."""
+    once = candidates.select("id", "kind", "label").distinct()
+    terms = candidates.select("kind", "label", F.explode("related").alias("_t")).filter(F.col("_t") != F.col("label")).distinct()
+    four = terms.withColumn("_n", F.row_number().over(Window.partitionBy("kind", "label").orderBy("_t"))).filter("_n <= 4")
+    near = four.groupBy("kind", "label").agg(F.array_sort(F.collect_list("_t")).alias("_r"))
     a = articles.select("id", "source_key", "title", "heat_value", "published_at", article_score(F.col("heat_value"), F.col("prev_heat_value")).alias("score"))
     j = once.join(a, "id")
     if deltas is not None:
@@ -132,16 +136,16 @@ def accumulate_topics(candidates: DataFrame, articles: DataFrame, deltas: DataFr
         j = j.withColumn("delta", F.lit(0)).withColumn("is_new", F.lit(False))
     per = j.groupBy("kind", "label", "source_key").agg(
         F.count("*").alias("n"), F.sum("score").alias("score"), F.sum(F.coalesce("delta", F.lit(0))).alias("delta"), F.sum(F.when(F.col("is_new"), 1).otherwise(0)).alias("new"),
-        F.flatten(F.collect_set("related")).alias("related"), F.max(F.struct("heat_value", F.negative("id").alias("nid"), "title")).alias("top"), F.max("published_at").alias("latest"),
+        F.max(F.struct("heat_value", F.negative("id").alias("nid"), "title")).alias("top"), F.max("published_at").alias("latest"),
     )
     topics = per.groupBy("kind", "label").agg(
         F.sum("n").alias("count"), F.sum("score").alias("score"), F.sum("delta").alias("score_delta"), F.sum("new").alias("count_delta"),
-        F.array_sort(F.collect_list(F.struct(F.negative("n").alias("k"), "source_key"))).alias("_s"), F.array_distinct(F.flatten(F.collect_list("related"))).alias("_r"), F.max("top").alias("_t"), F.max("latest").alias("latest"),
+        F.array_sort(F.collect_list(F.struct(F.negative("n").alias("k"), "source_key"))).alias("_s"), F.max("top").alias("_t"), F.max("latest").alias("latest"),
     )
-    return topics.filter((F.col("count") >= min_count) & (F.col("score") != 0)).select(
+    return topics.filter((F.col("count") >= min_count) & (F.col("score") != 0)).join(near, ["kind", "label"], "left").select(
         "kind", "label", "count", "score", "score_delta", "count_delta", momentum(F.col("score_delta"), F.col("count_delta")).alias("momentum"),
         F.transform("_s", lambda x: F.struct(x["source_key"].alias("source_key"), (-x["k"]).alias("count"))).alias("sources"),
-        F.slice(F.array_sort(F.array_remove(F.col("_r"), F.col("label"))), 1, 4).alias("related"), F.negative("_t.nid").alias("sample_id"), F.col("_t.title").alias("sample_title"), "latest",
+        F.coalesce("_r", F.array().cast("array<string>")).alias("related"), F.negative("_t.nid").alias("sample_id"), F.col("_t.title").alias("sample_title"), "latest",
     )
 
 
