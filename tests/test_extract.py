@@ -59,3 +59,14 @@ def test_columns(spark):
     assert X.article_keywords(got).first().keywords[0] == "华为"
     rules = X.rule_entities(spark.createDataFrame([(1, "《山海》主演王小明在北京")], "id int, title string"), ["北京"])
     assert {(r.name, r.type) for r in rules.collect()} >= {("山海", "work"), ("北京", "location")}
+
+
+def test_channel_columns_affiliations_and_pairs():
+    assert "旧核调查" not in labels("旧核调查") and not X.keeps("真人实验", LX, set()) and not X.channel_tag("调查", LX)
+    assert list(labels("马斯克谈裁员")) == ["特斯拉"] and set(labels("中美会谈")) == {"中国", "美国"} and list(labels("总理访日")) == ["日本"]
+    assert set(X.country_pairs("中")) >= {"中美", "中俄", "访华"} - {"访华"} and "美中" not in X.country_pairs("中")
+
+
+def test_kind_of_a_discovered_word():
+    assert X.word_kind("手机", LX) == "entity" and X.word_kind("发布", LX) == "keyword" and X.word_kind("OpenAI", LX) == "entity"
+    assert X.word_kind("北京发布", LX) == "entity" and X.word_kind("摆烂", LX) == "keyword"

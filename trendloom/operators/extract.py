@@ -154,6 +154,13 @@ def is_entity(t: str, lx: Lexicon) -> bool:
     return pure_han(t) and 2 <= len(t) <= 4 and lx.words.get(t, (0, ""))[1] == "nr"
 
 
+def word_kind(word: str, lx: Lexicon) -> str:
+    """The kind of a discovered word by the part of speech of the word, or of its first piece: nouns and Latin words are entities."""
+    pieces = [word] if word in lx.words else segment(word, lx) or [word]
+    noun = lx.words.get(pieces[0], (0, ""))[1].startswith("n") or bool(re.fullmatch("[A-Za-z][A-Za-z0-9+.]*", pieces[0]))
+    return "entity" if noun else "keyword"
+
+
 def keeps(t: str, lx: Lexicon, promoted: set[str]) -> bool:
     if t in lx.entries or t in promoted:
         return True

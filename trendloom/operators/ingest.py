@@ -141,6 +141,33 @@ def drop_subscription(subscriptions: DataFrame, ids: DataFrame) -> DataFrame:
     return subscriptions.join(ids, "id", "left_anti")
 
 
+_METRICS = "struct<variant: string, found: bigint, blacklisted: bigint, precision: double, score: double>"
+
+
+def evaluation_report(grid: DataFrame, suggestion: DataFrame, articles: DataFrame, blacklist: DataFrame, evaluated_at: Column, window_hours: int) -> DataFrame:
+    """One row of an evaluation of parameters: the baseline, all variants in order of score, the best and the suggested one.
+
+    grid: variant, found, blacklisted, precision, score, baseline (a row for each variant); suggestion: best, suggested."""
+    metrics = F.struct("variant", "found", "blacklisted", "precision", "score").cast(_METRICS)
+    rows = grid.agg(
+        F.max(F.when(F.col("baseline"), metrics)).alias("baseline"),
+        F.transform(F.array_sort(F.collect_list(F.struct(F.negative("score").alias("k"), F.col("variant").alias("v"), metrics.alias("m")))), lambda x: x["m"]).alias("candidates"),
+    )
+    counts = articles.agg(F.count("*").alias("articles_count")).crossJoin(blacklist.agg(F.count("*").alias("blacklist_count")))
+    one = rows.crossJoin(counts).crossJoin(suggestion.select(F.col("best").alias("best_variant"), F.col("suggested").alias("suggestion")))  # each a single row
+    return one.select(evaluated_at.alias("evaluated_at"), F.lit(window_hours).alias("window_hours"), "articles_count", "blacklist_count", "baseline", "candidates", "best_variant", "suggestion")
+
+
 def encode_report(report: DataFrame) -> DataFrame:
     """Evaluation reports with their nested columns as JSON text."""
     return report.withColumn("baseline", F.to_json("baseline")).withColumn("candidates", F.to_json("candidates"))
+
+
+def decode_report(stored: DataFrame) -> DataFrame:
+    """Stored reports with their nested columns again; what is no JSON becomes null."""
+    return stored.withColumn("baseline", F.from_json("baseline", _METRICS)).withColumn("candidates", F.from_json("candidates", f"array<{_METRICS}>"))
+
+
+def latest_reports(stored: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest stored reports, decoded; limits outside 1 to 200 become 50."""
+    return decode_report(stored.orderBy(F.desc("evaluated_at")).limit(limit if 0 < limit <= 200 else 50))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import scalar as S
 from trendloom.operators import extract as X
+from trendloom.operators import ingest as I
 from trendloom.operators import mining as M
 from trendloom.operators import relational as R
 from trendloom.operators.graph import shared_folder
-from trendloom.plans.text_queries import CANDIDATES, TOKENS, _candidates, query
+from trendloom.plans.text_queries import CANDIDATES, GRID, PARAMS, TOKENS, _candidates, _support, query
 from trendloom.sources import feeds
 from trendloom.sources.adapters import ARTICLES, AS_OF, SNAPSHOTS, articles, as_of, snapshots, table
 from trendloom.streaming import jobs
@@ -269,3 +270,17 @@ def article_keyword_lists(spark, d):
     words = M.letter_tokens(articles(spark, d)).filter("length(token) >= 4").groupBy("id", F.col("token").alias("label")).agg(F.min("pos").alias("pos"))
     c = words.withColumn("kind", F.when(F.length("label") > 5, "entity").otherwise("keyword"))
     return X.article_keywords(c).select("id", F.size("keywords").alias("n"), F.size(F.filter("keywords", lambda x: F.length(x) > 5)).alias("entities"))
+
+
+@query(f"""with {GRID}, sc as (select variant, a, s, a = 2 and s = 2 baseline, found, bad, case when found = 0 then 0 else (1 - bad / found) * ln(1 + found) end score from ct),
+ b as (select max_by(variant, (score, baseline, -a, -s)) best, max(score) best_score, max(case when baseline then score end) baseline_score, max(case when baseline then found end) baseline_found from sc)
+ select cast(row_number() over (order by score desc, variant) as int) place, variant, found, bad blacklisted, round(score, 6) score, best best_variant, case when best_score > 1.05 * baseline_score then best end suggestion, baseline_found, (select count(*) from ar) articles_count, 2 blacklist_count from sc, b""")
+def evaluation_reports(spark, d):
+    """An evaluation stored as JSON text among older ones, and the newest one read back."""
+    bad = spark.createDataFrame([("the",), ("and",)], "word string")
+    grid = M.evaluate_grid(_support(spark, d), bad, PARAMS)
+    report = I.encode_report(I.evaluation_report(grid, M.suggest_variant(grid), articles(spark, d), bad, as_of(), 24))
+    old = report.withColumn("evaluated_at", as_of("2024-01-01 00:00:00")).withColumn("candidates", F.lit("no json"))
+    newest = I.latest_reports(old.unionByName(report), 1)
+    rows = newest.select("*", F.posexplode("candidates").alias("pos", "c"))
+    return rows.select((F.col("pos") + 1).alias("place"), "c.variant", "c.found", "c.blacklisted", F.round("c.score", 6).alias("score"), "best_variant", "suggestion", F.col("baseline.found").alias("baseline_found"), "articles_count", F.col("blacklist_count").cast("int").alias("blacklist_count"))
