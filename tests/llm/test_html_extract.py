@@ -61,3 +61,25 @@ def test_forms_around_pages_and_within():
     ]
     for page in pages:
         assert main_text(page, trained()) == "\n\n".join(lines), page
+
+
+def test_pages_of_other_designs():
+    """A blog, a page laid out as a table, nested divisions, a manual: built by hand, unlike the pages trained on."""
+    A = "The council voted on Monday to restore the old market hall, after years of debate about its future."
+    B = "Work will start in June and is expected to take two years. Traders will move to a temporary site near the station, where rents stay the same."
+    C = "“We are relieved,” said one of the traders, who has sold fish here since 1984."
+    blog = f"""<!doctype html><html lang=en><head><title>Hall</title><meta charset=utf-8><style>.x{{}}</style></head><body class="post-template-default single">
+<div id="page" class="site"><a class="skip-link" href="#content">Skip to content</a>
+<header id="masthead" class="site-header"><div class="site-branding"><p class="site-title"><a href="/">The Daily Sheet</a></p><p class="site-description">News from the valley</p></div><nav id="site-navigation" class="main-navigation"><ul><li><a href="/news">News</a></li><li><a href="/sport">Sport</a></li></ul></nav></header>
+<div id="content" class="site-content"><div id="primary" class="content-area"><main id="main" class="site-main"><article id="post-1" class="post type-post"><header class="entry-header"><h1 class="entry-title">Market hall to be restored</h1><div class="entry-meta">Posted on <a href="#">3 May</a> by <a href="#">K. Lind</a></div></header>
+<div class="entry-content"><p>{A}</p><p>{B}</p><blockquote><p>{C}</p></blockquote></div><footer class="entry-footer">Filed under <a href="#">Town</a></footer></article>
+<div id="comments" class="comments-area"><h2 class="comments-title">2 thoughts</h2><ol class="comment-list"><li class="comment"><div class="comment-body"><p>Great news for all of us in the old town. I hope they keep the clock.</p></div></li></ol></div></main></div>
+<aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href="#">Rain again</a></li></ul></section></aside></div>
+<footer id="colophon" class="site-footer"><div class="site-info">Proudly powered. All rights reserved.</div></footer></div></body></html>"""
+    table = f"""<html><body bgcolor=white><table width=100%><tr><td colspan=2><a href="/">Home</a> | <a href="/a">About</a> | <a href="/c">Contact</a></td></tr><tr><td width=150><a href=1>Politics</a><br><a href=2>Weather</a><br><a href=3>Sport</a></td><td><h1>Market hall to be restored</h1><p>{A}<p>{B}<p>{C}</td></tr><tr><td colspan=2><small>Copyright 2003 The Daily Sheet</small></td></tr></table></body></html>"""
+    divs = f"""<html><body><div class="top"><div class="logo"><a href="/">Sheet</a></div><div class="menu"><a href=1>One</a> <a href=2>Two</a></div></div><div class="cookie-banner"><p>We use cookies to improve your visit. By going on you agree.</p><button>OK</button></div><div class="col"><div class="txt"><h1>Market hall to be restored</h1><div>{A}</div><div>{B}</div><div>{C}</div></div><div class="share-bar">Share: <a href=1>Mail</a></div><div class="related"><h3>More stories</h3><ul><li><a href=3>Bus lines change in the spring timetable</a></li><li><a href=4>New head of the library named</a></li></ul></div></div><div class="bottom">Imprint · Privacy · Terms of use</div></body></html>"""
+    docs = f"""<html><body><div class="sidebar"><ul><li><a href=1>Install</a></li><li><a href=2>Use</a></li></ul></div><div role="main" class="document"><div class="section" id="s1"><h1>Using the tool</h1><p>{B}</p><h2>Options</h2><ul><li>The first option sets the depth of the search.</li><li>The second option names the output.</li></ul><pre>tool --depth 3 out.txt</pre><p>{A}</p></div></div><footer><hr><p>© Copyright 2020, the authors.</p></footer></body></html>"""
+    T = "Market hall to be restored"
+    manual = ["Using the tool", B, "Options", "The first option sets the depth of the search.", "The second option names the output.", "tool --depth 3 out.txt", A]
+    for page, want in ((blog, [T, A, B, C]), (table, [T, A, B, C]), (divs, [T, A, B, C]), (docs, manual)):
+        assert main_text(page, trained()) == "\n\n".join(want)

@@ -372,24 +372,35 @@ def labelled_pages(n: int, seed: int = 1) -> list[tuple[str, list[str]]]:
         out: list[str] = []
         inner = article(out)
         open_, close = r.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="post">', "</div>"), ("<section>", "</section>"), ("<div>", "</div>"), ('<div class="entry-content"><div>', "</div></div>"), ("", "")])
+        if r.random() < 0.12:  # laid out as a table
+            cells = r.choice([" | ", "<br>"]).join(f"<a href=/{words(1, 2)}>{words(1, 3)}</a>" for _ in range(r.randrange(2, 7)))
+            top = " | ".join(f"<a href=/>{words(1, 3)}</a>" for _ in range(r.randrange(2, 5)))
+            foot = r.choice([f"<small>Copyright {words(1, 4)}</small>", f"<font size=1>&copy; {words(2, 6)}</font>", words(2, 7)])
+            rows = [f"<tr><td colspan=2>{top}</td></tr>", f"<tr><td width=150>{cells}</td><td>{inner}</td></tr>", f"<tr><td colspan=2>{foot}</td></tr>"]
+            pages.append((f"<html><body><table>{''.join(rows)}</table></body></html>", out))
+            continue
         before = "".join(boilerplate() for _ in range(r.randrange(0, 4)))
+        skip = r.random() < 0.25  # a link that stands in the page's own element
+        if skip:
+            before = f'<a{r.choice(["", " class=skip-link"])} href="#c">{words(1, 5)}</a>' + before
         after = "".join(boilerplate() for _ in range(r.randrange(0, 4)))
-        wrap = r.choice([("<div class=wrapper>", "</div>")] * 3 + [('<form method=post id="page">', "</form>")] * 2 + [("", "")] * 5)
+        wrap = ("<div id=page>", "</div>") if skip else r.choice([("<div class=wrapper>", "</div>")] * 3 + [('<form method=post id="page">', "</form>")] * 2 + [("", "")] * 5)
         pages.append((f"<html><body>{wrap[0]}{before}{open_}{inner}{close}{after}{wrap[1]}</body></html>", out))
     return pages
 
 
 def label(page: Page, content: list[str]) -> list[int]:
-    """Labels of elements: those with content text, and containers most of whose text is content."""
+    """Labels of elements: by their own text where they have some, else by most of the text below them."""
     wanted = {" ".join(c.split()) for c in content}
     good, all_ = [0] * len(page.tag), [0] * len(page.tag)
     for node, text in page.runs:
         all_[node] += len(text)
         good[node] += len(text) * (text in wanted)
+    own = [2 * g > a if a else None for g, a in zip(good, all_, strict=True)]
     for i in range(len(page.tag) - 1, 0, -1):
         good[page.parent[i]] += good[i]
         all_[page.parent[i]] += all_[i]
-    return [int(2 * g > a) for g, a in zip(good, all_, strict=True)]
+    return [int(2 * g > a if o is None else o) for o, g, a in zip(own, good, all_, strict=True)]
 
 
 @lru_cache(maxsize=1)
