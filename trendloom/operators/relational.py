@@ -122,6 +122,11 @@ def window_deltas(current: DataFrame, snapshots: DataFrame, start: Column) -> Da
     return current.join(base, "article_id", "left").select("article_id", "heat_value", (F.col("heat_value") - F.coalesce("_b", F.lit(0))).alias("delta"), F.col("_b").isNull().alias("is_new"))
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose id is on a list (ids: id), each once, however often the list has it."""
+    return rows.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+
+
 def heat_history(snapshots: DataFrame, article_id: int, limit: int = 48) -> DataFrame:
     return snapshots.filter(F.col("article_id") == article_id).orderBy(F.desc("captured_at")).limit(clamp(limit, 48, 500)).orderBy("captured_at")
 

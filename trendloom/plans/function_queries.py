@@ -284,3 +284,31 @@ def evaluation_reports(spark, d):
     newest = I.latest_reports(old.unionByName(report), 1)
     rows = newest.select("*", F.posexplode("candidates").alias("pos", "c"))
     return rows.select((F.col("pos") + 1).alias("place"), "c.variant", "c.found", "c.blacklisted", F.round("c.score", 6).alias("score"), "best_variant", "suggestion", F.col("baseline.found").alias("baseline_found"), "articles_count", F.col("blacklist_count").cast("int").alias("blacklist_count"))
+
+
+@query(f"with {ARTICLES}, {DELTAS} select id article_id, heat_value, delta, is_new from ar join dl using (id) where id in (select user_id from events where value > 90)")
+def deltas_of_ids(spark, d):
+    """Deltas of the articles on a list of ids, in which ids repeat."""
+    ids = table(spark, d, "events").filter("value > 90").select(F.col("user_id").alias("id"))
+    return R.by_ids(_deltas(spark, d), ids, "article_id")
+
+
+@query("select n_nationkey source, ((n_nationkey * 3) % 15)::int first_minute, 4 polls from nation")
+def poll_plan(spark, d):
+    """When in the hour each source is polled first, and how often."""
+    k = F.col("n_nationkey").cast("int")
+    minutes = jobs.poll_minutes(k)
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("source"), F.element_at(minutes, 1).alias("first_minute"), F.size(minutes).alias("polls"))
+
+
+@query("""with o as (select p_partkey k, 'src' || (p_partkey % 40) source_key, lower(p_name) t from part where p_partkey % 2 = 0), n as (select p_partkey k, 'src' || ((p_partkey - 1) % 40) source_key, lower(p_name) t from part where p_partkey % 2 = 1),
+ s as (select n.k, n.source_key, replace(n.t, ' ', '') a, 'old/' || o.k u, replace(o.t, ' ', '') b from n join o on n.source_key = o.source_key),
+ h as (select k, source_key, min_by(u, ((a <> b)::int, u)) u from s where a = b or contains(a, b) or contains(b, a) or levenshtein(a, b) <= 1 group by 1, 2)
+ select distinct n.source_key, coalesce(u, 'new/' || n.k) url from n left join h on h.k = n.k""")
+def urls_of_near_titles(spark, d):
+    """New rows of fuzzy sources with the url of a recent row of nearly equal title."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part")
+    new = p.filter(k % 2 == 1).select(F.concat(F.lit("new/"), k).alias("url"), F.concat(F.lit("src"), (k - 1) % 40).alias("source_key"), F.lower("p_name").alias("title"))
+    recent = p.filter(k % 2 == 0).select(F.concat(F.lit("old/"), k).alias("url"), F.concat(F.lit("src"), k % 40).alias("source_key"), F.lower("p_name").alias("title"))
+    return feeds.replace_url_of_near_title(new, recent).select("source_key", "url").distinct()

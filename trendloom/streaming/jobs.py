@@ -92,6 +92,11 @@ def polls_now(ts: Column) -> Column:
     return (F.hour(ts) >= 9) | (minute < 15) | ((minute >= 30) & (minute < 45))
 
 
+def poll_minutes(index: Column, every: int = 15, offset: int = 3) -> Column:
+    """The minutes of the hour at which the source with a number is polled: each quarter, later sources some minutes after."""
+    return F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(60 - every), F.lit(every)), lambda m: F.pmod(m + index * offset, F.lit(60))))
+
+
 # fixed values: seconds of pause by error class
 BACKOFF = {"banned": (21_600, 43_200), "rate_limited": (3_600, 7_200), "cookie_expired": (21_600, 43_200), "empty": (1_800, 3_600), "other": (1_800, 3_600)}
 
