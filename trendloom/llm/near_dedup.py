@@ -150,6 +150,7 @@ def near_rows(ordered: DataFrame, least: int, at_edges: bool) -> DataFrame:
 
         before: tuple[np.ndarray, np.ndarray] | None = None
         tail: list[tuple[np.ndarray, np.ndarray]] = []
+        head = EDGE if at_edges else 0  # rows at the beginning that are still to be told
         for labels, ids, _ in whole_runs(batches):
             first, size = run_sizes(labels)
             run = np.repeat(size, size)
@@ -179,9 +180,10 @@ def near_rows(ordered: DataFrame, least: int, at_edges: bool) -> DataFrame:
             crowd = np.unique(ids[run > SMALL])
             if len(crowd):
                 yield out(CROWDED, crowd, crowd, np.zeros(len(crowd)))
+            if head:
+                yield out(AT_EDGE, ids[:head], ids[:head], np.zeros(len(ids[:head])), [x.tobytes() for x in labels[:head]])
+                head -= len(ids[:head])
             if at_edges:
-                if before is None:
-                    yield out(AT_EDGE, ids[:EDGE], ids[:EDGE], np.zeros(len(ids[:EDGE])), [x.tobytes() for x in labels[:EDGE]])
                 tail = [*tail, (labels[-EDGE:], ids[-EDGE:])][-EDGE:]
             before = labels[-NEAR:], ids[-NEAR:]
         if tail:
