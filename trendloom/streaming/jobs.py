@@ -141,16 +141,19 @@ def backoff_stream(polls: DataFrame) -> DataFrame:
     return polls.groupBy("source_key").applyInPandasWithState(step, "source_key string, polled_at timestamp, allowed boolean", "until long", "append", GroupStateTimeout.NoTimeout)
 
 
-def alert_sink(path: str) -> Callable[[DataFrame, int], None]:
+def alert_sink(path: str, buckets: int = 256) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that tells every (subscription_id, id) once: batches overwrite their own folder and skip
-    what earlier batches told."""
+    what earlier batches told. What was told lies in buckets of a hash, of which a batch reads those its hits fall into."""
 
     def write(hits: DataFrame, number: int) -> None:
         spark = hits.sparkSession
-        fresh = hits.dropDuplicates(["subscription_id", "id"])
-        if number:
-            told = spark.read.schema("subscription_id bigint, id bigint, batch int").parquet(path).filter(F.col("batch") < number)
-            fresh = fresh.join(told.select("subscription_id", "id"), ["subscription_id", "id"], "left_anti")
-        fresh.select("subscription_id", "id").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        fresh = hits.select("subscription_id", "id").dropDuplicates().withColumn("bucket", F.pmod(F.xxhash64("subscription_id", "id"), F.lit(buckets)).cast("int")).persist()
+        new = fresh
+        if number and _exists(spark, path):
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+            told = spark.read.schema("subscription_id bigint, id bigint, batch int, bucket int").parquet(path).filter((F.col("batch") < number) & F.col("bucket").isin(touched))
+            new = fresh.join(told.select("bucket", "subscription_id", "id"), ["bucket", "subscription_id", "id"], "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+        fresh.unpersist()
 
     return write
