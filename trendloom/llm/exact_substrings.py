@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.blocks import block_count, digest_groups, from_planes, planes
-from trendloom.llm.hashing import POWERS, POWERS_TWO, mix, windows
+from trendloom.llm.hashing import POWERS, POWERS_TWO, mix, prefix_sums, windows
 from trendloom.llm.suffixes import first_owners
 
 MATCH, GRAM = 50, 25
@@ -116,8 +116,11 @@ class Block:
         flat = np.zeros(int(offset[-1] + sizes[-1] + WIDTH), np.uint8)
         for o, r in zip(offset.tolist(), self.raw, strict=True):
             flat[o : o + len(r)] = r + np.uint8(1)
-        self.bytes = np.lib.stride_tricks.sliding_window_view(flat, WIDTH)[offset[self.row] + self.place - SPAN]
-        code = mix(self.hash ^ row_codes(self.bytes))
+        at = offset[self.row] + self.place - SPAN
+        self.bytes = np.lib.stride_tricks.sliding_window_view(flat, WIDTH)[at]
+        sums = prefix_sums(flat)
+        _, down = POWERS.of(len(sums))
+        code = mix(self.hash ^ mix((sums[at + WIDTH] - sums[at]) * down[at]))
         _, first, number = np.unique(code, return_index=True, return_inverse=True)
         shard = ((self.hash[first] >> np.uint64(2)) % np.uint64(shards)).astype(np.int64)
         by_shard = np.lexsort((first, shard))  # in page order, which packs well
@@ -153,10 +156,15 @@ class Block:
 
 
 def row_codes(rows: np.ndarray) -> np.ndarray:
-    up, _ = POWERS.of(rows.shape[1])
-    out = np.zeros(len(rows), np.uint64)
-    for i in range(rows.shape[1]):
-        out += rows[:, i].astype(np.uint64) * up[i]
+    """A hash of each row of bytes."""
+    n, width = rows.shape
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, PER_SORT):
+        part = np.ascontiguousarray(rows[a : a + PER_SORT])
+        sums = prefix_sums(part.ravel())
+        at = np.arange(len(part)) * width
+        _, down = POWERS.of(len(sums))
+        out[a : a + PER_SORT] = mix((sums[at + width] - sums[at]) * down[at])
     return out
 
 
