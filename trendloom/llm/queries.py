@@ -15,6 +15,7 @@ from trendloom.llm.licence_scan import scan_licences
 from trendloom.llm.near_dedup import near_duplicates
 from trendloom.llm.packing import pack_documents
 from trendloom.llm.passage_dedup import remove_repeated_passages
+from trendloom.llm.personal_data import personal_data
 from trendloom.llm.quality import quality_rules
 from trendloom.llm.token_counts import token_counts
 
@@ -59,6 +60,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_token_counts": op10_token_counts,
+    "op12_personal_data": op12_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_license_scan": licence_sql()}
