@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trendloom.llm.common import table
 from trendloom.llm.decontaminate import contaminated
 from trendloom.llm.exact_substrings import remove_repeated_bytes
+from trendloom.llm.hard_negatives import mine_hard_negatives
 from trendloom.llm.html_extract import extract_text
 from trendloom.llm.language_id import identify_languages
 from trendloom.llm.licence_scan import oracle_sql as licence_sql
@@ -18,6 +20,7 @@ from trendloom.llm.passage_dedup import remove_repeated_passages
 from trendloom.llm.personal_data import personal_data
 from trendloom.llm.quality import quality_rules
 from trendloom.llm.token_counts import token_counts
+from trendloom.llm.whitening import whiten
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +67,16 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", label), F.pmod("id", F.lit(50)) == 0)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -75,7 +88,24 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_personal_data": op12_personal_data,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_license_scan": licence_sql()}
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS row_id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) AS k FROM s WHERE same) t WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.row_id AS positive_id, s.row_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.row_id ORDER BY s.score DESC, s.row_id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": licence_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL}
