@@ -142,10 +142,8 @@ def disclosing_terms(base: DataFrame, docs: DataFrame, least_contexts: int = LEA
     both = checkpoint(both.join(holding, "entity"))
     wanted = both.select("term").distinct()
     n_wanted, n_rows = wanted.count(), base.count()
-    if n_wanted <= BROADCAST:
-        held = _words_of_rows(docs, wanted, n_wanted).groupBy("term").agg(F.count("*").alias("n_term"))
-    else:  # counted before they meet, so that no frequent word is a hot key
-        held = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")
+    # counted before they meet: a frequent word is one row of each task, not one of each document
+    held = docs.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(_small(wanted, n_wanted), "term")
     known = F.log(F.lit(n_rows) / F.col("n_entity"))
     information = F.log(F.col("n_both") * F.lit(float(n_rows)) / (F.col("n_entity") * F.col("n_term")))
     judged = both.join(_small(held, n_wanted), "term").withColumn("disclosure", F.when(known > 0, information / known).otherwise(0.0))
