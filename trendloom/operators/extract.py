@@ -5,15 +5,17 @@ The rules work on one title at a time and loop until nothing changes, so they ru
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.operators.patterns import Automaton, lowered
+from trendloom.operators.segmentation import CharacterModel, Segmenter, TagModel
+
 HAN = "㐀-鿿"
 _work, _quote = re.compile("《([^》]{1,40})》"), re.compile("[「『]([^」』]{1,40})[」』]")
 _model = re.compile("^[A-Z][A-Z0-9]{0,4}$")
@@ -50,55 +52,45 @@ class Lexicon:
     compounds: set[str] = field(default_factory=set)
     generic: set[str] = field(default_factory=set)
     cues: tuple[str, ...] = ()
+    question_tails: tuple[str, ...] = ()
+    speakers: tuple[str, ...] = ()  # who speaks, or what a remark points at
+    judgements: tuple[str, ...] = ()
+    leading_verbs: tuple[str, ...] = ()
     adjective_tails: tuple[str, ...] = ()
     broad: set[str] = field(default_factory=set)
     affiliations: dict[str, tuple[str, ...]] = field(default_factory=dict)  # persons -> what they stand for
     channel_suffixes: tuple[str, ...] = ()
+    characters: CharacterModel | None = None  # cuts what ``words`` lacks
+    tag_model: TagModel | None = None
 
     def __post_init__(self) -> None:
         self.alias = {a.lower(): label for label, (_, aliases) in self.entries.items() for a in (label, *aliases)}
-        short = sorted((a for a in self.alias), key=len, reverse=True)
-        self.pattern = re.compile("|".join(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])" if re.fullmatch("[a-z0-9]{1,3}", a) else re.escape(a) for a in short)) if short else None
+        self.automaton = Automaton.build(self.alias.items())
+        # what a title is scanned for as it stands: compounds, and cues of pairs and affiliations
+        self.cue_words = plain_automaton({*self.compounds, *self.pairs, *self.affiliations})
         self.honorific = re.compile(f"[{HAN}]{{1,5}}(?:{'|'.join(map(re.escape, self.honorifics))})") if self.honorifics else None
-        self.total = sum(f for f, _ in self.words.values()) or 1
-        self.longest = max(map(len, self.words), default=1)
+        self.segmenter = Segmenter({w: f for w, (f, _) in self.words.items()})
 
     def canonical(self, token: str) -> str:
         return self.alias.get(token.lower(), token)
 
     def matches(self, title: str) -> list[str]:
-        return [self.alias[m] for m in self.pattern.findall(title.lower())] if self.pattern else []
+        return self.automaton.labels_of([lowered(title)])[0]
+
+
+def fields_of(lexicon: Lexicon) -> list[str]:
+    return [f.name for f in fields(lexicon)]
+
+
+def segment_all(titles: list[str], lexicon: Lexicon) -> list[list[str]]:
+    """Words of titles: runs of letters and digits stay whole; Han runs take the most probable dictionary words, and of what
+    these leave the most probable words of the character model."""
+    lexicon.segmenter.characters = lexicon.characters
+    return lexicon.segmenter.segment(titles)
 
 
 def segment(title: str, lexicon: Lexicon) -> list[str]:
-    """Words of a title: runs of letters and digits stay whole; Han runs take the most probable dictionary words."""
-    out: list[str] = []
-    for run in re.findall(f"[{HAN}]+|[A-Za-z0-9+.]+", title):
-        if not pure_han(run):
-            out.append(run)
-            continue
-        best: list[tuple[float, int]] = [(0.0, 0)] * (len(run) + 1)
-        for i in range(len(run) - 1, -1, -1):
-            ways = []
-            for j in range(i + 1, min(len(run), i + lexicon.longest) + 1):
-                f = lexicon.words.get(run[i:j], (0, ""))[0]
-                if f or j == i + 1:
-                    ways.append((math.log((f or 0.5) / lexicon.total) + best[j][0], j))
-            best[i] = max(ways)
-        i, single = 0, ""
-        while i < len(run):
-            j = best[i][1]
-            if j == i + 1 and run[i:j] not in lexicon.words:
-                single += run[i:j]
-            else:
-                if single:
-                    out.append(single)
-                single = ""
-                out.append(run[i:j])
-            i = j
-        if single:
-            out.append(single)
-    return out
+    return segment_all([title], lexicon)[0]
 
 
 def numeric_measure(x: str) -> bool:
@@ -126,7 +118,23 @@ def normalise(token: str, lx: Lexicon) -> str:
 
 
 def sentence_like(t: str, lx: Lexicon) -> bool:
-    return han(t) > 10 or len(t) > 14 or t.endswith("的") or (han(t) > 4 and any(c in t[1:-1] for c in lx.cues))
+    """A piece of a sentence: too long, a predicate within, a question's or attribute's tail, a speaker's or a verb's head, a judgement,
+    "from ... to ...", or a verb with a preposition by the tags of its words."""
+    n = han(t)
+    if n > 10 or len(t) > 14 or t.endswith(("的", *lx.question_tails)) or (n > 4 and any(c in t[1:-1] for c in lx.cues)):
+        return True
+    if any(c in t for c in lx.judgements) or re.match("从.{1,5}到.", t):
+        return True
+    return n >= 4 and (t.startswith((*lx.speakers, *lx.leading_verbs)) or verb_with_preposition(t, lx))
+
+
+def verb_with_preposition(t: str, lx: Lexicon) -> bool:
+    """Whether three or more words hold a verb and a preposition."""
+    if lx.tag_model is None:
+        return False
+    words = segment(t, lx)
+    tags = lx.tag_model.decode([words])[0] if len(words) >= 3 else []
+    return "p" in tags and any(x.startswith("v") for x in tags)
 
 
 def data_like(t: str) -> bool:
@@ -143,7 +151,7 @@ def is_entity(t: str, lx: Lexicon) -> bool:
         return True
     if channel_tag(t, lx):
         return False
-    if t in lx.stop or t.lower() in lx.generic or re.fullmatch(r"[SE]\d+", t) or sentence_like(t, lx) or data_like(t):
+    if t in lx.stop or t.lower() in lx.generic or re.fullmatch(r"[A-Za-z]{1,2}\d{1,3}", t) or sentence_like(t, lx) or data_like(t):
         return False
     if re.search("[A-Z]", t):
         if re.fullmatch("[A-Z]{1,3}", t) or han(t) > 4 or han(t) == 1:
@@ -157,7 +165,8 @@ def is_entity(t: str, lx: Lexicon) -> bool:
 def word_kind(word: str, lx: Lexicon) -> str:
     """The kind of a discovered word by the part of speech of the word, or of its first piece: nouns and Latin words are entities."""
     pieces = [word] if word in lx.words else segment(word, lx) or [word]
-    noun = lx.words.get(pieces[0], (0, ""))[1].startswith("n") or bool(re.fullmatch("[A-Za-z][A-Za-z0-9+.]*", pieces[0]))
+    tag = lx.tag_model.decode([pieces])[0][0] if lx.tag_model else lx.words.get(pieces[0], (0, ""))[1]
+    noun = tag.startswith("n") or bool(re.fullmatch("[A-Za-z][A-Za-z0-9+.]*", pieces[0]))
     return "entity" if noun else "keyword"
 
 
@@ -173,11 +182,36 @@ def keeps(t: str, lx: Lexicon, promoted: set[str]) -> bool:
     return any(t.endswith(s) and len(t) > len(s) for s in lx.topic_suffixes)
 
 
-def candidates(title: str | None, lx: Lexicon, discovered: set[str] = frozenset(), promoted: set[str] = frozenset(), blacklist: set[str] = frozenset(), most: int = 6) -> list[tuple[str, str, list[str]]]:
+@dataclass
+class Scan:
+    """What a batch finds in a title at once: words, dictionary labels, cues (compounds, pairs, affiliations), promoted words."""
+
+    words: list[str]
+    labels: list[str]
+    cues: list[str]
+    promoted: list[str]
+
+
+def scans(titles: list[str], lx: Lexicon, promoted: Automaton | None) -> list[Scan]:
+    parts = (segment_all(titles, lx), lx.automaton.labels_of([lowered(t) for t in titles]), lx.cue_words.labels_of(titles), promoted.labels_of(titles) if promoted else [[] for _ in titles])
+    return [Scan(*p) for p in zip(*parts, strict=True)]
+
+
+def plain_automaton(words: Iterable[str]) -> Automaton:
+    """An automaton of words as they stand, without the rule for short ones."""
+    out = Automaton.build((w, w) for w in sorted(words))
+    out.bounded[:] = False
+    return out
+
+
+def candidates(
+    title: str | None, lx: Lexicon, discovered: set[str] = frozenset(), promoted: set[str] = frozenset(), blacklist: set[str] = frozenset(), most: int = 6, scan: Scan | None = None
+) -> list[tuple[str, str, list[str]]]:
     """At most ``most`` (label, kind, related) of a title, in order of evidence."""
     title = (title or "").strip()
     if not title:
         return []
+    scan = scan or scans([title], lx, plain_automaton(promoted) if promoted else None)[0]
     pool: dict[str, None] = {}
     forced: set[str] = set()
     for m in _work.findall(title):
@@ -192,13 +226,12 @@ def candidates(title: str | None, lx: Lexicon, discovered: set[str] = frozenset(
         forced.add(lx.canonical(m))
         pool.setdefault(lx.canonical(m))
     for table in (lx.pairs, lx.affiliations):
-        for cue in sorted(table):
-            if cue in title:
-                for t in table[cue]:
-                    pool.setdefault(t)
-    for t in (*sorted(c for c in lx.compounds if c in title), *sorted(p for p in promoted if p in title), *lx.matches(title)):
+        for cue in sorted(scan.cues):
+            for t in table.get(cue, ()):
+                pool.setdefault(t)
+    for t in (*sorted(c for c in scan.cues if c in lx.compounds), *sorted(scan.promoted), *scan.labels):
         pool.setdefault(t)
-    words = segment(title, lx)
+    words = scan.words
     for a, b in zip(words, words[1:]):
         if 2 <= len(a) <= 4 and pure_han(a) and _model.match(b):
             forced.add(a + b)
@@ -222,7 +255,7 @@ def candidates(title: str | None, lx: Lexicon, discovered: set[str] = frozenset(
         if not strong and not keeps(t, lx, promoted):
             continue
         kind = "entity" if t in forced or is_entity(t, lx) else "keyword"
-        related = [x for x in pool if x != t and x not in t and t not in x][:4] if kind == "entity" else []
+        related = related_terms(pool, t, lx, promoted, blacklist) if kind == "entity" else []
         out.append((t, kind, related))
         if len(out) >= most + 2:
             break
@@ -231,6 +264,16 @@ def candidates(title: str | None, lx: Lexicon, discovered: set[str] = frozenset(
     return out[:most]
 
 
+def related_terms(pool: Iterable[str], label: str, lx: Lexicon, promoted: set[str], blacklist: set[str]) -> list[str]:
+    """At most four other terms of the title that would be kept; without any, at most two of the label's own aliases."""
+    others = dict.fromkeys(lx.canonical(x) for x in pool)
+    found = [x for x in others if x and x != label and x not in blacklist and keeps(x, lx, promoted)][:4]
+    if found:
+        return found
+    aliases = [a.strip(_trim) for a in lx.entries.get(label, ("", ()))[1]]
+    return [a for a in aliases if a and a.lower() != label.lower() and lx.canonical(a) == label and (keeps(a, lx, promoted) or re.match("[ -/:-@\\[-`{-~]*[A-Za-z0-9]", a))][:2]
+
+
 def drop_substrings(found: list[tuple[str, str, list[str]]], lx: Lexicon) -> list[tuple[str, str, list[str]]]:
     """Without long entities around another entity, keywords around an entity, longer keywords around shorter ones, parts of compounds."""
     entities = [c[0] for c in found if c[1] == "entity"]
@@ -261,7 +304,7 @@ def segment_tokens(articles: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def run(titles: pd.Series) -> pd.Series:
-        return titles.map(lambda t: [lexicon.canonical(w) for w in segment(t or "", lexicon)])
+        return pd.Series([[lexicon.canonical(w) for w in words] for words in segment_all([t or "" for t in titles], lexicon)])
 
     return articles.select("id", "source_key", F.posexplode(run("title")).alias("pos", "token"))
 
@@ -272,10 +315,12 @@ KIND = "array<struct<label: string, kind: string, related: array<string>>>"
 def candidate_column(title: Column, lexicon: Lexicon, discovered: Iterable[str] = (), promoted: Iterable[str] = (), blacklist: Iterable[str] = ()) -> Column:
     """The candidates of a title as an array column, in Arrow batches."""
     d, p, b = set(discovered), set(promoted), set(blacklist)
+    words = plain_automaton(p) if p else None
 
     @F.pandas_udf(KIND)
     def run(titles: pd.Series) -> pd.Series:
-        return titles.map(lambda t: [{"label": x, "kind": k, "related": r} for x, k, r in candidates(t, lexicon, d, p, b)])
+        bare = [(t or "").strip() for t in titles]
+        return pd.Series([[{"label": x, "kind": k, "related": r} for x, k, r in candidates(t, lexicon, d, p, b, scan=s)] for t, s in zip(bare, scans(bare, lexicon, words), strict=True)])
 
     return run(title)
 
