@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk; characters of patterns in one automaton (some 40 bytes each as a broadcast).
-CHUNK, MOST_CHARS = 256, 1_000_000
+#: Characters of a chunk; characters of patterns in one automaton (some 40 bytes each as a broadcast); characters of texts
+#: that are searched at once (a longer text stands alone).
+CHUNK, MOST_CHARS, SLICE_CHARS = 256, 1_000_000, 1_000_000
 #: Entries of transitions that are held as a full table rather than a sorted list.
 FULL_TABLE = 16_000_000
 
@@ -105,9 +106,12 @@ class Automaton:
         none = np.zeros(0, np.int64)
         if not len(self.lengths) or not any(texts):
             return none, none, none, none
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        place = np.searchsorted(self.alphabet, points)
-        codes = np.where(self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == points, place + 1, 0)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.empty(len(points), np.int32)
+        for at in range(0, len(points), SLICE_CHARS):
+            part = points[at : at + SLICE_CHARS].astype(np.int64)
+            place = np.minimum(np.searchsorted(self.alphabet, part), len(self.alphabet) - 1)
+            codes[at : at + SLICE_CHARS] = np.where(self.alphabet[place] == part, place + 1, 0)
         sizes = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(sizes) - sizes
         over = int(self.lengths.max()) - 1
@@ -159,6 +163,13 @@ def lowered(text: str | None) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def slices(batch: pd.DataFrame, texts: pd.Series) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of about SLICE_CHARS characters."""
+    size = texts.map(lambda t: len(t) if t else 0).cumsum() // SLICE_CHARS
+    for _, part in batch.groupby(size.to_numpy(), sort=False):
+        yield part
+
+
 def automata(dictionary: DataFrame, pattern: str = "pattern", label: str = "label", most_chars: int = MOST_CHARS) -> Iterator[Automaton]:
     """Automata of at most ``most_chars`` characters of patterns each that hold the dictionary between them, read part by part."""
     held: list[tuple[str, str]] = []
@@ -188,8 +199,9 @@ def dictionary_hits(texts: DataFrame, dictionary: DataFrame, id_col: str = "id",
             a = shipped.value
             labels = np.array(a.labels, dtype=object)
             for b in batches:
-                rows, start, end, pattern = a.search([lowered(t) for t in b.iloc[:, 1]])
-                yield pd.DataFrame({id_col: b.iloc[rows, 0].to_numpy(), "label": labels[pattern], "start": start, "end": end})
+                for part in slices(b, b.iloc[:, 1]):
+                    rows, start, end, pattern = a.search([lowered(t) for t in part.iloc[:, 1]])
+                    yield pd.DataFrame({id_col: part.iloc[rows, 0].to_numpy(), "label": labels[pattern], "start": start, "end": end})
 
         found = texts.select(id_col, text_col).mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
