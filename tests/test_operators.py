@@ -151,17 +151,6 @@ def test_stream_of_batches_equals_the_batch_fold(spark, tmp_path):
     assert alerts.count() == alerts.select("subscription_id", "id").distinct().count() == newest.count()
 
 
-def test_backoff(spark, tmp_path):
-    rows = [("a", T0 + dt.timedelta(hours=h), "banned" if h == 0 else None) for h in (0, 1, 5, 7)]
-    spark.createDataFrame(rows, "source_key string, polled_at timestamp, error string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = jobs.file_stream(spark, str(tmp_path / "in"), "source_key string, polled_at timestamp, error string", "polled_at")
-    q = jobs.backoff_stream(s).writeStream.format("memory").queryName("backoff").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [r.allowed for r in spark.sql("select * from backoff order by polled_at").collect()] == [True, False, False, True]
-    until = spark.createDataFrame(rows, "source_key string, polled_at timestamp, error string").select(jobs.backoff_until(F.col("source_key"), F.col("error"), F.col("polled_at")).alias("u")).collect()
-    assert until[0].u >= T0 + dt.timedelta(hours=6) and until[1].u is None
-
-
 def test_near_equal_pairs_equal_brute_force(spark):
     r = random.Random(3)
     words = ["".join(r.choices("abü", k=r.randrange(0, 5))) for _ in range(60)] + [None]

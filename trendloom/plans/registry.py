@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trendloom.plans import function_queries, language_queries, relational_queries, text_queries  # noqa: F401  (the first two add to those of text_queries)
+from trendloom.plans import function_queries, language_queries, relational_queries, stream_queries, text_queries  # noqa: F401  (all but the relational ones add to those of text_queries)
 
 QUERIES: dict = relational_queries.QUERIES | text_queries.QUERIES
 ORACLE_SQL: dict[str, str] = relational_queries.ORACLE_SQL | text_queries.ORACLE_SQL

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trendloom.operators.ingest import fold_observations, merge_folded
+from trendloom.streaming.keyed_state import PAUSES, PLAIN_FROM, PLAIN_MOST, PLAIN_SECONDS, spread_column
 
 
 def file_stream(spark: SparkSession, path: str, schema, event_time: str, delay: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
@@ -97,20 +96,16 @@ def poll_minutes(index: Column, every: int = 15, offset: int = 3) -> Column:
     return F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(60 - every), F.lit(every)), lambda m: F.pmod(m + index * offset, F.lit(60))))
 
 
-# fixed values: seconds of pause by error class
-BACKOFF = {"banned": (21_600, 43_200), "rate_limited": (3_600, 7_200), "cookie_expired": (21_600, 43_200), "empty": (1_800, 3_600), "other": (1_800, 3_600)}
-
-
 def jitter(key: Column, ts: Column, low: int = 1, high: int = 60) -> Column:
     """Seconds of delay, the same whenever the same poll is planned again."""
     return (F.pmod(F.xxhash64(key, ts), F.lit(high - low + 1)) + low).cast("int")
 
 
-def backoff_until(key: Column, error: Column, ts: Column) -> Column:
-    """When a source may be polled again after an error; null without one."""
-    out = F.lit(None).cast("int")
-    for name, (low, high) in BACKOFF.items():
-        out = F.when(error == name, jitter(key, ts, low, high)).otherwise(out)
+def backoff_until(key: Column, error: Column, ts: Column, failures: Column) -> Column:
+    """When a source may be polled again after an error, its failures in a row counted; null where it need not pause."""
+    out = F.when(error.isNotNull() & (failures >= PLAIN_FROM), PLAIN_SECONDS * F.least(failures, F.lit(PLAIN_MOST)))
+    for name, (low, high) in PAUSES.items():
+        out = F.when(error == name, spread_column(key, F.unix_micros(ts.cast("timestamp")), low, high)).otherwise(out)
     return ts + F.make_dt_interval(secs=out)
 
 
@@ -122,25 +117,6 @@ def source_health(polls: DataFrame) -> DataFrame:
     return j.groupBy("source_key").agg(F.count("*").alias("polls"), F.sum(F.when(F.col("error").isNotNull(), 1).otherwise(0)).alias("failures"), F.sum(F.when(tail, 1).otherwise(0)).alias("in_a_row"), F.first("last_success").alias("last_success"))
 
 
-def backoff_stream(polls: DataFrame) -> DataFrame:
-    """Poll outcomes with whether the source was allowed to run: state by source, the end of its pause."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = state.get[0] if state.exists else 0
-        for b in batches:
-            rows = []
-            for r in b.sort_values("polled_at").itertuples():
-                at = int(r.polled_at.timestamp())
-                ok = at >= until
-                if ok and isinstance(r.error, str):
-                    until = at + BACKOFF.get(r.error, BACKOFF["other"])[0]
-                rows.append((key[0], r.polled_at, ok))
-            yield pd.DataFrame(rows, columns=["source_key", "polled_at", "allowed"])
-        state.update((until,))
-
-    return polls.groupBy("source_key").applyInPandasWithState(step, "source_key string, polled_at timestamp, allowed boolean", "until long", "append", GroupStateTimeout.NoTimeout)
-
-
 def alert_sink(path: str, buckets: int = 256) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that tells every (subscription_id, id) once: batches overwrite their own folder and skip
     what earlier batches told. What was told lies in buckets of a hash, of which a batch reads those its hits fall into."""
