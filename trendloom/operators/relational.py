@@ -97,15 +97,65 @@ def asof_latest(snapshots: DataFrame, at: Column, key: str = "article_id", value
     return snapshots.filter(F.col(ts) <= at).groupBy(key).agg(F.max_by(value, F.struct(ts, value)).alias(value))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
-    """For each left row the value of the latest right row of its key not after it; null without one.
-
-    Both sides are unioned and read in time order within their key: one shuffle, no pairs."""
+def _moment(df: DataFrame, column: str) -> Column:
+    """A number that never falls as the column's value rises."""
+    kind = df.schema[column].dataType.typeName()
+    c = F.col(column)
+    if kind == "timestamp_ntz":  # no time zone may turn the clock back
+        return F.datediff(c, F.lit("1970-01-01")) * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return F.unix_micros(c).cast("double") if kind == "timestamp" else F.datediff(c, F.lit("1970-01-01")).cast("double") if kind == "date" else c.cast("double")
+
+
+#: Steps of time that rows are counted in, at most as many rows in the driver; rows of a slice of time.
+STEPS, SLICE_ROWS = 20_000, 1_000_000
+
+
+def time_slices(sides: list[tuple[DataFrame, str]], slice_rows: int | None = None) -> tuple[DataFrame, list[Column]] | None:
+    """Slices of time of about equal numbers of rows: (step, slice), and the step of each side's rows; None without rows."""
+    per = slice_rows or SLICE_ROWS
+    times = [df.select(_moment(df, ts).alias("_m")) for df, ts in sides]
+    both = times[0]
+    for t in times[1:]:
+        both = both.union(t)
+    low, high = both.agg(F.min("_m"), F.max("_m")).first()
+    if low is None:
+        return None
+    width = max((high - low) / STEPS, 1e-9)
+    step = lambda m: F.floor((m - low) / width).cast("int")
+    counts = both.filter("_m is not null").groupBy(step(F.col("_m")).alias("step")).count().orderBy("step").collect()  # STEPS + 1 rows at most
+    rows, held, number = [], 0, 0
+    for r in counts:
+        if held and held + r["count"] > per:
+            held, number = 0, number + 1
+        held += r["count"]
+        rows.append((r["step"], number))
+    return both.sparkSession.createDataFrame(rows, "_step int, _slice int"), [step(_moment(df, ts)) for df, ts in sides]
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, slice_rows: int | None = None) -> DataFrame:
+    """For each left row the value of the latest right row of its key that has one, not after it, of several the largest; null without one,
+    or where key or time is null.
+
+    Rows lie by key and slice of time, so that a key that holds most rows is many tasks' work. What a slice begins with is
+    the last value of the key in an earlier slice: a running maximum over one row for each key and slice."""
+    kind = right.schema[value].dataType
+    right = right.filter(F.col(key).isNotNull() & F.col(right_ts).isNotNull() & F.col(value).isNotNull())
+    sliced = time_slices([(left, left_ts), (right, right_ts)], slice_rows)
+    if sliced is None:
+        return left.withColumn(f"asof_{value}", F.lit(None).cast(kind))
+    slices, (left_step, right_step) = sliced
+    slices = F.broadcast(slices)  # STEPS + 1 rows at most
     width = [c for c in left.columns if c != key]
-    tagged = left.select(key, F.col(left_ts).alias("_t"), F.lit(1).alias("_o"), F.struct(*width).alias("_l"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    other = right.select(key, F.col(right_ts).alias("_t"), F.lit(0).alias("_o"), F.lit(None).cast(tagged.schema["_l"].dataType).alias("_l"), F.col(value).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_t", "_o", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return tagged.unionByName(other).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_o = 1").select(key, "_l.*", F.col("_v").alias(f"asof_{value}"))
+    tagged = left.withColumn("_step", left_step).join(slices, "_step", "left").select(key, "_slice", F.col(left_ts).alias("_t"), F.lit(1).alias("_o"), F.struct(*width).alias("_l"), F.lit(None).cast(kind).alias("_v"))
+    other = right.withColumn("_step", right_step).join(slices, "_step").select(key, "_slice", F.col(right_ts).alias("_t"), F.lit(0).alias("_o"), F.lit(None).cast(tagged.schema["_l"].dataType).alias("_l"), F.col(value).alias("_v"))
+    ends = other.groupBy(key, "_slice").agg(F.max_by("_v", F.struct("_t", "_v")).alias("_v"))
+    asked = left.withColumn("_step", left_step).join(slices, "_step").select(key, "_slice").distinct()
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.join(asked, [key, "_slice"], "full").withColumn("_v", F.last("_v", ignorenulls=True).over(before)).filter(F.col("_v").isNotNull())
+    carried = carry.select(key, "_slice", F.lit(None).cast(tagged.schema["_t"].dataType).alias("_t"), F.lit(-1).alias("_o"), F.lit(None).cast(tagged.schema["_l"].dataType).alias("_l"), "_v")
+    w = Window.partitionBy(key, "_slice").orderBy("_t", "_o", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("_t").isNotNull() & F.col(key).isNotNull(), F.last("_v", ignorenulls=True).over(w))
+    return tagged.unionByName(other).unionByName(carried).withColumn("_v", known).filter("_o = 1").select(key, "_l.*", F.col("_v").alias(f"asof_{value}"))
 
 
 def surging(snapshots: DataFrame, now: Column, hours: int = 24, limit: int = 20, min_heat: int = 0) -> DataFrame:
@@ -273,6 +323,37 @@ def ungrouped(articles: DataFrame, grouped: DataFrame, hours: int, excluded_sour
     return pool.join(F.broadcast(newest), F.col("published_at") >= F.col("_m") - F.make_dt_interval(hours=F.lit(hours))).drop("_m").join(grouped.select("id"), "id", "left_anti")
 
 
+def near_words(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, x, y): distinct words x of the left and y of the right (keys, w) that are equal, one within the other, or one edit apart.
+
+    Words meet by equality only. A word that lies within another begins with its head, as long as the largest power of two that fits
+    into it; the other's pieces of such lengths meet the heads. Words one edit apart share a key among
+    themselves and their forms with one character deleted."""
+    on = list(keys)
+    size = F.length("w")
+    a, b = (d.select(*on, "w").filter(size > 0).distinct() for d in (left, right))
+    power = F.pow(F.lit(2), F.floor(F.log2(size))).cast("int")
+    lengths = F.transform(F.sequence(F.lit(0), F.floor(F.log2(size)).cast("int")), lambda i: F.pow(F.lit(2), i).cast("int"))
+    pieces = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("w", i, n))))
+    forms = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring("w", F.lit(1), i - 1), F.substring("w", i + 1, size)))
+
+    def within(long: DataFrame, short: DataFrame, names: tuple[str, str]) -> DataFrame:
+        heads = short.select(*on, F.col("w").alias(names[1]), F.substring("w", F.lit(1), power).alias("_key"))
+        return long.select(*on, F.col("w").alias(names[0]), F.explode(F.array_distinct(pieces)).alias("_key")).join(heads, [*on, "_key"]).filter(F.contains(names[0], names[1])).select(*on, "x", "y")
+
+    edits = lambda d, name: d.select(*on, F.col("w").alias(name), F.explode(F.array_distinct(F.concat(F.array("w"), forms))).alias("_key"))
+    edited = edits(a, "x").join(edits(b, "y"), [*on, "_key"]).select(*on, "x", "y")
+    return within(a, b, ("x", "y")).union(within(b, a, ("y", "x"))).union(edited).distinct().filter(nearly_equal(F.col("x"), F.col("y")))
+
+
+def near_equal_links(words: DataFrame) -> DataFrame:
+    """(k, w, links): each row of (k, w) with the number of other rows whose word is nearly equal to its own; rows that share a
+    word are counted, never paired."""
+    counts = words.filter(F.length("w") > 0).groupBy("w").agg(F.count("*").alias("n"))
+    links = near_words(words, words).join(counts.select(F.col("w").alias("y"), "n"), "y").groupBy(F.col("x").alias("w")).agg((F.sum("n") - 1).alias("links"))
+    return words.select("k", "w").join(links, "w", "left").select("k", "w", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 def near_equal_pairs(words: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of rows (k, w) whose words are equal, one within the other, or one edit apart.
 

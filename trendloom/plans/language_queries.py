@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendloom.operators import extract as X
+from trendloom.operators import relational as R
 from trendloom.operators.patterns import dictionary_hits as hits_of
 from trendloom.operators.segmentation import CharacterModel, Segmenter, TagModel, kind_of, tagged_words
 from trendloom.plans.text_queries import query
@@ -114,3 +115,9 @@ def ruled_headlines(spark, d):
     lx = X.Lexicon(**{f: getattr(lx, f) for f in X.fields_of(lx)} | {"entries": lx.entries | {"星火大学": ("school", ()), "大学城": ("place", ())}})
     found = X.explode_candidates(table(spark, d, "part").select(k.alias("id"), title.alias("title")), lx, promoted={"糯叽叽"}, discovered={"脆哨子"}, blacklist={"门票"})
     return found.select("id", "label", "kind", F.array_join("related", ",").alias("related"))
+
+
+@query("with c as (select c_custkey k, lower(substr(c_name, 16, 3)) w from customer), g as (select w, count(*) n from c group by 1), l as (select a.w, cast(sum(b.n) as bigint) - 1 links from g a join g b on a.w <> '' and b.w <> '' and (a.w = b.w or contains(a.w, b.w) or contains(b.w, a.w) or levenshtein(a.w, b.w) <= 1) group by 1) select k, w, coalesce(links, 0) links from c left join l using (w)")
+def near_equal_links(spark, d):
+    """Customers with the number of others of nearly equal name: counts of distinct names, no pairs of rows."""
+    return R.near_equal_links(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lower(F.substring("c_name", 16, 3)).alias("w")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from trendloom.functions.scalar import format_heat, nearly_equal, parse_heat, squeeze
+from trendloom.operators.relational import near_words
 
 # fixed values: shapes of the payloads
 NESTED = "data array<struct<target: struct<id: string, title: string, url: string, created: bigint, excerpt: string, author_name: string>, detail_text: string>>"
@@ -109,12 +110,15 @@ def jsonp_field(body: Column, name: str) -> Column:
 
 
 def replace_url_of_near_title(new: DataFrame, recent: DataFrame) -> DataFrame:
-    """New rows of fuzzy sources take the url of a recent row of their source whose title is equal, else nearly equal."""
+    """New rows of fuzzy sources take the url of a recent row of their source whose title is equal, else nearly equal.
+
+    Distinct titles of a source meet by equality of heads and pieces or of forms with one character deleted, never all with all."""
     n = new.withColumn("_n", squeeze(F.col("title")))
-    r = recent.select("source_key", F.col("url").alias("_u"), squeeze(F.col("title")).alias("_r"))
-    hit = n.select("source_key", "url", "_n").join(r, "source_key").filter(nearly_equal(F.col("_n"), F.col("_r")))
-    best = hit.groupBy("source_key", "url").agg(F.min_by("_u", F.struct((F.col("_n") != F.col("_r")).cast("int"), "_u")).alias("_u"))
-    return n.join(best, ["source_key", "url"], "left").withColumn("url", F.coalesce("_u", "url")).drop("_u", "_n").dropDuplicates(["source_key", "url"])
+    known = recent.select("source_key", squeeze(F.col("title")).alias("w"), F.col("url").alias("_u")).groupBy("source_key", "w").agg(F.min("_u").alias("_u"))
+    near = near_words(n.select("source_key", F.col("_n").alias("w")), known, ("source_key",))
+    hit = near.join(known.withColumnRenamed("w", "y"), ["source_key", "y"])
+    best = hit.groupBy("source_key", F.col("x").alias("_n")).agg(F.min_by("_u", F.struct((F.col("x") != F.col("y")).cast("int"), "_u")).alias("_u"))
+    return n.join(best, ["source_key", "_n"], "left").withColumn("url", F.coalesce("_u", "url")).drop("_u", "_n").select(*new.columns).dropDuplicates(["source_key", "url"])
 
 
 def escape_xml(x: Column) -> Column:
