@@ -1,10 +1,12 @@
 """Operators that must not lean on small groups, against plain statements of their results."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 
+from trendloom.operators import mining as M
 from trendloom.operators import relational as R
 from trendloom.sources import feeds
 
@@ -63,3 +65,42 @@ def test_urls_of_near_titles_equal_all_pairs(spark):
         want.add((s, found[0][1] if found else u))
     got = feeds.replace_url_of_near_title(*(spark.createDataFrame(x, "source_key string, url string, title string") for x in (new, recent))).collect()
     assert {(r["source_key"], r["url"]) for r in got} == want and len(got) == len(want)
+
+
+def test_collapse_equals_the_greedy_rule(spark):
+    rnd = random.Random(8)
+    words = ["storm", "north", "hits", "coast", "again", "team", "wins"]
+    rows = []
+    for i in range(150):
+        title = " ".join(rnd.choice(words) + rnd.choice(["", "", ",", "!"]) for _ in range(rnd.randint(0, 6)))
+        rows.append((rnd.randint(0, 1), rnd.choice(["s", "t", None]), i, rnd.choice([title, title, title.replace(" ", ""), None]), rnd.choice([None, 1, 5, 9, i]), i))
+    want, kept = set(), {}
+    for c, s, i, title, heat, _ in sorted(rows, key=lambda r: (-(r[4] if r[4] is not None else -1), r[2])):
+        own = {w.strip(".,!?;:") for w in (title or "").lower().split()}
+        bare = "".join(x for x in (title or "").lower() if x.isalnum())
+        if not any(b == bare or (len(w & own) >= 2 and 4 * len(w & own) >= 3 * min(len(w), len(own))) for b, w in kept.get((c, s), [])):
+            kept.setdefault((c, s), []).append((bare, own))
+            want.add(i)
+    got = M.collapse_same_source(spark.createDataFrame(rows, "component int, source_key string, id int, title string, heat_value long, extra int"))
+    assert got.columns == ["component", "source_key", "id", "title", "heat_value", "extra"] and sorted(r["id"] for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize(("least", "posting"), [(0.3, 2000), (0.8, 3), (1.0, 1)])
+def test_similar_titles_equal_the_full_join(spark, monkeypatch, least, posting):
+    monkeypatch.setattr(M, "POSTING", posting)
+    rnd = random.Random(2)
+    vectors = {i: {rnd.choice("abcdefghij"): rnd.choice([0.0, 0.5, 1.0, 2.0]) for _ in range(rnd.randint(1, 5))} for i in range(80)}
+    for i in range(80, 110):  # a third of the titles are one
+        vectors[i] = dict(vectors[3])
+    member, pairs = M.similar_titles(spark.createDataFrame([(i, t, w) for i, v in vectors.items() for t, w in v.items()], "id int, token string, weight double"), least)
+    classes = {i: min(j for j in vectors if vectors[j] == vectors[i]) for i in vectors}
+    assert {r["id"]: r["class"] for r in member.collect()} == classes
+    length = {i: math.sqrt(sum(w * w for w in v.values())) for i, v in vectors.items()}
+    cosine = lambda a, b: sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items()) / (length[a] * length[b]) if length[a] and length[b] else 0
+    reps = sorted(set(classes.values()))
+    want = {(a, b): cosine(a, b) for a in reps for b in reps if a < b}
+    got = {(r["a"], r["b"]): r["semantic"] for r in pairs.collect()}
+    assert {p for p, c in want.items() if c >= least + 1e-9} <= set(got) <= {p for p, c in want.items() if c >= least - 1e-9}
+    assert all(abs(c - want[p]) < 1e-9 for p, c in got.items())
+    links = {r["id"]: r["links"] for r in M.similar_links(member, pairs).collect()}
+    assert all(links[i] == sum(j != i and (classes[i] == classes[j] or (min(classes[i], classes[j]), max(classes[i], classes[j])) in got) for j in vectors) for i in vectors)

@@ -227,27 +227,96 @@ def residual_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return j.withColumn("semantic", value).drop("na", "nb", "ca", "cb", "dot")
 
 
+def title_words(title: Column) -> Column:
+    """Distinct words of a title without punctuation around them."""
+    words = F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", "")))
+
+
+def repeated_titles(titles: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): pairs of titles (keys, id, _bare, _words, _order) of one group, a first in order, that nearly repeat each other: the
+    same letters and digits, or two words and three quarters of the shorter title's words in common.
+
+    A pair shares one of the shorter title's rarest words, of so many that the others alone were too few; each title offers
+    these few to the words of those that are no shorter."""
+    size = F.size("_words")
+    freq = titles.select(*keys, F.explode("_words").alias("_w")).groupBy(*keys, "_w").agg(F.count("*").alias("_f"))
+    words = titles.withColumn("_size", size).select(*keys, "id", "_size", F.explode("_words").alias("_w")).join(freq, [*keys, "_w"])
+    place = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("_f", "_w"))
+    shared = F.greatest(F.lit(2), F.ceil(F.col("_size") * 0.75).cast("int"))
+    rare = words.withColumn("_p", place).filter(F.col("_p") <= F.col("_size") - shared + 1)
+    met = rare.select(*keys, "_w", F.col("id").alias("x"), F.col("_size").alias("_sx")).join(words.select(*keys, "_w", F.col("id").alias("y"), F.col("_size").alias("_sy")), [*keys, "_w"])
+    met = met.filter((F.col("_sx") <= F.col("_sy")) & (F.col("x") != F.col("y"))).select(*keys, "x", "y").distinct()
+    side = lambda end: titles.select(*keys, F.col("id").alias(end), F.col("_words").alias(f"_w{end}"), F.col("_order").alias(f"_o{end}"))
+    both = met.join(side("x"), [*keys, "x"]).join(side("y"), [*keys, "y"])
+    n = F.size(F.array_intersect("_wx", "_wy"))
+    near = both.filter((n >= 2) & (4 * n >= 3 * F.least(F.size("_wx"), F.size("_wy"))))
+    same = side("x").join(titles.select(*keys, F.col("id").alias("x"), "_bare"), [*keys, "x"]).join(side("y").join(titles.select(*keys, F.col("id").alias("y"), "_bare"), [*keys, "y"]), [*keys, "_bare"]).filter("x <> y")
+    pairs = near.select(*keys, "x", "y", "_ox", "_oy").unionByName(same.select(*keys, "x", "y", "_ox", "_oy"))
+    first = F.col("_ox") < F.col("_oy")
+    return pairs.select(*keys, F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+
+
 def collapse_same_source(members: DataFrame) -> DataFrame:
-    """Members (component, source_key, id, title, heat_value, ...) without those whose title nearly repeats a hotter one
-    of the same component and source. Greedy by heat, within one group at a time."""
-    schema = members.schema
-
-    def bare(title: str) -> str:
-        return "".join(c for c in title.lower() if c.isalnum())
-
-    def keep(rows):
-        rows = rows.sort_values(["heat_value", "id"], ascending=[False, True])
-        chosen: list[tuple[str, set]] = []
-        flags = []
-        for title in rows["title"].fillna(""):
-            words = {w.strip(".,!?;:") for w in title.lower().split()}
-            near = any(b == bare(title) or (len(w & words) >= 2 and 4 * len(w & words) >= 3 * min(len(w), len(words))) for b, w in chosen)
-            flags.append(not near)
-            if not near:
-                chosen.append((bare(title), words))
-        return rows[flags]
-
-    return members.groupBy("component", "source_key").applyInPandas(keep, schema)
+    """Members (component, source_key, id, title, heat_value, ...) without those whose title nearly repeats a hotter one of the
+    same component and source that stays; ids are unique.
+
+    Of titles with the same words and letters the hottest stands for all. Then rounds: a title without an undecided hotter neighbour
+    stays, its neighbours go and take their links with them, until no link is left."""
+    keys = ["component", "source_key"]
+    bare = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]", "")
+    order = F.struct(F.coalesce(-F.col("heat_value"), F.lit(float("inf"))).cast("double").alias("h"), "id")
+    # groups may be null: they meet like others
+    t = members.select(*(F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(k) for k in keys), "id", bare.alias("_bare"), title_words(F.col("title")).alias("_words"), order.alias("_order"))
+    first = checkpoint(t.groupBy(*keys, "_bare", F.array_sort("_words").alias("_sorted")).agg(F.min_by(F.struct("id", "_words", "_order"), "_order").alias("_t")).select(*keys, "_bare", "_t.*"))
+    links = checkpoint(repeated_titles(first, keys).select("a", "b"))
+    gone: DataFrame | None = None
+    while links.limit(1).count():
+        stay = links.select("a").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        drop = checkpoint(links.join(stay, "a", "left_semi").select("b").distinct())
+        gone = drop if gone is None else gone.unionByName(drop)
+        links = checkpoint(links.join(drop, "b", "left_anti").join(drop.select(F.col("b").alias("a")), "a", "left_anti"))
+    kept = first.select("id") if gone is None else first.select("id").join(gone.select(F.col("b").alias("id")), "id", "left_anti")
+    return members.join(kept, "id", "left_semi").select(*members.columns)
+
+
+#: Titles of one term that a task compares with the others of the term.
+POSTING = 2_000
+
+
+def similar_titles(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Of term vectors (id, token, weight): (id, class) with the smallest id of equal vectors, and (a, b, semantic), a < b: the
+    classes whose cosine is at least ``least``. Exact, for any number of titles.
+
+    Terms are ordered by how few titles have them. A title offers its rarest terms, up to where the weight of the others
+    alone stays below ``least`` of its length: a pair of higher cosine shares an offered term on both sides. Long lists of
+    titles of one term are split over tasks."""
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"]))
+    whole = vectors.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", F.col("weight").cast("double").alias("weight")))).alias("_v"))
+    groups = checkpoint(whole.groupBy("_v").agg(F.min("id").alias("class"), F.count("*").alias("n")))
+    member = whole.join(groups.select("_v", "class"), "_v").select("id", "class")
+    unit = checkpoint(groups.withColumn("_norm", norm).filter("_norm > 0").select("class", F.transform("_v", lambda x: F.struct(x["token"].alias("token"), (x["weight"] / F.col("_norm")).alias("weight"))).alias("_v")))
+    terms = unit.select("class", F.explode("_v").alias("t")).select("class", "t.token", "t.weight")
+    df = terms.groupBy("token").agg(F.count("*").alias("df"))
+    rest = Window.partitionBy("class").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
+    offered = terms.join(df, "token").withColumn("_rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))).filter(F.col("_rest") >= least - 1e-9)
+    parts = F.ceil(F.col("df") / POSTING).cast("int")
+    left = offered.select(F.col("class").alias("a"), "token", F.pmod(F.xxhash64("class"), parts).cast("int").alias("_part"))
+    right = offered.select(F.col("class").alias("b"), "token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    met = left.join(right, ["token", "_part"]).filter("a < b").select("a", "b").distinct()
+    side = lambda end: unit.select(F.col("class").alias(end), F.col("_v").alias(f"_v{end}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").withColumn("_m", F.map_from_entries("_vb"))
+    dot = F.aggregate("_va", F.lit(0.0), lambda acc, x: acc + x["weight"] * F.coalesce(F.try_element_at("_m", x["token"]), F.lit(0.0)))
+    return member, both.select("a", "b", dot.alias("semantic")).filter(F.col("semantic") >= least)
+
+
+def similar_links(member: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, class, links): each title with its class and the number of other titles at least so similar, those of its class included."""
+    size = member.groupBy("class").agg(F.count("*").alias("n"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    far = both.join(size.select(F.col("class").alias("b"), F.col("n").alias("m")), "b").groupBy(F.col("a").alias("class")).agg(F.sum("m").alias("m"))
+    links = size.join(far, "class", "left").select("class", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).cast("bigint").alias("links"))
+    return member.join(links, "class").select("id", "class", "links")
 
 
 def connectors(keywords: DataFrame, least_len: int = 3, stop: list[str] | None = None) -> DataFrame:

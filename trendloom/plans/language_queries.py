@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendloom.operators import extract as X
+from trendloom.operators import mining as M
 from trendloom.operators import relational as R
 from trendloom.operators.patterns import dictionary_hits as hits_of
 from trendloom.operators.segmentation import CharacterModel, Segmenter, TagModel, kind_of, tagged_words
-from trendloom.plans.text_queries import query
-from trendloom.sources.adapters import table
+from trendloom.plans.text_queries import TOKENS, query
+from trendloom.sources.adapters import ARTICLES, articles, table
 
 #: A dictionary whose labels nest and overlap: the pieces of three to six letters of the words of parts and nations; pieces that
 #: overlap themselves are left out, as SQL counts by replacement.
@@ -121,3 +122,33 @@ def ruled_headlines(spark, d):
 def near_equal_links(spark, d):
     """Customers with the number of others of nearly equal name: counts of distinct names, no pairs of rows."""
     return R.near_equal_links(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lower(F.substring("c_name", 16, 3)).alias("w")))
+
+
+@query(f"""with recursive {ARTICLES}, w as (select id, source_key, heat_value, list_distinct(list_transform(list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda x: x <> ''), lambda x: trim(x, '.,!?;:'))) ws, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') bare from ar where title is not null),
+ o as (select *, row_number() over (partition by source_key order by heat_value desc, id) n from w),
+ nr as (select a.source_key, b.n, list(a.n) early from o a join o b on a.source_key = b.source_key and a.n < b.n and (a.bare = b.bare or (len(list_intersect(a.ws, b.ws)) >= 2 and 4 * len(list_intersect(a.ws, b.ws)) >= 3 * least(len(a.ws), len(b.ws)))) group by 1, 2),
+ oe as (select o.source_key, o.n, o.id, early from o left join nr using (source_key, n)),
+ r as (select distinct source_key, cast(0 as bigint) n, cast(null as bigint) id, cast([] as bigint[]) kept, false stays from o
+  union all select source_key, n, id, case when stays then list_append(kept, n) else kept end, stays from (select oe.source_key, oe.n, oe.id, r.kept, not coalesce(list_has_any(r.kept, oe.early), false) stays from r join oe on oe.source_key = r.source_key and oe.n = r.n + 1) x)
+ select source_key, id from r where stays""")
+def collapsed_titles(spark, d):
+    """Articles of each source without those whose title nearly repeats a hotter one that stays."""
+    a = articles(spark, d).filter("title is not null").withColumn("component", F.lit(0))
+    return M.collapse_same_source(a.select("component", "source_key", "id", "title", "heat_value")).select("source_key", "id")
+
+
+#: Cosine from which on titles are similar.
+SIMILAR = 0.7
+
+
+@query(f"""with {TOKENS}, tf as (select id, token, count(*) c from tk group by 1, 2), tt as (select id, sum(c) total from tf group by 1), df as (select token, count(*) df from tf group by 1), n as (select count(*) docs from tt),
+ v as (select id, token, c / total * case when docs >= 5 then ln(docs / df) + 1 else 1.0 end w from tf join tt using (id) join df using (token), n),
+ u as (select id, sqrt(sum(w * w)) norm, list(token || ':' || w order by token) k from v group by 1), cl as (select id, min(id) over (partition by k) class, norm from u),
+ rp as (select v.id, token, w / norm w from v join cl on cl.id = v.id and cl.class = cl.id),
+ pr as (select a.id a, b.id b from rp a join rp b on a.token = b.token and a.id <> b.id group by 1, 2 having sum(a.w * b.w) >= {SIMILAR}), sz as (select class, count(*) n from cl group by 1),
+ lk as (select a, sum(n) m from pr join sz on sz.class = pr.b group by 1)
+ select id, cl.class "class", cast(n - 1 + coalesce(m, 0) as bigint) links from cl join sz on sz.class = cl.class left join lk on lk.a = cl.class""")
+def similar_titles(spark, d):
+    """Each title with the class of equal ones and how many others are similar, over the whole table."""
+    tokens = M.letter_tokens(articles(spark, d))
+    return M.similar_links(*M.similar_titles(M.term_vectors(tokens), SIMILAR))
