@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import mining as M
 from trendloom.operators.extract import seed_lexicon
-from trendloom.plans.endpoints import TrendEngine
+from trendloom.plans.endpoints import CachedAnswers, TrendEngine
 
 T0 = dt.datetime(2024, 1, 2)
 
@@ -68,3 +68,36 @@ def test_near_titles_of_one_source_collapse(spark):
     rows = [(9, "a", 1, "storm hits the coast", 5), (9, "a", 2, "storm hits the coast!", 7), (9, "b", 3, "storm hits the coast", 1)]
     got = M.collapse_same_source(spark.createDataFrame(rows, "component long, source_key string, id long, title string, heat_value long")).collect()
     assert sorted(r.id for r in got) == [2, 3]
+
+
+def test_topics_take_discovered_words_and_drop_generic_ones(spark):
+    rows = [(i, f"s{i % 3}", t, "x", 100, 10, T0 + dt.timedelta(minutes=i)) for i, t in enumerate(["糯叽叽 走红", "糯叽叽 开店", "今天糯叽叽", "手机 手机", "手机 手机", "脆哨子 来了", "脆哨子 走了"])]
+    a = spark.createDataFrame(rows, "id long, source_key string, title string, content string, heat_value long, prev_heat_value long, published_at timestamp_ntz")
+    s = spark.createDataFrame([], "article_id long, heat_value long, captured_at timestamp_ntz")
+    e = TrendEngine(a, s, seed_lexicon())
+    assert "糯叽叽" in {r["gram"] for r in e.heat_of(a).collect()}
+    labels = lambda x: {r.label for r in x.topics(noon()).collect()}
+    assert "糯叽叽" in labels(e) and "手机" not in labels(e)
+    assert "糯叽叽" not in labels(TrendEngine(a, s, seed_lexicon(), blacklist=frozenset({"糯叽叽"})))
+    assert "走红" in TrendEngine(a, s, seed_lexicon(), pending=frozenset({"走红"})).discovered(a)
+
+
+def test_answers_are_kept_for_a_while(spark):
+    at = [0.0]
+    asked = []
+
+    class Counting(TrendEngine):
+        def topics(self, now, hours=24, limit=12):
+            asked.append((hours, limit))
+            return super().topics(now, hours, limit)
+
+    e = engine(spark)
+    c = CachedAnswers(Counting(e.articles, e.snapshots, e.lexicon), clock=lambda: at[0])
+    first = c.topics(noon()).collect()
+    at[0] = 59.0
+    assert c.topics(noon()).collect() == first and asked == [(24, 12)]
+    c.topics(noon(), 6)
+    at[0] = 60.0
+    c.topics(noon())
+    assert asked == [(24, 12), (6, 12), (24, 12)]
+    c.forget()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from trendloom.operators.graph import shared_folder
 from trendloom.plans.text_queries import query
 from trendloom.sources.adapters import table
+from trendloom.sources.schedule import landed_payloads, poll_ticks
+from trendloom.sources.schedule import scheduled_polls as polls_of
 from trendloom.streaming import keyed_state as K
 
 #: Days of the events that each landed batch holds, and files it lies in.
@@ -79,3 +81,24 @@ def expired_words(spark, d):
     last = e.agg((F.max("ts") - F.make_dt_interval(days=F.lit(1))).alias("_last"))
     plain = told.select("word", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")), "hits", F.col("at").cast("timestamp_ntz").alias("expired_at"))
     return plain.join(F.broadcast(last), F.col("expired_at") <= F.col("_last")).drop("_last")
+
+
+@query("""with m as (select unnest(generate_series(timestamp '2024-01-01 00:00:00', timestamp '2024-01-02 23:59:00', interval 1 minute)) due_at),
+ t as (select due_at, minute(due_at) % 15 slot from m where hour(due_at) >= 9 or minute(due_at) < 15 or minute(due_at) between 30 and 44)
+ select s_suppkey source_key, due_at from t join supplier on (s_suppkey * 3) % 15 = slot""")
+def scheduled_polls(spark, d):
+    """Two days' polls of the suppliers as sources, from the stream of admitted minutes."""
+    sources = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_key"), F.col("s_suppkey").alias("index"))
+    polls = polls_of(poll_ticks(spark, "2024-01-01T00:00:00", "2024-01-03T00:00:00"), sources)
+    return _told(polls).select("source_key", F.col("due_at").cast("timestamp_ntz").alias("due_at"))
+
+
+@query("select md5(string_agg(p_name, chr(10) order by p_partkey) || chr(10)) digest from part group by p_partkey // 100")
+def landed_bodies(spark, d):
+    """Digests of the payload files that lie landed in a folder, each file read once as a stream."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    p = table(spark, d, "part").withColumn("batch", F.floor(F.col("p_partkey") / 100))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])  # a hundred of a batch
+    bodies = p.groupBy("batch").agg(F.array_join(lines, "\n").alias("value"))
+    bodies.repartition("batch").write.partitionBy("batch").text(folder)  # a file for each batch
+    return _told(landed_payloads(spark, f"{folder}/batch=*", files_per_batch=7)).select(F.md5("body").alias("digest"))
