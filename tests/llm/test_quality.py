@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from trendloom.llm import quality
-from trendloom.llm.quality import CHI2_975, CHI2_HALF, CUT, DIMS, PRIOR, REPEATS, SMOOTH, quality_rules
+from trendloom.llm.quality import CHI2_975, CHI2_HALF, CUT, DIMS, PRIOR, SMOOTH, TWICE, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, d2 int"
 
@@ -75,9 +75,10 @@ def plain_distances(rows):
     low = lambda v: np.sort(v)[(len(v) - 1) // 2]
     letters, per_symbol, per_upper = low(chars / n), low(symbols / chars), low(upper / chars)
     wide = chars + SMOOTH * letters
-    x = np.stack([np.log(wide / (n + SMOOTH)), np.sqrt((symbols + SMOOTH * letters * per_symbol) / wide), np.sqrt((upper + SMOOTH * letters * per_upper) / wide), rep / n, dup / n], 1)
+    x = np.stack([np.log(wide / (n + SMOOTH)), np.sqrt((symbols + SMOOTH * letters * per_symbol) / wide), np.sqrt((upper + SMOOTH * letters * per_upper) / wide), rep / (n + SMOOTH), dup / (n + SMOOTH)], 1)
     v = np.mean(0.25 / (n + SMOOTH))
-    tolerance = np.diag([v, v / letters, v / letters, REPEATS**2 / CUT, REPEATS**2 / CUT])
+    square = np.mean((n + SMOOTH) ** -2.0)
+    tolerance = np.diag([v, v / letters, v / letters, TWICE**2 * square, square])
     out = {}
     _, *all_ = fast_mcd(x, tolerance)
     for g in {k[1] for k in kept}:
@@ -93,10 +94,8 @@ def plain_distances(rows):
     return out
 
 
-def test_distances_equal_a_plain_estimate(spark, monkeypatch):
-    """Groups of 1 to 400 rows, with a share of outliers, against numpy."""
-    monkeypatch.setattr(quality, "STILL", 1e-6)
-    monkeypatch.setattr(quality, "STEPS", 40)
+def test_distances_equal_a_plain_estimate(spark):
+    """Groups of 1 to 400 rows, with a share of outliers, against numpy, with the constants as they are."""
     r = random.Random(3)
     rows = []
     for g, s, n in (("en", "a", 400), ("en", "b", 90), ("de", "a", 30), ("de", "c", 1), (None, None, 5)):
@@ -117,6 +116,19 @@ def test_distances_equal_a_plain_estimate(spark, monkeypatch):
     assert 20 < sum(not got[i].kept for i in want) < 120
 
 
+def test_repetition_alone_is_rejected(spark):
+    """Far more repetition than a group has, but less than the base rules allow."""
+    r = random.Random(4)
+    phrase = prose(r, 3).split()
+    rows = [(i, prose(r, r.randrange(100, 500)), "en", "s") for i in range(400)]
+    lines = "\n".join(prose(r, 6) for _ in range(40))
+    rows += [(1000 + p, " ".join([prose(r, 300 - 3 * p), *phrase * p]), "en", "s") for p in (2, 5, 30, 45, 48)]
+    rows += [(2000 + k, lines + "\n" + "\n".join(["so"] * k), "en", "s") for k in (1, 30)]
+    got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(400)) and not any(x.base_failed for x in got.values())
+    assert {i for i, x in got.items() if not x.kept} == {1030, 1045, 1048, 2030}
+
+
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
 

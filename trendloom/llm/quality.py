@@ -12,9 +12,9 @@ the cut-off are rejected.
 Means, covariances and quantiles are grouped aggregates with partial sums over all groups at once, so a hot group is no
 harder than many small ones. Quantiles are approximate (rank error of one in QUANTILE); the estimates carry that error.
 
-Rates of short texts are uncertain: each is smoothed by SMOOTH words (and as many characters) of the median document, and
-the mean sampling variance of the statistics is added to the covariances. The two repetition shares already have a limit in the base
-rules; their variance counts as at least that at which the limit itself lies at the cut-off.
+Rates of short texts are uncertain: each is smoothed by SMOOTH words (and as many characters) of the median document, the
+repetition shares by SMOOTH words without repetition, and the mean sampling variance of the statistics is added to the
+covariances: for the shares that of a single chance repetition, which counts TWICE words or one line.
 
 Defined results: a null text has no words and fails the base rules; rows with null language or source form groups
 of their own; repeated ids are judged row by row; other columns are ignored; an empty table gives no rows.
@@ -37,8 +37,8 @@ CHI2_975 = 12.833
 CUT = 100.0
 #: Words of the median document that each document's rates are smoothed by; rows of a wider group that each estimate is shrunk by.
 SMOOTH, PRIOR = 100, 50
-#: Share of the words that the base rules allow to be repeated.
-REPEATS = 0.5
+#: Words of a three-word window that a text has twice by chance, both places counted.
+TWICE = 6
 QUANTILE = 2000
 #: Groups whose values are broadcast at most, of under 300 bytes each; rows of statistics that a task takes.
 BROADCAST_GROUPS, PER_TASK = 10_000, 100_000
@@ -101,13 +101,12 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str, group_cols:
 def vector(letters: float, symbols: float, upper: float) -> list[Column]:
     """The transformed statistics, with the median document's letters a word, symbols and capitals a letter."""
     n, chars = F.col("n_words") + SMOOTH, F.col("word_chars") + SMOOTH * letters
-    share = F.greatest(F.col("n_words"), F.lit(1))
     return [
         F.log((F.col("word_chars") + SMOOTH * letters) / n),
         F.sqrt((F.col("n_symbols") + SMOOTH * letters * symbols) / chars),
         F.sqrt((F.col("n_upper") + SMOOTH * letters * upper) / chars),
-        F.col("n_repeat_words") / share,
-        F.col("n_dup_lines") / share,
+        F.col("n_repeat_words") / n,
+        F.col("n_dup_lines") / n,
     ]
 
 
@@ -217,15 +216,15 @@ def quality_rules(docs: DataFrame, cut: float = CUT, id_col: str = "doc_id", tex
     # rows failing the base rules take no part in the estimates
     good = stats.filter(~F.col("base_failed"))
     letters = F.col("word_chars") / F.col("n_words")
-    n, medians, per_word = good.agg(
-        F.count("*"), F.array(*(F.percentile_approx(x, 0.5, QUANTILE) for x in (letters, F.col("n_symbols") / F.col("word_chars"), F.col("n_upper") / F.col("word_chars")))), F.avg(0.25 / (F.col("n_words") + SMOOTH))
+    n, medians, per_word, per_square = good.agg(
+        F.count("*"), F.array(*(F.percentile_approx(x, 0.5, QUANTILE) for x in (letters, F.col("n_symbols") / F.col("word_chars"), F.col("n_upper") / F.col("word_chars")))), F.avg(0.25 / (F.col("n_words") + SMOOTH)), F.avg(F.pow(F.col("n_words") + SMOOTH, -2.0))
     ).first()
     columns = [F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept"]
     failed = stats.filter("base_failed").withColumn("d2", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     if not n:
         return failed.select(*columns)
-    # sampling variances of the log mean, of square roots of rates, and the limit of the base rules at the cut-off
-    tolerance = [per_word, *[per_word / max(medians[0], 1.0)] * 2, *[REPEATS**2 / cut] * 2]
+    # sampling variances of the log mean, of square roots of rates, and of shares by one repetition
+    tolerance = [per_word, *[per_word / max(medians[0], 1.0)] * 2, TWICE**2 * per_square, per_square]
     good = good.select("*", *(x.alias(f"x{i}") for i, x in enumerate(vector(*medians)))).coalesce(n // PER_TASK + 1)
     n_groups = good.select(*keys).distinct().count()
     judged = _beside(good, shrunk_estimates(good, keys, n_groups, tolerance), keys, n_groups)
