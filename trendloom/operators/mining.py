@@ -237,16 +237,20 @@ def repeated_titles(titles: DataFrame, keys: list[str]) -> DataFrame:
     """(a, b): pairs of titles (keys, id, _bare, _words, _order) of one group, a first in order, that nearly repeat each other: the
     same letters and digits, or two words and three quarters of the shorter title's words in common.
 
-    A pair shares one of the shorter title's rarest words, of so many that the others alone were too few; each title offers
-    these few to the words of those that are no shorter."""
-    size = F.size("_words")
+    A pair shares two of the shorter title's rarest words, of so many that the others alone were too few; each title offers
+    the couples of these few to the couples of those that are no shorter."""
     freq = titles.select(*keys, F.explode("_words").alias("_w")).groupBy(*keys, "_w").agg(F.count("*").alias("_f"))
-    words = titles.withColumn("_size", size).select(*keys, "id", "_size", F.explode("_words").alias("_w")).join(freq, [*keys, "_w"])
-    place = F.row_number().over(Window.partitionBy(*keys, "id").orderBy("_f", "_w"))
-    shared = F.greatest(F.lit(2), F.ceil(F.col("_size") * 0.75).cast("int"))
-    rare = words.withColumn("_p", place).filter(F.col("_p") <= F.col("_size") - shared + 1)
-    met = rare.select(*keys, "_w", F.col("id").alias("x"), F.col("_size").alias("_sx")).join(words.select(*keys, "_w", F.col("id").alias("y"), F.col("_size").alias("_sy")), [*keys, "_w"])
-    met = met.filter((F.col("_sx") <= F.col("_sy")) & (F.col("x") != F.col("y"))).select(*keys, "x", "y").distinct()
+    words = titles.select(*keys, "id", F.explode("_words").alias("_w")).join(freq, [*keys, "_w"])
+    ranked = words.groupBy(*keys, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_w"))), lambda x: x["_w"]).alias("_r"))  # words of a title
+    size = F.size("_r")
+    few = size - F.greatest(F.lit(2), F.ceil(size * 0.75).cast("int")) + 2
+
+    def couples(r: Column) -> Column:
+        return F.explode(F.flatten(F.transform(r, lambda x, i: F.transform(F.slice(r, i + 2, F.size(r)), lambda y: F.xxhash64(x, y)))))
+
+    offered = ranked.filter(size >= 2).select(*keys, F.col("id").alias("x"), size.alias("_sx"), couples(F.slice("_r", F.lit(1), few)).alias("_c"))
+    held = ranked.filter(size >= 2).select(*keys, F.col("id").alias("y"), size.alias("_sy"), couples(F.col("_r")).alias("_c"))
+    met = offered.join(held, [*keys, "_c"]).filter((F.col("_sx") <= F.col("_sy")) & (F.col("x") != F.col("y"))).select(*keys, "x", "y").distinct()
     side = lambda end: titles.select(*keys, F.col("id").alias(end), F.col("_words").alias(f"_w{end}"), F.col("_order").alias(f"_o{end}"))
     both = met.join(side("x"), [*keys, "x"]).join(side("y"), [*keys, "y"])
     n = F.size(F.array_intersect("_wx", "_wy"))
