@@ -123,3 +123,16 @@ def test_components_of_a_chain_and_a_star(spark, monkeypatch, chunk):
     links = [(i, i + 1) for i in range(100, 160)] + [(9, i) for i in range(10, 90)] + [(3, 3), (9, 9), (200, 9)]
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in (*range(9, 90), 200)} == {9} and 3 not in got
+
+
+def test_rows_without_ids(spark):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(None, "a b c d"), (1, "q w e r t"), (None, words("x", 40)), (None, words("x", 39)), (7, words("y", 40)), (None, words("y", 39)), (None, words("y", 40)), (None, None), (None, ""), (None, "a b c d")]
+    got = near_duplicates(spark.createDataFrame([(i, t, "", 1) for i, t in rows], SCHEMA), k=2).collect()
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got)
+    kept = [r for r in found if r[1] in (38, 39) and r[2] == 0]
+    assert len(found) == len(rows) and [r["kept"] is None for r in got].count(True) == 0
+    assert [r for r in found if r not in kept] == sorted([(0, 3, 0, True)] * 2 + [(1, 4, 1, True), (7, 39, 7, True), (0, 38, 7, False), (0, 39, 7, False)] + [(0, 0, 0, True)] * 2)
+    assert sorted(r[3] for r in kept) == [False, True]
+    only = near_duplicates(spark.createDataFrame([(None, "a b c d", "", 1), (1, "q w e r t", "", 1)], SCHEMA)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in only) == [(0, 0, True), (1, 1, True)]

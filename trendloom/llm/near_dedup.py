@@ -19,6 +19,8 @@ does not hang on where the edges lie.
 Defined results: rows without words (null, empty, white space) have no shingles and no links; equal sets are one
 class from the start, however many rows they have; repeated ids keep a row each and count as one node, confirmed by
 the smallest of their texts; an empty table gives no rows; other columns are ignored; texts are hashed and confirmed whole.
+Rows without an id take part like others, those of one text as one node; a component of such rows only has no ``component_id``, and
+its ``kept`` rows are those of one node. Where a component has ids, its rows without one are not kept. Ids lie below 2**62.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ SLACK, BEST = (4.0, 3.5), 8
 #: Rows of a forest that a task takes on average; rows at each edge of a partition that meet their neighbours later.
 PER_TASK, EDGE = 250_000, 32
 PAIR, AT_EDGE, CROWDED = 0, 1, 2  # kinds of rows that a first pass yields
+#: From here on lie the numbers that rows without an id have inside.
+NAMELESS = 2**62
 
 _multiply = mix(np.arange(1, PLACES + LONG + 1, dtype=np.uint64)) | np.uint64(1)
 _add = mix(np.arange(10_001, 10_001 + PLACES + LONG, dtype=np.uint64))
@@ -273,7 +277,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """Per row: id, n_shingles, component_id (smallest id reachable over links of ``percent`` or more), kept, n_links.
 
     Ids are integers. ``n_links`` counts the confirmed links of the row's set with other sets."""
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    nameless = F.shiftrightunsigned(F.xxhash64(text_col), 2) + F.lit(NAMELESS)
+    source = docs.select(F.coalesce(F.col(id_col).cast("bigint"), nameless).alias("id"), F.col(text_col).alias("text"))
     rows = checkpoint(sketches(source, k))
     classes = checkpoint(rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
     reps = classes.select(F.col("rep").alias("id"), "sketch")
@@ -327,4 +332,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = classes.select("digest", "rep").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
     out = rows.select("id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = lambda c: F.when(c < NAMELESS, c)
+    return out.select(named(F.col("id")).alias(id_col), "n_shingles", named(component).alias("component_id"), (F.col("id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
