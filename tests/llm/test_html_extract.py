@@ -83,3 +83,16 @@ def test_pages_of_other_designs():
     manual = ["Using the tool", B, "Options", "The first option sets the depth of the search.", "The second option names the output.", "tool --depth 3 out.txt", A]
     for page, want in ((blog, [T, A, B, C]), (table, [T, A, B, C]), (divs, [T, A, B, C]), (docs, manual)):
         assert main_text(page, trained()) == "\n\n".join(want)
+
+
+def test_text_of_articles_that_controls_and_tables_hold():
+    model = trained()
+    prose = "<p>It was a long day in the valley, and nobody had seen the rain come down so hard.</p>"
+    page = lambda x: main_text(f"<html><body><article><h1>On the rain</h1>{prose}{x}{prose}</article></body></html>", model).split("\n\n")
+    assert "So we get x = 2 in the end, as was to be shown." in page("<p>So we get <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> in the end, as was to be shown.</p>")
+    assert "Press the Start key, then hold Reset for a while." in page("<p>Press the <button>Start</button> key, then hold <label>Reset</label> for a while.</p>")
+    assert "Sign up" not in page("<div><button>Sign up</button></div>") and "Name Send" not in page("<form><label>Name</label> <button>Send</button></form>")
+    got = page("<table><caption>Rain by year</caption><tr><th>Year</th><th>Tons</th></tr><tr><td>1999</td><td>12</td></tr></table>")
+    assert ("Year" in got) == ("1999" in got) and ("Tons" in got) == ("12" in got) and "1999" in got
+    # whatever is around them, labels of elements are those of the exact marginals
+    assert page("<p>One<button>two</button></p>")[2] == "Onetwo"

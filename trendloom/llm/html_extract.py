@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe noframes noembed xmp title textarea".split())
-DROPPED = set("head select option button input label legend object applet audio video canvas svg math map datalist".split())
+DROPPED = set("head select option input object applet audio video canvas svg map datalist".split())
+# text within a form is a control's; elsewhere it belongs to the sentence around it, and goes where it is all of a block
+CONTROLS = set("button label legend".split())
 CLOSES_P = BLOCK - {"body", "html"}
 # fixed values: words in class, id and role attributes
 GOOD_HINTS = set("article content post entry main story text body page blog news read prose maincontent articlebody posttext".split())
@@ -37,6 +39,8 @@ _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
 _attribute = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _word = re.compile(r"[a-z]+")
 _end_mark = re.compile(r"[.!?…。](?:\s|$|[\"')])")
+# elements that the model takes for others: what heads a table is a cell of it
+ALIKE = {"th": "td", "caption": "figcaption", "summary": "p", "dir": "ul"}
 TAGS = "body div section article main p li ul ol td tr table h1 h2 h3 h4 h5 h6 blockquote pre nav header footer aside dl dt dd figure figcaption details form fieldset dialog menu".split()
 
 
@@ -77,28 +81,32 @@ def parse(source: str) -> Page:
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block that each belongs to
     pieces: list[str] = []
     linked: list[int] = [0]
-    dropped = anchors = 0
+    pressed: list[int] = [0]  # characters of controls
+    gone: list[bool] = [False]  # of each open element, whether its text goes
+    dropped = anchors = forms = controls = 0
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
-            if text:
+            if text and pressed[0] < sum(not c.isspace() for c in text):
                 node = stack[-1][1]
                 page.runs.append((node, text))
                 page.size[node] += len(text)
                 page.linked[node] += min(len(text), linked[0])
                 page.ends[node] += len(_end_mark.findall(text))
-        linked[0] = 0
+        linked[0] = pressed[0] = 0
 
     def close(depth: int) -> None:
-        nonlocal dropped, anchors
+        nonlocal dropped, anchors, forms, controls
         while len(stack) > depth:
             name = stack[-1][0]
             if name in BLOCK:
                 flush()
-            dropped -= name in DROPPED
+            dropped -= gone.pop()
             anchors -= name == "a"
+            forms -= name == "form"
+            controls -= name in CONTROLS
             stack.pop()
 
     def text(value: str) -> None:
@@ -106,6 +114,8 @@ def parse(source: str) -> Page:
             pieces.append(value)
             if anchors:
                 linked[0] += len(value.strip())
+            if controls:
+                pressed[0] += sum(not c.isspace() for c in entities.unescape(value))
 
     at, n = 0, len(source)
     while at < n:
@@ -168,8 +178,11 @@ def parse(source: str) -> Page:
         if attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
         stack.append((name, node))
-        dropped += name in DROPPED
+        gone.append(name in DROPPED or (name in CONTROLS and forms > 0))
+        dropped += gone[-1]
         anchors += name == "a"
+        forms += name == "form"
+        controls += name in CONTROLS
     close(1)
     flush()
     return page
@@ -194,7 +207,7 @@ def features(page: Page) -> tuple[list[list[int]], list[int]]:
         below_linked[page.parent[i]] += below_linked[i]
     out, kinds = [], []
     for i in range(n):
-        tag = page.tag[i]
+        tag = ALIKE.get(page.tag[i], page.tag[i])
         own = page.size[i]
         at = 0
         f = [TAGS.index(tag) if tag in TAGS else N_TAGS - 1]
