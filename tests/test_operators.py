@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import itertools
 import json
@@ -234,7 +235,10 @@ def test_stream_into_buckets(spark, tmp_path):
     cols = ["url", "heat_value", "prev_heat_value", "n_observations", "published_at", "fetched_at"]
     whole = sorted(map(tuple, I.fold_observations(spark.createDataFrame(rows, OBS)).select(cols).collect()))
     assert sorted(map(tuple, jobs.read_state(spark, state).select(cols).collect())) == whole
+    # batches have removed what newer ones replace: two versions of a bucket are left at most
+    assert max(collections.Counter(b for _, b, _ in jobs._folders(spark, state)).values()) <= 2
     assert jobs.drop_old_versions(spark, state, 4) > 0
+    assert jobs.drop_old_versions(spark, state, 4) == 0
     assert sorted(map(tuple, jobs.read_state(spark, state).select(cols).collect())) == whole
 
 

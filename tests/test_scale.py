@@ -8,6 +8,7 @@ import pytest
 
 from trendloom.operators import mining as M
 from trendloom.operators import relational as R
+from trendloom.operators.graph import components
 from trendloom.sources import feeds
 
 T0 = dt.datetime(2024, 1, 1)
@@ -104,3 +105,10 @@ def test_similar_titles_equal_the_full_join(spark, monkeypatch, least, posting):
     assert all(abs(c - want[p]) < 1e-9 for p, c in got.items())
     links = {r["id"]: r["links"] for r in M.similar_links(member, pairs).collect()}
     assert all(links[i] == sum(j != i and (classes[i] == classes[j] or (min(classes[i], classes[j]), max(classes[i], classes[j])) in got) for j in vectors) for i in vectors)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    assert {r["component"] for r in components(links).collect()} == {0}
+    with pytest.raises(RuntimeError, match="settled"):
+        components(links, most=1)

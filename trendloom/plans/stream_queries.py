@@ -13,6 +13,8 @@ from trendloom.plans.text_queries import query
 from trendloom.sources.adapters import table
 from trendloom.sources.schedule import landed_payloads, poll_ticks
 from trendloom.sources.schedule import scheduled_polls as polls_of
+from trendloom.sources import feeds
+from trendloom.streaming import jobs
 from trendloom.streaming import keyed_state as K
 
 #: Days of the events that each landed batch holds, and files it lies in.
@@ -102,3 +104,28 @@ def landed_bodies(spark, d):
     bodies = p.groupBy("batch").agg(F.array_join(lines, "\n").alias("value"))
     bodies.repartition("batch").write.partitionBy("batch").text(folder)  # a file for each batch
     return _told(landed_payloads(spark, f"{folder}/batch=*", files_per_batch=7)).select(F.md5("body").alias("digest"))
+
+
+@query("""with p as (select 'src' || (user_id % 20) source_key, ts, case when event_id % 13 = 0 then 403 when event_id % 13 = 1 then 429 when event_id % 13 = 2 then 401 when event_id % 13 = 3 then 500 else 200 end status, event_id % 17 = 5 throttled, event_id % 19 items from events),
+ c as (select source_key, ts, case when status = 403 then 'banned' when status = 429 or throttled then 'rate_limited' when status = 401 then 'cookie_expired' when status >= 400 then 'other' when items = 0 then 'empty' end error from p),
+ l as (select source_key, max(ts) filter (error is null) last_success, count(*) polls, count(error) failures, count(*) filter (error = 'banned') banned, count(*) filter (error = 'rate_limited') rate_limited from c group by 1)
+ select l.*, (select count(*) from c where c.source_key = l.source_key and error is not null and (last_success is null or ts > last_success)) in_a_row from l""")
+def poll_outcomes(spark, d):
+    """Polls by the class of their answer, and the health of their sources with failures in a row and the last success."""
+    e = table(spark, d, "events")
+    k = F.col("event_id")
+    status = F.when(k % 13 == 0, 403).when(k % 13 == 1, 429).when(k % 13 == 2, 401).when(k % 13 == 3, 500).otherwise(200)
+    error = feeds.classify(status, F.when(k % 17 == 5, -412).otherwise(0), k % 19)
+    polls = e.select(F.concat(F.lit("src"), F.col("user_id") % 20).alias("source_key"), F.col("ts").alias("polled_at"), error.alias("error"))
+    of = lambda x: F.sum((F.coalesce(F.col("error") == x, F.lit(False))).cast("bigint")).alias(x)
+    return jobs.source_health(polls).join(polls.groupBy("source_key").agg(of("banned"), of("rate_limited")), "source_key")
+
+
+@query("select p_partkey id, case when p_partkey % 7 > 0 then 'SUB=s' || p_partkey || case when p_partkey % 3 > 0 then '; SUBP=p' || p_size else '' end end cookie from part")
+def visitor_cookies(spark, d):
+    """Cookies from the fields of visitor answers, some of which lack one or both."""
+    k = F.col("p_partkey")
+    sub = F.when(k % 7 > 0, F.concat(F.lit('"sub":"s'), k, F.lit('",'))).otherwise("")
+    subp = F.when(k % 3 > 0, F.concat(F.lit('"subp":"p'), F.col("p_size"), F.lit('",'))).otherwise("")
+    body = F.concat(F.lit('window.gen_callback && gen_callback({"retcode":20000000,"data":{'), sub, subp, F.lit('"new":true}});'))
+    return table(spark, d, "part").select(k.alias("id"), feeds.visitor_cookie(body).alias("cookie"))

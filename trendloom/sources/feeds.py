@@ -109,6 +109,12 @@ def jsonp_field(body: Column, name: str) -> Column:
     return F.regexp_extract(body, f'"{name}"\\s*:\\s*"([^"]*)"', 1)
 
 
+def visitor_cookie(body: Column) -> Column:
+    """The cookie of a visitor answer from its fields ``sub`` and, where it has one, ``subp``; null without the first."""
+    sub, subp = jsonp_field(body, "sub"), jsonp_field(body, "subp")
+    return F.when(sub != "", F.concat(F.lit("SUB="), sub, F.when(subp != "", F.concat(F.lit("; SUBP="), subp)).otherwise("")))
+
+
 def replace_url_of_near_title(new: DataFrame, recent: DataFrame) -> DataFrame:
     """New rows of fuzzy sources take the url of a recent row of their source whose title is equal, else nearly equal.
 

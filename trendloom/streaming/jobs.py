@@ -20,14 +20,32 @@ def file_stream(spark: SparkSession, path: str, schema, event_time: str, delay:
     return reader.parquet(path).withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
 
 
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, str | None, str]]:
+    """(version, bucket, folder) of the state, from the names of the folders."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*")
+    fs = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for v in fs.globStatus(glob) or []:
+        version = int(v.getPath().getName().split("=")[1])
+        buckets = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(v.getPath(), "bucket=*")) or []
+        found += [(version, b.getPath().getName().split("=")[1], b.getPath().toString()) for b in buckets]
+        if not buckets and fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(v.getPath(), "*.parquet")):  # a version whose buckets are all replaced is empty
+            found.append((version, None, v.getPath().toString()))
+    return found
+
+
+def _newest(folders: list[tuple[int, str | None, str]], before: int | None) -> dict[str | None, tuple[int, str]]:
+    newest: dict[str | None, tuple[int, str]] = {}
+    for version, bucket, folder in folders:
+        if (before is None or version < before) and version > newest.get(bucket, (-1, ""))[0]:
+            newest[bucket] = version, folder
+    return newest
+
+
 def read_state(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame:
-    """The state that ``fold_stream`` has written: of each bucket the newest version (of those before a number)."""
-    every = spark.read.parquet(state_path)
-    if before is not None:
-        every = every.filter(F.col("version") < before)
-    by = ["bucket"] if "bucket" in every.columns else []
-    newest = every.groupBy(*by).agg(F.max("version").alias("version"))  # a row for each bucket
-    return every.join(F.broadcast(newest), [*by, "version"])
+    """The state that ``fold_stream`` has written: of each bucket the newest version (of those before a number); no other file is read."""
+    newest = _newest(_folders(spark, state_path), before)
+    return spark.read.option("basePath", state_path).parquet(*(folder for _, folder in newest.values()))
 
 
 def fold_stream(
@@ -37,13 +55,16 @@ def fold_stream(
 
     With ``buckets`` the state lies in so many buckets of the key's hash, and batch n rewrites those that it touches, as
     version n beside the older ones; without, it writes the whole state as version n. Either depends on versions
-    before n and the batch alone, so that a batch that is run again after a failure writes the same once more.
+    before n and the batch alone, so that a batch that is run again after a failure writes the same once more. Versions
+    that newer ones before n replace are deleted first, so that the state holds two versions of a bucket at most.
     ``after`` sees the batch's fold, e.g. to raise alerts. ``every`` is the time between batches; without it the stream
     ends when it has read what there is."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets or 1)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        if number and _exists(spark, state_path):
+            drop_old_versions(spark, state_path, number)  # batch n needs the newest versions before n, also when it is run again
         new = fold_observations(batch, key).persist()
         state = read_state(spark, state_path, number).drop("version") if number and _exists(spark, state_path) else None
         if buckets is None:
@@ -67,10 +88,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def drop_old_versions(spark: SparkSession, state_path: str, before: int) -> int:
     """Deletes the buckets' versions before a number that a newer one before it replaces; how many it deleted."""
-    found = spark.read.parquet(state_path).select("bucket", "version").distinct().filter(F.col("version") < before)
-    old = found.join(found.groupBy("bucket").agg(F.max("version").alias("_m")), "bucket").filter("version < _m").collect()  # a row for each bucket and version
-    for r in old:
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/version={r['version']}/bucket={r['bucket']}")
+    folders = _folders(spark, state_path)
+    newest = _newest(folders, before)
+    old = [(b, f) for v, b, f in folders if v < before and v < newest[b][0]]
+    for _, folder in old:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return len(old)
 
