@@ -289,25 +289,36 @@ POSTING = 2_000
 
 
 def similar_titles(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """Of term vectors (id, token, weight): (id, class) with the smallest id of equal vectors, and (a, b, semantic), a < b: the
+    """Of term vectors (id, token, weight >= 0): (id, class) with the smallest id of equal vectors, and (a, b, semantic), a < b: the
     classes whose cosine is at least ``least``. Exact, for any number of titles.
 
-    Terms are ordered by how few titles have them. A title offers its rarest terms, up to where the weight of the others
-    alone stays below ``least`` of its length: a pair of higher cosine shares an offered term on both sides. Long lists of
-    titles of one term are split over tasks."""
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"]))
+    Terms are ordered by how few titles have them. Two titles that are similar by one shared term alone both have most of their
+    length in it and meet by it. Others share two terms or more: each title offers couples of its terms, where the first with all
+    from the second on has at least ``least`` of its length, as the first two shared terms of a similar pair always have on both
+    sides. Long lists of titles of one couple are split over tasks."""
     whole = vectors.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", F.col("weight").cast("double").alias("weight")))).alias("_v"))
-    groups = checkpoint(whole.groupBy("_v").agg(F.min("id").alias("class"), F.count("*").alias("n")))
-    member = whole.join(groups.select("_v", "class"), "_v").select("id", "class")
-    unit = checkpoint(groups.withColumn("_norm", norm).filter("_norm > 0").select("class", F.transform("_v", lambda x: F.struct(x["token"].alias("token"), (x["weight"] / F.col("_norm")).alias("weight"))).alias("_v")))
+    groups = checkpoint(whole.groupBy("_v").agg(F.min("id").alias("class")))
+    member = whole.join(groups, "_v").select("id", "class")
+    square = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x["weight"] * x["weight"])
+    norm = F.sqrt(square(F.col("_v")))
+    unit = checkpoint(groups.withColumn("_norm", norm).filter("_norm > 0").select("class", F.transform(F.filter("_v", lambda x: x["weight"] > 0), lambda x: F.struct(x["token"].alias("token"), (x["weight"] / F.col("_norm")).alias("weight"))).alias("_v")))
     terms = unit.select("class", F.explode("_v").alias("t")).select("class", "t.token", "t.weight")
     df = terms.groupBy("token").agg(F.count("*").alias("df"))
-    rest = Window.partitionBy("class").orderBy(F.desc("df"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
-    offered = terms.join(df, "token").withColumn("_rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(rest))).filter(F.col("_rest") >= least - 1e-9)
+    ordered = checkpoint(terms.join(df, "token").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token", "weight"))).alias("_o")))  # terms of a title
+    o, low = F.col("_o"), least - 1e-9
+
+    def couples(x: Column, i: Column) -> Column:
+        after = F.slice(o, i + 2, F.size(o))
+        some = F.transform(after, lambda y, k: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["weight"].alias("w1"), y["weight"].alias("w2"), F.sqrt(square(F.slice(o, i + k + 3, F.size(o)))).alias("later"), x["df"].alias("df")))
+        return F.filter(some, lambda c: c["w1"] * c["w1"] + c["w2"] * c["w2"] + c["later"] * c["later"] >= low * low)
+
+    single = F.transform(F.filter(o, lambda x: x["weight"] >= low), lambda x: F.struct(F.xxhash64(x["token"]).alias("key"), x["weight"].alias("w1"), F.lit(0.0).alias("w2"), F.lit(0.0).alias("later"), x["df"].alias("df")))
+    offered = ordered.select("class", F.explode(F.concat(single, F.flatten(F.transform(o, couples)))).alias("c")).select("class", "c.*")
     parts = F.ceil(F.col("df") / POSTING).cast("int")
-    left = offered.select(F.col("class").alias("a"), "token", F.pmod(F.xxhash64("class"), parts).cast("int").alias("_part"))
-    right = offered.select(F.col("class").alias("b"), "token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
-    met = left.join(right, ["token", "_part"]).filter("a < b").select("a", "b").distinct()
+    left = offered.select(F.col("class").alias("a"), "key", "w1", "w2", "later", F.pmod(F.xxhash64("class"), parts).cast("int").alias("_part"))
+    right = offered.select(F.col("class").alias("b"), "key", F.col("w1").alias("v1"), F.col("w2").alias("v2"), F.col("later").alias("_rest"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    reach = F.col("w1") * F.col("v1") + F.col("w2") * F.col("v2") + F.col("later") * F.col("_rest")
+    met = left.join(right, ["key", "_part"]).filter((F.col("a") < F.col("b")) & (reach >= low)).select("a", "b").distinct()
     side = lambda end: unit.select(F.col("class").alias(end), F.col("_v").alias(f"_v{end}"))
     both = met.join(side("a"), "a").join(side("b"), "b").withColumn("_m", F.map_from_entries("_vb"))
     dot = F.aggregate("_va", F.lit(0.0), lambda acc, x: acc + x["weight"] * F.coalesce(F.try_element_at("_m", x["token"]), F.lit(0.0)))
