@@ -8,10 +8,13 @@ The seeds lose none of them. With b = 2 * (1 - least) for each word of an item,
 leaves at most b / 2 of the item's words unmatched and inserts at most b words. So of the item's b / 2 + k rarest
 words at least k stand in the document, within the item's length and b words. Places where they do are aligned.
 
+Longer seeds would lose copies: with a word put between all others, or every third word changed, an item still reaches a score of
+one half while hardly any two of its words stand together. So the n-grams are of one word, and what joins them is their places.
+
 Benchmarks go to the workers in chunks of bounded size, one pass over the documents for each.
 
-Defined results: null or empty texts and items match nothing; repeated ids report row by row; an empty table gives no
-rows; other columns are ignored; texts are searched whole.
+Defined results: null or empty texts and items match nothing; repeated ids report row by row, and items of equal score each their
+own row; an empty table gives no rows; other columns are ignored; texts are searched whole.
 """
 
 from __future__ import annotations
@@ -27,8 +30,6 @@ from trendloom.llm.common import slices
 
 #: Least share of an item's own score; characters of items that one pass takes.
 LEAST, CHUNK_CHARS = 0.5, 16_000_000
-#: Not used here: seeds are single words. Kept for those who import it.
-NGRAM = 3
 MATCH, MISS, GAP = 2, -1, -1
 #: Besides those it can lose, an item has a seed word more for each SPARE of its words.
 SPARE = 8
