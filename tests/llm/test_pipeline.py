@@ -7,7 +7,6 @@ import re
 import pytest
 
 import corpus_pipeline
-from trendloom.llm.decontaminate import NGRAM  # noqa: F401
 
 
 def prose(r, n):
