@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.operators.patterns import Automaton, lowered
+from trendloom.operators.patterns import MOST_CHARS, Automaton, lowered
 from trendloom.operators.segmentation import CharacterModel, Segmenter, TagModel
 
 HAN = "㐀-鿿"
@@ -315,6 +315,8 @@ KIND = "array<struct<label: string, kind: string, related: array<string>>>"
 def candidate_column(title: Column, lexicon: Lexicon, discovered: Iterable[str] = (), promoted: Iterable[str] = (), blacklist: Iterable[str] = ()) -> Column:
     """The candidates of a title as an array column, in Arrow batches."""
     d, p, b = set(discovered), set(promoted), set(blacklist)
+    if sum(map(len, d | p | b)) > MOST_CHARS:
+        raise ValueError(f"word lists of more than {MOST_CHARS} characters travel with no task: filter them first")
     words = plain_automaton(p) if p else None
 
     @F.pandas_udf(KIND)
