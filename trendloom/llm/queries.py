@@ -18,7 +18,7 @@ from trendloom.llm.near_dedup import near_duplicates
 from trendloom.llm.packing import pack_documents
 from trendloom.llm.passage_dedup import remove_repeated_passages
 from trendloom.llm.personal_data import personal_data
-from trendloom.llm.quality import quality_rules
+from trendloom.llm.quality import document_statistics, quality_rules
 from trendloom.llm.token_counts import token_counts
 from trendloom.llm.whitening import whiten
 
@@ -51,6 +51,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the base rules of the quality operator count in every document."""
+    stats = document_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", [])
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -80,6 +86,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
+    "quality_statistics": quality_statistics,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -108,4 +115,16 @@ n AS (
 SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_license_scan": licence_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL}
+QUALITY_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+g AS (SELECT r, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS k FROM (SELECT r, l, unnest(range(1, len(l) - 1)) AS i FROM w WHERE len(l) > 2) x),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM g) y WHERE n > 1),
+p AS (SELECT r, count(DISTINCT i + s) AS n FROM c, (SELECT unnest([0, 1, 2]) AS s) z GROUP BY r),
+f AS (
+  SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN p ON p.r = w.r)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"quality_statistics": QUALITY_SQL, "op4_license_scan": licence_sql(), "op11_hard_negatives": HARD_NEGATIVES_SQL}
