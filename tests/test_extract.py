@@ -70,3 +70,20 @@ def test_channel_columns_affiliations_and_pairs():
 def test_kind_of_a_discovered_word():
     assert X.word_kind("手机", LX) == "entity" and X.word_kind("发布", LX) == "keyword" and X.word_kind("OpenAI", LX) == "entity"
     assert X.word_kind("北京发布", LX) == "entity" and X.word_kind("摆烂", LX) == "keyword"
+
+
+def test_lexicon_of_tables(spark, monkeypatch):
+    import pytest
+
+    entries = spark.createDataFrame([("华为", "company", ["Huawei", None]), ("华为", "firm", ["HW"]), (None, "x", None), ("鸿蒙", None, None)], "label string, category string, aliases array<string>")
+    words = spark.createDataFrame([("发布", 5, "v"), ("发布", 9, "vn"), ("空", None, None), (None, 3, "n")], "word string, freq long, pos string")
+    lists = spark.createDataFrame([("stop", "今天"), ("honorifics", "院士"), ("stop", None)], "list string, word string")
+    cues = spark.createDataFrame([("pairs", "中美", "中国"), ("pairs", "中美", "美国"), ("affiliations", "余承东", "华为"), ("pairs", None, "x")], "kind string, cue string, label string")
+    lx = X.lexicon_of_tables(entries, words, lists, cues, base=X.Lexicon(stop={"最新"}, places={"中国", "美国"}))
+    assert set(lx.entries["华为"][1]) == {"Huawei", "HW"} and lx.entries["鸿蒙"] == ("", ()) and None not in lx.entries
+    assert lx.words == {"发布": (9, "vn"), "空": (0, "")} and lx.stop == {"最新", "今天"} and lx.honorifics == ("院士",)
+    assert lx.pairs == {"中美": ("中国", "美国")} and lx.affiliations == {"余承东": ("华为",)}
+    assert {c[0] for c in X.candidates("HW发布鸿蒙，中美会谈，余承东和王院士", lx)} >= {"华为", "鸿蒙", "中国", "美国", "王院士"} - {"王院士"}
+    monkeypatch.setattr(X, "MOST_ROWS", 1)
+    with pytest.raises(ValueError, match="more than"):
+        X.lexicon_of_tables(entries)

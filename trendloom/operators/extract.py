@@ -82,6 +82,47 @@ def fields_of(lexicon: Lexicon) -> list[str]:
     return [f.name for f in fields(lexicon)]
 
 
+#: Rows of a dictionary table that a lexicon takes at most: it travels with every task.
+MOST_ROWS = 1_000_000
+
+
+def lexicon_of_tables(entries: DataFrame | None = None, words: DataFrame | None = None, lists: DataFrame | None = None, cues: DataFrame | None = None, base: Lexicon | None = None) -> Lexicon:
+    """A lexicon from tables, on top of another one: entries (label, category, aliases), words (word, freq, pos), lists (list, word) with
+    the names of the lexicon's sets and tuples, and cues (kind, cue, label) of pairs and affiliations.
+
+    Of a label's rows the aliases are united and the first category counts, of a word's rows the most frequent; null labels and
+    words are left out. A table of more than MOST_ROWS rows is an error."""
+
+    def rows(df: DataFrame | None, *columns: str) -> list:
+        if df is None:
+            return []
+        found = df.select(*columns).filter(F.col(columns[0]).isNotNull()).limit(MOST_ROWS + 1).collect()
+        if len(found) > MOST_ROWS:
+            raise ValueError(f"a dictionary of more than {MOST_ROWS} rows")
+        return sorted(found, key=str)
+
+    new = {f: getattr(base, f) for f in fields_of(base)} if base else {}
+    kept = dict(new.get("entries", {}))
+    for r in rows(entries, "label", "category", "aliases"):
+        category, aliases = kept.get(r["label"], (r["category"] or "", ()))
+        kept[r["label"]] = category, tuple(dict.fromkeys([*aliases, *(a for a in r["aliases"] or () if a)]))
+    known = dict(new.get("words", {}))
+    for r in rows(words, "word", "freq", "pos"):
+        if r["word"] not in known or (r["freq"] or 0) > known[r["word"]][0]:
+            known[r["word"]] = r["freq"] or 0, r["pos"] or ""
+    new |= {"entries": kept, "words": known}
+    for r in rows(lists, "list", "word"):
+        own = new.get(r["list"], getattr(Lexicon(), r["list"]))
+        if r["word"] is not None:
+            new[r["list"]] = own | {r["word"]} if isinstance(own, set) else tuple(dict.fromkeys([*own, r["word"]]))
+    for r in rows(cues, "kind", "cue", "label"):
+        if r["cue"] is not None and r["label"] is not None:
+            table = dict(new.get(r["kind"], {}))
+            table[r["cue"]] = tuple(dict.fromkeys([*table.get(r["cue"], ()), r["label"]]))
+            new[r["kind"]] = table
+    return Lexicon(**new)
+
+
 def segment_all(titles: list[str], lexicon: Lexicon) -> list[list[str]]:
     """Words of titles: runs of letters and digits stay whole; Han runs take the most probable dictionary words, and of what
     these leave the most probable words of the character model."""

@@ -152,3 +152,16 @@ def similar_titles(spark, d):
     """Each title with the class of equal ones and how many others are similar, over the whole table."""
     tokens = M.letter_tokens(articles(spark, d))
     return M.similar_links(*M.similar_titles(M.term_vectors(tokens), SIMILAR))
+
+
+@query("""with b as (select distinct p_brand b from part), t as (select p_partkey id, p_brand || ' ' || p_name || ' 大' || p_size || '学' t, p_size from part)
+ select id, b label, 'entity' kind from t, b where contains(lower(t), lower(b)) union all select id, 'Brand', 'entity' from t union all select id, '尺寸' || (p_size % 9), 'entity' from t where p_size in (1, 2, 3)""")
+def candidates_of_tables(spark, d):
+    """Candidates by a lexicon that lies in tables: brands, nested ones too, and what cues in titles stand for."""
+    p = table(spark, d, "part")
+    entries = p.select(F.col("p_brand").alias("label"), F.lit("brand").alias("category"), F.array(F.lower("p_brand")).alias("aliases")).distinct()
+    cue = p.filter(F.col("p_size").isin(1, 2, 3)).select(F.lit("pairs").alias("kind"), F.concat(F.lit("大"), F.col("p_size"), F.lit("学")).alias("cue"), F.concat(F.lit("尺寸"), F.col("p_size") % 9).alias("label")).distinct()
+    sizes = cue.select("label", F.lit("size").alias("category"), F.array().cast("array<string>").alias("aliases"))
+    lx = X.lexicon_of_tables(entries.unionByName(sizes), cues=cue)
+    title = F.concat("p_brand", F.lit(" "), "p_name", F.lit(" 大"), F.col("p_size"), F.lit("学"))
+    return X.explode_candidates(p.select(F.col("p_partkey").alias("id"), title.alias("title")), lx).select("id", "label", "kind")
