@@ -129,3 +129,9 @@ def visitor_cookies(spark, d):
     subp = F.when(k % 3 > 0, F.concat(F.lit('"subp":"p'), F.col("p_size"), F.lit('",'))).otherwise("")
     body = F.concat(F.lit('window.gen_callback && gen_callback({"retcode":20000000,"data":{'), sub, subp, F.lit('"new":true}});'))
     return table(spark, d, "part").select(k.alias("id"), feeds.visitor_cookie(body).alias("cookie"))
+
+
+@query(f"select event_id, cast({_spread_sql('user_id', 'epoch_us(ts)', 1, 61)} as int) seconds from events")
+def poll_delays(spark, d):
+    """The delay of each poll: from 1 to 60 seconds, the same whenever it is planned again."""
+    return table(spark, d, "events").select("event_id", jobs.jitter(F.col("user_id"), F.col("ts")).alias("seconds"))

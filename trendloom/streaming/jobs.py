@@ -120,7 +120,7 @@ def poll_minutes(index: Column, every: int = 15, offset: int = 3) -> Column:
 
 def jitter(key: Column, ts: Column, low: int = 1, high: int = 60) -> Column:
     """Seconds of delay, the same whenever the same poll is planned again."""
-    return (F.pmod(F.xxhash64(key, ts), F.lit(high - low + 1)) + low).cast("int")
+    return spread_column(key, F.unix_micros(ts.cast("timestamp")), low, high + 1).cast("int")
 
 
 def backoff_until(key: Column, error: Column, ts: Column, failures: Column) -> Column:
