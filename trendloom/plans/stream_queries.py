@@ -131,7 +131,7 @@ def visitor_cookies(spark, d):
     return table(spark, d, "part").select(k.alias("id"), feeds.visitor_cookie(body).alias("cookie"))
 
 
-@query(f"select event_id, cast({_spread_sql('user_id', 'epoch_us(ts)', 1, 61)} as int) seconds from events")
+@query(f"select event_id, cast({_spread_sql('user_id', 'epoch_us(ts)', 1, 61)} as int) delay from events")
 def poll_delays(spark, d):
     """The delay of each poll: from 1 to 60 seconds, the same whenever it is planned again."""
-    return table(spark, d, "events").select("event_id", jobs.jitter(F.col("user_id"), F.col("ts")).alias("seconds"))
+    return table(spark, d, "events").select("event_id", jobs.jitter(F.col("user_id"), F.col("ts")).alias("delay"))
