@@ -9,7 +9,7 @@ from trendloom.functions import scalar as S
 from trendloom.operators import extract as X
 from trendloom.operators import mining as M
 from trendloom.operators import relational as R
-from trendloom.operators.graph import shared_folder
+from trendloom.operators.graph import checkpoint, shared_folder
 from trendloom.sources import feeds
 from trendloom.sources.adapters import ARTICLES, AS_OF, OBSERVATIONS, articles, as_of, observations, table
 from trendloom.streaming import jobs
@@ -120,8 +120,8 @@ def _dictionary(spark, d):
 EXCLUDED = f"""{DICTIONARY}, ex as (select distinct gram word from sp left join dc on dc.word = gram where gram in ('the', 'and') or regexp_matches(gram, '^\\p{{Nd}}+$') or (length(gram) = 2 and freq > 200) or (length(gram) = 3 and freq > 400) or (length(gram) >= 4 and freq > 300))"""
 
 
-def _excluded(spark, d):
-    return M.excluded_words(_support(spark, d), _dictionary(spark, d), spark.createDataFrame([("the",), ("and",)], "word string"))
+def _excluded(spark, d, support=None):
+    return M.excluded_words(_support(spark, d) if support is None else support, _dictionary(spark, d), spark.createDataFrame([("the",), ("and",)], "word string"))
 
 
 @query(f"with {SUPPORT}, {EXCLUDED} select word from ex")
@@ -134,7 +134,8 @@ def excluded_heat_words(spark, d):
  select gram, n, articles, sources from mg m where not exists (select 1 from mg w where w.n > 1 and w.gram <> m.gram and contains(w.gram, m.gram) and coalesce(m.own, 0) <= w.articles)""")
 def heat_words_discovered(spark, d):
     """Heat words without what the exclusions leave out, each with as many articles as its frequency in the dictionary asks for."""
-    return M.heat_words(_support(spark, d), PARAMS, _excluded(spark, d), _dictionary(spark, d))
+    support = checkpoint(_support(spark, d))  # counted once, read by the exclusions and the words
+    return M.heat_words(support, PARAMS, _excluded(spark, d, support), _dictionary(spark, d))
 
 
 CANDIDATES = f"{TOKENS}, cd as (select distinct id, case when length(token) > 5 then 'entity' else 'keyword' end kind, token label from tk where length(token) >= 4)"
