@@ -167,6 +167,14 @@ def test_near_equal_pairs_equal_brute_force(spark):
     assert sorted((x.a, x.b) for x in got) == want
 
 
+def test_near_equal_pairs_of_one_word_are_many_tasks(spark):
+    words = spark.createDataFrame([(i, "same") for i in range(300)] + [(300, "sane"), (None, "same")], "k long, w string")
+    got = R.near_equal_pairs(words, block_rows=16, task_pairs=4_000).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((x.a, x.b) for x in got) == list(itertools.combinations(range(301), 2))
+    of = collections.Counter(x.part for x in got)
+    assert len(of) >= 16 and max(of.values()) < len(got) / 4
+
+
 def test_near_equal_customers_sees_every_customer(spark, tmp_path):
     from trendloom.plans.text_queries import QUERIES
 
