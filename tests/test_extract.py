@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from trendloom.operators import extract as X
 
 LX = X.seed_lexicon()
@@ -87,3 +89,28 @@ def test_lexicon_of_tables(spark, monkeypatch):
     monkeypatch.setattr(X, "MOST_ROWS", 1)
     with pytest.raises(ValueError, match="more than"):
         X.lexicon_of_tables(entries)
+
+
+def test_titles_of_one_file_are_many_tasks(spark):
+    titles = [f"王建国教授访问北京{i % 700}" if i % 2 else f"《流浪{i}》 Huawei发布 暴雨预警" for i in range(4000)]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id long, title string").coalesce(1)
+    got = X.explode_candidates(rows, LX).withColumn("part", F.spark_partition_id()).orderBy("id", "pos").collect()
+    assert len({r["part"] for r in got}) >= 4
+    found = {}
+    for r in got:
+        found.setdefault(r["id"], []).append((r["label"], r["kind"], r["related"]))
+    assert found == {i: c for i, t in enumerate(titles) if (c := X.candidates(t, LX))}
+
+
+def test_a_term_of_many_titles_is_judged_once(spark, monkeypatch):
+    asked = []
+    plain = X.keeps
+    monkeypatch.setattr(X, "keeps", lambda t, lx, promoted: asked.append(t) or plain(t, lx, promoted))
+    terms = X.Terms(LX, set())
+    same = [X.candidates("王建国教授访问北京", LX, terms=terms) for _ in range(5)]
+    assert same == [X.candidates("王建国教授访问北京", LX)] * 5
+    own = len(set(asked))
+    asked.clear()
+    for _ in range(5):
+        X.candidates("王建国教授访问北京", LX, terms=terms)
+    assert own and not asked

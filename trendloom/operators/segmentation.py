@@ -255,6 +255,16 @@ class Segmenter:
         return [list(zip(w, t, strict=True)) for w, t in zip(words, tags, strict=True)]
 
 
+#: Rows that a task of rules in Python takes at least where cores would else be idle, and about at most.
+LEAST_ROWS, MOST_ROWS = 500, 20_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over tasks, by their number: files may be few and small, while the rules on each row are slow."""
+    n = rows.count()
+    return rows.repartition(max(min(rows.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS), n // MOST_ROWS, 1))
+
+
 def tagged_words(texts: DataFrame, segmenter: Segmenter, id_col: str = "id", text_col: str = "title") -> DataFrame:
     """(id, pos, word, tag) of the texts, in Arrow batches; a null text has no words."""
 
@@ -262,7 +272,7 @@ def tagged_words(texts: DataFrame, segmenter: Segmenter, id_col: str = "id", tex
     def run(batch: pd.Series) -> pd.Series:
         return pd.Series([[{"word": w, "tag": t} for w, t in x] for x in segmenter.tagged([t or "" for t in batch])])
 
-    return texts.select(id_col, F.posexplode(run(text_col)).alias("pos", "w")).select(id_col, "pos", "w.word", "w.tag")
+    return spread(texts.select(id_col, text_col)).select(id_col, F.posexplode(run(text_col)).alias("pos", "w")).select(id_col, "pos", "w.word", "w.tag")
 
 
 def kind_of(tag) -> object:
