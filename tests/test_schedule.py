@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 
@@ -47,3 +48,19 @@ def test_payloads_are_read_once(spark, tmp_path, per_batch):
             got = told(spark, S.landed_payloads(spark, str(folder), files_per_batch=per_batch), tmp_path)
     assert sorted((r["source_key"], r["body"]) for r in got) == sorted((n.split(".")[0], t) for n, t in texts.items() if t)
     assert S.landed_payloads(spark, str(folder), stream=False).count() == 3
+
+
+def test_batches_of_landed_bodies_do_not_grow_with_files(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from trendloom.operators.graph import shared_folder
+    from trendloom.plans import stream_queries
+
+    monkeypatch.setattr(stream_queries, "MOST_BATCHES", 2)
+    spark.createDataFrame([(100 * i + j, f"part {i} {j}") for i in range(20) for j in (1, 0)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    got = sorted(r["digest"] for r in stream_queries.landed_bodies(spark, str(tmp_path)).collect())
+    assert got == sorted(hashlib.md5(f"part {i} 0\npart {i} 1\n".encode()).hexdigest() for i in range(20))
+    (checkpoint,) = (p for p in set(folder.iterdir()) - before if p.name.endswith("-checkpoint"))
+    assert len([p for p in (checkpoint / "commits").iterdir() if p.name.isdigit()]) == 2

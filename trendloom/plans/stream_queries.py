@@ -19,6 +19,8 @@ from trendloom.streaming import keyed_state as K
 
 #: Days of the events that each landed batch holds, and files it lies in.
 DAYS, FILES = 7, 8
+#: Batches in which landed payload files are read at most, however many there are: each costs its start and its log.
+MOST_BATCHES = 30
 
 
 def _landed(rows: DataFrame, at: str) -> DataFrame:
@@ -100,10 +102,11 @@ def landed_bodies(spark, d):
     """Digests of the payload files that lie landed in a folder, each file read once as a stream."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
     p = table(spark, d, "part").withColumn("batch", F.floor(F.col("p_partkey") / 100))
+    files = p.select("batch").distinct().count()
     lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])  # a hundred of a batch
     bodies = p.groupBy("batch").agg(F.array_join(lines, "\n").alias("value"))
     bodies.repartition("batch").write.partitionBy("batch").text(folder)  # a file for each batch
-    return _told(landed_payloads(spark, f"{folder}/batch=*", files_per_batch=7)).select(F.md5("body").alias("digest"))
+    return _told(landed_payloads(spark, f"{folder}/batch=*", files_per_batch=max(7, -(-files // MOST_BATCHES)))).select(F.md5("body").alias("digest"))
 
 
 @query("""with p as (select 'src' || (user_id % 20) source_key, ts, case when event_id % 13 = 0 then 403 when event_id % 13 = 1 then 429 when event_id % 13 = 2 then 401 when event_id % 13 = 3 then 500 else 200 end status, event_id % 17 = 5 throttled, event_id % 19 items from events),
