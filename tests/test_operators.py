@@ -175,6 +175,18 @@ def test_near_equal_pairs_of_one_word_are_many_tasks(spark):
     assert len(of) >= 16 and max(of.values()) < len(got) / 4
 
 
+def test_tasks_of_entity_counts_grow_with_the_links(spark):
+    r = random.Random(5)
+    links, events = ([(r.randrange(40), r.randrange(12)) for _ in range(600)] for _ in range(2))
+    frame = lambda rows, c: spark.createDataFrame([*rows, (None, 1)], f"article_id long, {c} long")
+    entities = spark.createDataFrame([(i,) for i in range(14)], "entity_id long")
+    out = R.entity_counts(entities, frame(links, "entity_id"), frame(events, "event_id"), task_rows=50)
+    of = {i: {x for x, y in links if y == i} for i in range(14)}
+    want = {i: (len(of[i]) + (i == 1), len({y for x, y in events if x in of[i]})) for i in range(14)}
+    assert {x.entity_id: (x.article_count, x.event_count) for x in out.collect()} == want
+    assert out._jdf.queryExecution().executedPlan().toString().count(", 24), REPARTITION_BY_NUM") >= 3
+
+
 def test_near_equal_customers_sees_every_customer(spark, tmp_path):
     from trendloom.plans.text_queries import QUERIES
 

@@ -16,6 +16,8 @@ BROADCAST_ROWS = 10_000
 FEW_KEYWORDS = 64
 #: Keys of a word in one block of ``near_equal_pairs`` (Spark holds all rows that come of one pair of blocks), and pairs that one of its tasks writes out.
 BLOCK_ROWS, TASK_PAIRS = 128, 50_000_000
+#: Links, of both kinds together, that a task of ``entity_counts`` takes.
+LINK_ROWS = 1_000_000
 
 
 def clamp(value: int, default: int, most: int) -> int:
@@ -214,11 +216,17 @@ def today_stats(state: DataFrame, now: Column) -> DataFrame:
     return counted.join(best, "source_key", "left").select("source_key", "n", F.col("m.title").alias("top_title"), F.col("m.heat_value").alias("top_heat"))
 
 
-def entity_counts(entities: DataFrame, article_entities: DataFrame, article_events: DataFrame) -> DataFrame:
-    """entity_id with its articles and its events. Each side is aggregated before it is joined: no fan-out."""
-    ae = article_entities.select("article_id", "entity_id").distinct()
+def entity_counts(entities: DataFrame, article_entities: DataFrame, article_events: DataFrame, task_rows: int = LINK_ROWS) -> DataFrame:
+    """entity_id with its articles and its events. Each side is aggregated before it is joined: no fan-out.
+
+    Links are dealt by article, and the pairs that come of them by pair, over tasks of about ``task_rows`` links, so that what
+    a task holds does not grow with the input; compressed sizes, by which Spark would deal them, are far below what tables of distinct rows take."""
+    tasks = max((article_entities.count() + article_events.count()) // task_rows, entities.sparkSession.sparkContext.defaultParallelism)
+    ae = article_entities.select("article_id", "entity_id").repartition(tasks, "article_id").distinct()
     n_articles = ae.groupBy("entity_id").agg(F.count("*").alias("article_count"))
-    n_events = ae.join(article_events.select("article_id", "event_id").distinct(), "article_id").select("entity_id", "event_id").distinct().groupBy("entity_id").agg(F.count("*").alias("event_count"))
+    av = article_events.select("article_id", "event_id").repartition(tasks, "article_id").distinct()
+    pairs = ae.join(av, "article_id").select("entity_id", "event_id").repartition(tasks, "entity_id", "event_id").distinct()
+    n_events = pairs.groupBy("entity_id").agg(F.count("*").alias("event_count"))
     out = entities.join(n_articles, "entity_id", "left").join(n_events, "entity_id", "left")
     return out.withColumn("article_count", F.coalesce("article_count", F.lit(0))).withColumn("event_count", F.coalesce("event_count", F.lit(0)))
 
