@@ -300,3 +300,13 @@ def test_generic_topics_and_hubs(spark):
     hub = lambda least: sorted(x.term for x in M.hubs(spark.createDataFrame(terms, "id long, term string"), least_docs=least, docs=docs).collect())
     assert hub(20) == ["AI", "wide"] and hub(21) == ["AI"]
     assert [M.hub_least(h) for h in (1, 3, 6, 24)] == [8, 8, 12, 20]
+
+
+def test_a_bucket_of_told_alerts_is_one_file(spark, tmp_path):
+    sink = jobs.alert_sink(str(tmp_path / "told"), buckets=4)
+    rows = [(i % 3, i) for i in range(400)]
+    for number, part in enumerate((rows[:250], rows[150:])):
+        sink(spark.createDataFrame(part, "subscription_id long, id long").repartition(16), number)
+    got = spark.read.parquet(str(tmp_path / "told"))
+    assert sorted((r.subscription_id, r.id) for r in got.collect()) == sorted(rows)
+    assert len(list((tmp_path / "told").glob("batch=*/bucket=*/*.parquet"))) == 8

@@ -141,7 +141,8 @@ def source_health(polls: DataFrame) -> DataFrame:
 
 def alert_sink(path: str, buckets: int = 256) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that tells every (subscription_id, id) once: batches overwrite their own folder and skip
-    what earlier batches told. What was told lies in buckets of a hash, of which a batch reads those its hits fall into."""
+    what earlier batches told. What was told lies in buckets of a hash, of which a batch reads those its hits fall into.
+    A bucket of a batch is one file, however many tasks the batch has."""
 
     def write(hits: DataFrame, number: int) -> None:
         spark = hits.sparkSession
@@ -151,7 +152,7 @@ def alert_sink(path: str, buckets: int = 256) -> Callable[[DataFrame, int], None
             touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
             told = spark.read.schema("subscription_id bigint, id bigint, batch int, bucket int").parquet(path).filter((F.col("batch") < number) & F.col("bucket").isin(touched))
             new = fresh.join(told.select("bucket", "subscription_id", "id"), ["bucket", "subscription_id", "id"], "left_anti")
-        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
         fresh.unpersist()
 
     return write
