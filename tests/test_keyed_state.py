@@ -112,3 +112,44 @@ def test_words_survive_windows_and_expire(spark, tmp_path):
     expired = sorted((r["word"], (r["first_seen"] - T0) / hour, (r["last_seen"] - T0) / hour, r["hits"], (r["at"] - T0) / hour) for r in got if r["event"] == "expired")
     assert expired == [("w", -3, -1, 7, 9), ("x", -2, 5, 5, 15), ("y", 0, 0, 2, 10), ("y", 31, 31, 5, 41), ("z", 11, 11, 1, 21), ("z", 30, 30, 1, 40)]
     assert {(r["word"], r["hits"]) for r in got if r["event"] == "pending"} >= {("x", 4), ("x", 5), ("y", 5)}
+
+
+class _State:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Handle:
+    def getValueState(self, *_):  # noqa: N802
+        return _State()
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+def test_rows_of_a_key_are_taken_as_arrays():
+    """A million polls, or sightings, of one key take few steps: those within a pause, or without a gap, go at once."""
+    import time
+
+    import pandas as pd
+
+    n, begin = 1_000_000, micros(T0)
+    rows = pd.DataFrame({"poll": range(n), "at": begin + pd.Series(range(n)) * 10_000, "error": "banned", "hits": 1})
+    backoff, pending = K.Backoff(), K.Pending(3600)
+    backoff.init(_Handle())
+    pending.init(_Handle())
+    start = time.process_time()
+    polls_ = next(backoff.handleInputRows(("a",), iter([rows[: n // 2], rows[n // 2 :]]), None))
+    (words,) = pending.handleInputRows(("w",), iter([rows]), None)
+    assert len(polls_) == n and polls_["allowed"].sum() == 1 and polls_["until"].nunique() == 1
+    assert words[["event", "hits"]].values.tolist() == [["pending", n]] and time.process_time() - start < 5

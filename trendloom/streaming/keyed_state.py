@@ -1,14 +1,16 @@
 """Keyed state with timers: pauses of sources by their failures, and words that stay pending until they expire.
 
 Both are ``transformWithState`` processors over event time. Times travel as microseconds, so that no time zone of a worker
-matters. The rows of one key of a batch are taken in time order; a restart from the checkpoint goes on where it stopped."""
+matters. The rows of one key of a batch are taken in time order, as arrays; a restart from the checkpoint goes on where it stopped."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -48,29 +50,47 @@ class Backoff(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("pause", "failures int, until long, timer long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    @staticmethod
+    def _released(key: str, at: list[int], failures: list[int]) -> pd.DataFrame:
+        none = [None] * len(at)
+        return pd.DataFrame({"source_key": key, "poll": pd.array(none, "Int64"), "at": at, "event": "released", "allowed": pd.array(none, "boolean"), "in_a_row": failures, "until": pd.array(none, "Int64")})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         failures, until, timer = self.state.get() if self.state.exists() else (0, 0, 0)
-        for r in sorted(rows, key=lambda r: (r["at"], r["error"] or "", r["poll"])):
-            allowed = r["at"] >= until
-            if allowed:
-                if until:
-                    yield Row(source_key=key[0], poll=None, at=until, event="released", allowed=None, in_a_row=failures, until=None)
-                until = 0
-                failures = 0 if r["error"] is None else failures + 1
-                seconds = 0 if r["error"] is None else pause_seconds(key[0], r["at"], r["error"], failures)
-                until = r["at"] + seconds * SECOND if seconds else 0
-            yield Row(source_key=key[0], poll=r["poll"], at=r["at"], event="poll", allowed=allowed, in_a_row=failures, until=until or None)
+        r = pd.concat(list(rows), ignore_index=True)
+        order = np.lexsort((r["poll"].to_numpy(), np.unique(r["error"].fillna("").to_numpy(str), return_inverse=True)[1], r["at"].to_numpy()))
+        r = r.iloc[order]
+        at, good, errors = r["at"].to_numpy(), r["error"].isna().to_numpy(), r["error"].to_numpy()
+        allowed, in_a_row, ends = np.zeros(len(at), bool), np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+        over: list[tuple[int, int]] = []
+        i = 0
+        while i < len(at):
+            if at[i] < until:  # all polls within the pause at once
+                j = int(np.searchsorted(at, until))
+                in_a_row[i:j], ends[i:j] = failures, until
+                i = j
+                continue
+            if until:
+                over.append((until, failures))
+            failures = 0 if good[i] else failures + 1
+            seconds = 0 if good[i] else pause_seconds(key[0], int(at[i]), errors[i], failures)
+            until = int(at[i]) + seconds * SECOND if seconds else 0
+            allowed[i], in_a_row[i], ends[i] = True, failures, until
+            i += 1
+        yield pd.DataFrame({"source_key": key[0], "poll": r["poll"].to_numpy(), "at": at, "event": "poll", "allowed": allowed, "in_a_row": in_a_row, "until": pd.Series(ends, dtype="Int64").mask(ends == 0)})
+        if over:
+            yield self._released(key[0], *map(list, zip(*over, strict=True)))
         if timer and timer != until:
             self.handle.deleteTimer(-(-timer // 1000))
         if until and timer != until:
             self.handle.registerTimer(-(-until // 1000))
         self.state.update((failures, until, until))
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         failures, until, _ = self.state.get() if self.state.exists() else (0, 0, 0)
         if until and -(-until // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.update((failures, 0, 0))
-            yield Row(source_key=key[0], poll=None, at=until, event="released", allowed=None, in_a_row=failures, until=None)
+            yield self._released(key[0], [until], [failures])
 
     def close(self) -> None:
         pass
@@ -83,7 +103,7 @@ def backoff_stream(polls: DataFrame, delay: str = "0 seconds") -> DataFrame:
     passes it, whichever is first. A poll within a pause is not allowed and changes nothing."""
     use_state_store(polls.sparkSession)
     rows = polls.withWatermark("polled_at", delay).select("source_key", F.col("poll").cast("bigint").alias("poll"), "polled_at", F.unix_micros("polled_at").alias("at"), "error")
-    out = rows.groupBy("source_key").transformWithState(Backoff(), "source_key string, poll long, at long, event string, allowed boolean, in_a_row int, until long", "Append", "EventTime")
+    out = rows.groupBy("source_key").transformWithStateInPandas(Backoff(), "source_key string, poll long, at long, event string, allowed boolean, in_a_row int, until long", "Append", "EventTime")
     return out.withColumns({c: F.timestamp_micros(c) for c in ("at", "until")})
 
 
@@ -100,34 +120,41 @@ class Pending(StatefulProcessor):
     def _timer(self, last: int) -> int:
         return -(-(last + self.ttl) // 1000)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first, last, hits = self.state.get() if self.state.exists() else (0, 0, 0)
-        before = last if hits else None
-        for r in sorted(rows, key=lambda r: r["at"]):
-            if hits and r["at"] > last + self.ttl:
-                yield Row(word=key[0], event="expired", first_seen=first, last_seen=last, hits=hits, at=last + self.ttl)
-                hits = 0
-            first = min(first, r["at"]) if hits else r["at"]
-            last = max(last, r["at"]) if hits else r["at"]
-            hits += r["hits"]
-        yield Row(word=key[0], event="pending", first_seen=first, last_seen=last, hits=hits, at=last)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        before = held[1] if held else None
+        r = pd.concat([b[["at", "hits"]] for b in rows], ignore_index=True).sort_values("at", kind="stable")
+        at, hits = r["at"].to_numpy(), r["hits"].to_numpy()
+        earlier = np.r_[at[0] if before is None else before, at[:-1]]
+        cut = np.flatnonzero(at > (earlier if before is None else np.maximum(earlier, before)) + self.ttl)
+        begin = np.union1d(cut, [0])
+        firsts, lasts, sums = at[begin], at[np.r_[begin[1:], len(at)] - 1], np.add.reduceat(hits, begin)
+        if held and len(cut) and cut[0] == 0:  # it had expired before its first sighting here
+            firsts, lasts, sums = np.r_[held[0], firsts], np.r_[held[1], lasts], np.r_[held[2], sums]
+        elif held:
+            firsts[0], lasts[0], sums[0] = min(firsts[0], held[0]), max(lasts[0], held[1]), sums[0] + held[2]
+        told = pd.DataFrame({"word": key[0], "event": "expired", "first_seen": firsts, "last_seen": lasts, "hits": sums, "at": lasts + self.ttl})
+        first, last, hits = int(firsts[-1]), int(lasts[-1]), int(sums[-1])
+        told.loc[len(told) - 1, ["event", "at"]] = "pending", last
+        yield told
         if before is not None and before != last:
             self.handle.deleteTimer(self._timer(before))
         if before != last:
             self.handle.registerTimer(self._timer(last))
         self.state.update((first, last, hits))
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
         first, last, hits = self.state.get()
         if self._timer(last) <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
-            yield Row(word=key[0], event="expired", first_seen=first, last_seen=last, hits=hits, at=last + self.ttl)
+            yield pd.DataFrame({"word": [key[0]], "event": "expired", "first_seen": first, "last_seen": last, "hits": hits, "at": last + self.ttl})
 
-    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        self.state.update((initialState["first"], initialState["last"], initialState["hits"]))
-        self.handle.registerTimer(self._timer(initialState["last"]))
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        first, last, hits = (int(initialState[c].iloc[0]) for c in ("first", "last", "hits"))
+        self.state.update((first, last, hits))
+        self.handle.registerTimer(self._timer(last))
 
     def close(self) -> None:
         pass
@@ -143,5 +170,5 @@ def pending_words(seen: DataFrame, ttl: int, delay: str = "0 seconds", initial:
     start = None
     if initial is not None:
         start = initial.select("word", F.unix_micros("first_seen").alias("first"), F.unix_micros("last_seen").alias("last"), F.col("hits").cast("bigint").alias("hits")).groupBy("word")
-    out = rows.groupBy("word").transformWithState(Pending(ttl), "word string, event string, first_seen long, last_seen long, hits long, at long", "Append", "EventTime", start)
+    out = rows.groupBy("word").transformWithStateInPandas(Pending(ttl), "word string, event string, first_seen long, last_seen long, hits long, at long", "Append", "EventTime", start)
     return out.withColumns({c: F.timestamp_micros(c) for c in ("first_seen", "last_seen", "at")})
