@@ -175,6 +175,28 @@ def test_near_equal_pairs_of_one_word_are_many_tasks(spark):
     assert len(of) >= 16 and max(of.values()) < len(got) / 4
 
 
+def test_near_equal_pairs_write_little_to_disk(spark):
+    def written():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {(f := files.apply(i)).getName(): f.length() for i in range(files.size())}
+
+    words = spark.range(3_000).select(F.col("id").alias("k"), F.lit("same").alias("w"))
+    before = written()
+    assert R.near_equal_pairs(words, block_rows=16, task_pairs=1_000_000).count() == 3_000 * 2_999 // 2
+    assert sum(n for name, n in written().items() if name not in before) < 1_000_000  # 35,344 couples of blocks are 9 MB
+
+
+def test_near_equal_pairs_over_slices_and_blocks(spark):
+    r = random.Random(7)
+    rows = [(r.choice([None, *range(40)]), r.choice(["same", "same", "sane", "am", "other", "", None])) for _ in range(150)]
+    near = {("same", "sane"), ("same", "am")}
+    want = sorted((k, q) for k, w in rows for q, v in rows if None not in (k, q, w, v) and k < q and w and v and (w == v or (w, v) in near or (v, w) in near))
+    out = R.near_equal_pairs(spark.createDataFrame(rows, "k long, w string"), block_rows=3, task_pairs=64)
+    assert sorted((x.a, x.b) for x in out.collect()) == want
+    blocks = [x for x in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "explode(transform(" in x]
+    assert len(blocks) == 2 and not any("*(" in x for x in blocks)  # compiled, they would hold all pairs of a couple of slices
+
+
 def test_tasks_of_entity_counts_grow_with_the_links(spark):
     r = random.Random(5)
     links, events = ([(r.randrange(40), r.randrange(12)) for _ in range(600)] for _ in range(2))
